@@ -26,15 +26,16 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Ite
         start = stop
 
 
-def split(text: pa.Array, pattern: str, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def split(text: pa.Array, pattern: str, lower: bool = True, by: str = " ") -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Pieces of each text between matches of ``pattern`` as (ids, vocabulary, pieces per text).
 
-    Nulls count as empty texts; empty pieces don't exist.
+    Nulls count as empty texts; empty pieces don't exist. ``by`` has to match
+    ``pattern``.
     """
     text = pc.fill_null(text, "")
     text = pc.utf8_lower(text) if lower else text
-    text = pc.utf8_trim(pc.replace_substring_regex(text, pattern=pattern, replacement=" "), characters=" ")
-    lists = pc.split_pattern(text, pattern=" ")
+    text = pc.utf8_trim(pc.replace_substring_regex(text, pattern=pattern, replacement=by), characters=by)
+    lists = pc.split_pattern(text, pattern=by)
     flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
     counts = np.where(pc.equal(text, "").to_numpy(zero_copy_only=False), 0, counts)
     if len(flat) != counts.sum():
