@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import decontaminate, packing, secrets, sharding, url_filter
+from lakemill.llm import decontaminate, embedding_dedup, language_id, ngram_join, packing, quality, quotation, secrets, sharding, url_filter
 
 URL_RULES = [
     url_filter.Rule("com", "/", "allow"),
@@ -20,6 +20,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link(_table(spark, sf_dir, "conversations"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -40,5 +56,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_secrets, op6_sharding, op7_url_filter, op8_decontamination, op9_packing)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("rkey")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_dedup, op2_language_id, op3_quotation_linking, op4_quality, op5_secrets, op6_sharding, op7_url_filter, op8_decontamination, op9_packing, op10_ngram_join,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

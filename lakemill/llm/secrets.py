@@ -100,12 +100,13 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redacted: str = "redacted") -> DataFrame:
     """Spans of secrets in every whole text, one row for each row of ``docs``.
 
     Returns ``id_col``, ``spans`` (array of start, end, kind; code points, end
-    exclusive), ``base_sha256`` and ``redacted`` (null for a null text, which
-    has no spans), and the columns named in ``keep``. Rows pass through in one
+    exclusive), ``base_sha256``, the text with spans redacted, under the name
+    ``redacted`` (null for a null text, which has no spans), and the columns
+    named in ``keep``. Rows pass through in one
     map without a shuffle, so repeated rows, null ids and other columns don't
     matter, and an empty table gives an empty one.
 
@@ -114,7 +115,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """
     schema = docs.select(F.col(id_col), F.col(text_col).cast("string"), *keep).schema
     columns = [id_col, *keep]
-    out = ", ".join([*(f"`{c}` {schema[c].dataType.simpleString()}" for c in columns), "spans array<struct<start: long, end: long, kind: string>>", "base_sha256 string", "redacted string"])
+    out = ", ".join([*(f"`{c}` {schema[c].dataType.simpleString()}" for c in columns), "spans array<struct<start: long, end: long, kind: string>>", "base_sha256 string", f"`{redacted}` string"])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                 rows = [[{"start": s, "end": e, "kind": k} for s, e, k in f] for f in found]
                 sums = [hashlib.sha256(listed([s for s in f if s[2] in BASE]).encode()).hexdigest() for f in found]
                 clean = [redact(t, f) if f else t for t, f in zip(texts, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(rows, span), pa.array(sums, pa.string()), pa.array(clean, pa.string())], [*columns, "spans", "base_sha256", "redacted"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(rows, span), pa.array(sums, pa.string()), pa.array(clean, pa.string())], [*columns, "spans", "base_sha256", redacted])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), *keep).mapInArrow(run, out)
 
