@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive plans split skewed joins and merge small partitions; times are read as UTC.
 SETTINGS = {
@@ -22,3 +28,33 @@ def build(app: str = "lakemill", master: str | None = None, **settings: str) ->
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a session, once, so that their Python workers can import it.
+
+    Not needed where it is installed on them or given to ``--py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="lakemill-")) / "lakemill.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"lakemill/{f.relative_to(root)}")
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query whose session gets the package before it runs."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        ship(spark)
+        return query(spark, *args, **kwargs)
+
+    return run
