@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import decontaminate, embedding_dedup, language_id, ngram_join, packing, quality, quotation, secrets, sharding, url_filter
+from lakemill.llm import decontaminate, embedding_dedup, language_id, ngram_join, oracles, packing, quality, quotation, secrets, sharding, url_filter
+from lakemill.session import shipped
 
 URL_RULES = [
     url_filter.Rule("com", "/", "allow"),
@@ -61,9 +62,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f
+    f.__name__: shipped(f)
     for f in (
         op1_embedding_dedup, op2_language_id, op3_quotation_linking, op4_quality, op5_secrets, op6_sharding, op7_url_filter, op8_decontamination, op9_packing, op10_ngram_join,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others are tested against brute force, exact round trips or held-out accuracy.
+ORACLE_SQL = {"op1_embedding_dedup": oracles.EMBEDDINGS, "op7_url_filter": oracles.urls(URL_RULES), "op8_decontamination": oracles.LEAKS, "op10_ngram_join": oracles.JACCARD}
