@@ -15,6 +15,10 @@ def source(spark: SparkSession, path: str, time: str = "ts", files_per_trigger:
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        # streams watch folders: a table of one file is its folder, without the rest
+        reader, path = reader.option("pathGlobFilter", place.getName()), place.getParent().toString()
     return reader.parquet(path).withColumn(time, F.col(time).cast("timestamp"))
 
 
