@@ -53,3 +53,31 @@ JACCARD = f"""
     {REACH}
     select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n, 0) as n_links, coalesce(top, doc_id) as component_id, coalesce(top, doc_id) = doc_id as kept
     from documents left join c using (doc_id) left join n on n.a = doc_id left join tops on tops.a = doc_id"""
+
+
+#: Quoted lines, passages, their digests, and sources by search; then replies by recursion.
+QUOTATIONS = r"""
+    with recursive line as (
+        select conv_id, turn, i, line, case when regexp_matches(line, '^[ \t]*>') then len(regexp_extract(line, '^(?:[ \t]*>)+')) - len(replace(regexp_extract(line, '^(?:[ \t]*>)+'), '>', '')) else 0 end as level
+        from (select conv_id, turn, unnest(w) as line, unnest(range(len(w))) as i from (select conv_id, turn, string_split(text, chr(10)) as w from conversations where text is not null) a) b),
+    marked as (select *, lead(level, 1, 0) over p as after, coalesce(lag(level) over p, 0) as before from line window p as (partition by conv_id, turn order by i)),
+    kept as (select *, level = 0 and not (after > 0 and regexp_matches(line, '(?i)^\s*(on|am|le|el)\b.*\b(wrote|schrieb|a écrit|escribió)\b[^\n]{0,80}:\s*$')) as own,
+        cast(sum(case when level > 0 and level <> before then 1 else 0 end) over (partition by conv_id, turn order by i) as bigint) as place from marked),
+    m as (select c.conv_id, c.turn, c.role, case when c.text is null or max(k.level) = 0 then c.text else coalesce(trim(string_agg(k.line, chr(10) order by k.i) filter (where k.own), E' \t\n\r\x0b\x0c'), '') end as own,
+        coalesce(max(k.place), 0) as n_quotes from conversations c left join kept k using (conv_id, turn) group by c.conv_id, c.turn, c.role, c.text),
+    part as (select conv_id, turn, unnest([own] || regexp_split_to_array(own, '\n[ \t]*\n') || string_split(own, chr(10))) as p from m where own is not null),
+    body as (select conv_id, turn, level, place, 0 as part, string_agg(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', ''), chr(10) order by i) as p from kept where level > 0 group by conv_id, turn, level, place
+        union all select conv_id, turn, level, place, 1, regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') from kept where level > 0),
+    said as (select distinct conv_id, turn, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) as key from part),
+    quote as (select conv_id, turn, level, place, part, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) as key from body),
+    found as (select q.conv_id, q.turn, q.level, q.part, q.place,
+        max(s.turn) filter (where s.conv_id = q.conv_id and s.turn < q.turn) as near, min((s.conv_id, s.turn)) as first
+        from quote q join said s on q.key = s.key and q.key <> '' group by all),
+    best as (select conv_id, turn, case when near is not null then (conv_id, near) else first end as up from found where near is not null or first[1] < conv_id
+        qualify row_number() over (partition by conv_id, turn order by level, part, place) = 1),
+    tree as (select conv_id, turn, cast(up[1] as bigint) as uc, cast(up[2] as bigint) as ut, cast(up[1] as bigint) as tc, cast(up[2] as bigint) as tt, cast(1 as bigint) as depth from best
+        union all select t.conv_id, t.turn, t.uc, t.ut, cast(b.up[1] as bigint), cast(b.up[2] as bigint), t.depth + 1 from tree t join best b on b.conv_id = t.tc and b.turn = t.tt),
+    top as (select * from tree qualify row_number() over (partition by conv_id, turn order by depth desc) = 1)
+    select m.conv_id, m.turn, m.role, m.own as text, m.n_quotes, uc as reply_conv, ut as reply_turn, coalesce(depth, 0) as depth, coalesce(tc, m.conv_id) as thread_conv,
+    row_number() over (partition by coalesce(tc, m.conv_id) order by m.conv_id, m.turn, md5(coalesce(m.own, ''))) - 1 as position
+    from m left join top using (conv_id, turn)"""

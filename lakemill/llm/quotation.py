@@ -109,7 +109,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     turns, so that a conversation of any length has no task of its own.
     """
     columns = [conv_col, turn_col, role_col]
-    base = cut(parsed(messages, columns, text_col), "messages")
+    base = cut(parsed(messages, columns, text_col).withColumn("_row", F.monotonically_increasing_id()), "messages")
     placed = base.where(F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull()).select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), "quotes", "units")
     quotes = cut(placed.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.*").distinct(), "quotes")
     said = placed.select("conv", "turn", F.explode("units").alias("key")).join(quotes.select("key").distinct(), "key", "left_semi").distinct()
@@ -124,13 +124,16 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     replies = near.select("conv", "turn", F.struct("level", F.least("part", F.lit(1)).alias("lines"), "place", source.alias("source")).alias("best"))
     replies = replies.groupBy("conv", "turn").agg(F.min("best").alias("best")).select("conv", "turn", "best.source")
     trees = _tops(replies.select(F.struct("conv", "turn").alias("node"), F.col("source").alias("up")))
-    found = base.withColumn("_node", F.struct(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"))).join(trees, F.col("_node") == F.col("node"), "left")
-    out = found.select(
-        *columns, F.col("own").alias("text"), "n_quotes", F.col("reply.conv").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"),
-        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("top.conv", conv_col).alias("thread_conv"),
+    # ranks need each row's key and place alone; texts meet them once
+    slim = base.select("_row", F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.md5(F.coalesce("own", F.lit(""))).alias("digest"))
+    slim = slim.withColumn("_node", F.struct("conv", "turn")).join(trees, F.col("_node") == F.col("node"), "left")
+    slim = slim.select("_row", "conv", "turn", "digest", "reply", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("top.conv", "conv").alias("thread"))
+    bucket = F.struct(F.col("conv"), F.floor(F.col("turn") / BUCKET_TURNS))
+    order = [F.col(c) for c in ("conv", "turn", "digest")]
+    places = ranked(slim, ["thread"], bucket, order, "place").select("_row", "reply", "depth", "thread", "place")
+    return base.join(places, "_row").select(
+        *columns, F.col("own").alias("text"), "n_quotes", F.col("reply.conv").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), "depth", F.col("thread").alias("thread_conv"), F.col("place").alias("position")
     )
-    bucket = F.struct(F.col(conv_col), F.floor(F.col(turn_col) / BUCKET_TURNS))
-    return ranked(out, ["thread_conv"], bucket, [F.col(conv_col), F.col(turn_col), F.md5(F.coalesce("text", F.lit("")))], "position")
 
 
 def _tops(replies: DataFrame) -> DataFrame:
