@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lakemill.llm.arrowtext import mix, runs
 from lakemill.llm.graph import components
 from lakemill.llm.ngram_join import leads
-from lakemill.llm.storage import cut
+from lakemill.llm.storage import cut, tasks
 
 #: Vectors of each of two blocks that one comparison holds, about.
 BLOCK = 1000
@@ -121,7 +121,7 @@ def _compare(usable: DataFrame, members: DataFrame, threshold: float) -> DataFra
     """Vectors compared under each key they share: (rid, links, lead)."""
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").cast("long").alias("one"), F.greatest(x, "block").cast("long").alias("two")))).alias("pair")
     placed = members.select("*", other).select("rid", "t", "bucket", "block", "pair.one", "pair.two")
-    placed = placed.join(usable.select("rid", "lab", "v", "keys"), "rid").repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    placed = placed.join(usable.select("rid", "lab", "v", "keys"), "rid").repartition(tasks(members), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, links, lead = [], [], []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.arrowtext import mix, runs, slices, words
 from lakemill.llm.graph import components
-from lakemill.llm.storage import cut
+from lakemill.llm.storage import cut, tasks
 
 #: What one comparison holds of each of two blocks: documents and shingles, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_500_000
@@ -222,7 +222,7 @@ def _compare(rows: DataFrame, members: DataFrame, width: int, threshold: float,
     texts = rows.select("rkey", text_col).join(members.hint("shuffle_hash"), "rkey").dropDuplicates(["rkey"])
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").cast("long").alias("one"), F.greatest(x, "block").cast("long").alias("two")))).alias("pair")
     placed = texts.select("near", "ckey", "size", "block", "blocks", text_col, other).select("*", "pair.one", "pair.two").drop("pair")
-    placed = placed.repartition("near", "one", "two").sortWithinPartitions("near", "one", "two")
+    placed = placed.repartition(tasks(placed), "near", "one", "two").sortWithinPartitions("near", "one", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["near", "one", "two"]):

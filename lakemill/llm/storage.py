@@ -36,6 +36,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(df: DataFrame) -> int:
+    """How many tasks a comparison is dealt to: its rows are few and take long, so size isn't a guide."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` that nothing will read again."""
     spark = df.sparkSession
