@@ -1,0 +1,28 @@
+"""Exact nearest neighbours of a stated set of queries, in blocks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lakemill.functions.scalars import dot
+from lakemill.operators.groups import top_per_key
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int = 1000) -> DataFrame:
+    """The ``k`` rows with the greatest inner product with each query, itself aside: (query_id, id, score).
+
+    Queries go out in blocks of about ``block``, which rules the size of what is
+    broadcast; each block is one pass over ``vectors``. Partitions keep ``k``
+    rows for each query before anything is shuffled. Scores are rounded to six
+    places and ties go to the smaller id.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
+    out = None
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = vectors.join(F.broadcast(some), F.col(id_col) != F.col("query_id")).select("query_id", id_col, F.round(dot(F.col("_q"), F.col(vector_col)), 6).alias("score"))
+        top = top_per_key(scored, ["query_id"], [F.desc("score"), F.col(id_col)], k).drop("rank")
+        out = top if out is None else out.unionByName(top)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions import scalars
-from lakemill.operators import groups, joins
+from lakemill.operators import groups, joins, search
 from lakemill.sources.tables import table
 from lakemill.streaming import events as stream
 
@@ -97,9 +97,7 @@ def text_screen(spark: SparkSession, folder: str) -> DataFrame:
 
 def vector_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
-    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(scalars.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return groups.top_per_key(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], 5).select("query_id", "vec_id", "score")
+    return search.nearest(vectors, vectors.where("vec_id % 100 = 0"), 5, "vec_id", "embedding")
 
 
 def page_hosts(spark: SparkSession, folder: str) -> DataFrame:
