@@ -22,8 +22,10 @@ BUCKETS = 1 << 16
 LONGEST = 4
 #: Shares of a word's uses in its main language at which lexicon features part.
 CONFIDENCE = (0.5, 0.7, 0.9, 0.99)
-#: Words of a chain that are worked through at once.
+#: Words of a block: blocks of all chains are worked through side by side.
 BLOCK = 64
+#: Words of a chain that are held in memory at once, with their messages.
+PIECE = 500_000
 
 
 @dataclasses.dataclass
@@ -89,61 +91,103 @@ def features_of(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.bincount(own, minlength=len(sizes))
 
 
-def marginals(scores: np.ndarray, transitions: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _grid(scores: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions of chains cut into blocks, (slot, block, state), with each word's block and slot, blocks of chains, words of blocks."""
+    per = -(-counts // BLOCK)
+    chain = np.repeat(np.arange(len(counts)), counts)
+    inside = np.arange(len(scores)) - np.repeat(np.cumsum(counts) - counts, counts)
+    block, slot = (np.cumsum(per) - per)[chain] + inside // BLOCK, inside % BLOCK
+    grid = np.ones((BLOCK, int(per.sum()), scores.shape[1]))
+    grid[slot, block] = np.exp(scores - scores.max(axis=1, keepdims=True))
+    used = np.bincount(block, minlength=grid.shape[1])
+    return grid, block, slot, per, used
+
+
+def _products(grid: np.ndarray, used: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The product of each block's step matrices: from the state before it to its last word."""
+    k = grid.shape[2]
+    product = np.broadcast_to(np.eye(k), (grid.shape[1], k, k)).copy()
+    for s in range(int(used.max(initial=0))):
+        live = slice(None) if (used > s).all() else np.flatnonzero(used > s)
+        p = (product[live].reshape(-1, k) @ step).reshape(-1, k, k) * grid[s, live][:, None, :]
+        product[live] = p / p.sum(axis=(1, 2), keepdims=True)
+    return product
+
+
+def marginals(scores: np.ndarray, transitions: np.ndarray, counts: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
     """The probability of each state at each word of chains in a row, by forward-backward.
 
     Exact for chains of any length: chains are cut into blocks, the product of
     each block's step matrices carries messages over the blocks, and all blocks
-    of all chains are worked through side by side. Every chain starts from a
-    uniform state before its first word. ``counts``: words of each chain.
+    of all chains are worked through side by side. ``counts``: words of each
+    chain, above zero. Every chain starts from a uniform state before its first
+    word, or from the message ``first``; ``last`` is the message from after its end.
     """
     k = scores.shape[1]
     step = np.exp(transitions - transitions.max())
-    emit = np.exp(scores - scores.max(axis=1, keepdims=True))
-    per = -(-counts // BLOCK)
-    blocks = int(per.sum())
-    first_block = np.cumsum(per) - per
-    chain = np.repeat(np.arange(len(counts)), counts)
-    inside = np.arange(len(scores)) - np.repeat(np.cumsum(counts) - counts, counts)
-    block, slot = first_block[chain] + inside // BLOCK, inside % BLOCK
-    grid = np.ones((BLOCK, blocks, k))
-    grid[slot, block] = emit
-    used = np.zeros(blocks, dtype=np.int64)
-    np.maximum.at(used, block, slot + 1)
-    deepest = int(used.max(initial=0))
-    # the product of a block's steps: from the state before it to its last word
-    product = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
-    for s in range(deepest):
-        live = slice(None) if (used > s).all() else np.flatnonzero(used > s)
-        p = (product[live].reshape(-1, k) @ step).reshape(-1, k, k) * grid[s, live][:, None, :]
-        product[live] = p / p.sum(axis=(1, 2), keepdims=True)
-    before, after = np.full((blocks, k), 1 / k), np.ones((blocks, k))
+    grid, block, slot, per, used = _grid(scores, counts)
+    product = _products(grid, used, step)
+    before, after = np.full((len(used), k), 1 / k), np.ones((len(used), k))
+    start = np.cumsum(per) - per
+    if first is not None:
+        before[start] = first
+    if last is not None:
+        after[start + per - 1] = last
     order = np.argsort(-per, kind="stable")
     for b in range(1, int(per.max(initial=1))):
-        at = first_block[order[: int((per > b).sum())]] + b
+        at = start[order[: int((per > b).sum())]] + b
         x = np.einsum("ni,nij->nj", before[at - 1], product[at - 1])
         before[at] = x / x.sum(axis=1, keepdims=True)
     for b in range(int(per.max(initial=1)) - 2, -1, -1):
-        at = first_block[order[: int((per > b + 1).sum())]] + b
+        at = start[order[: int((per > b + 1).sum())]] + b
         x = np.einsum("nij,nj->ni", product[at + 1], after[at + 1])
         after[at] = x / x.sum(axis=1, keepdims=True)
-    forward = np.empty_like(grid)
+    deepest = int(used.max(initial=0))
+    both = np.empty_like(grid)
     x = before
     for s in range(deepest):
         x = (x @ step) * grid[s]
         x /= x.sum(axis=1, keepdims=True)
-        forward[s] = x
+        both[s] = x
     x = after
     for s in range(deepest - 1, -1, -1):
-        last = (used == s + 1)[:, None]
-        x = np.where(last, after, x)
-        forward[s] *= x
+        x = np.where((used == s + 1)[:, None], after, x)
+        both[s] *= x
         x = (grid[s] * x) @ step.T
         x /= x.sum(axis=1, keepdims=True)
-    out = forward[slot, block]
+    out = both[slot, block]
     return out / out.sum(axis=1, keepdims=True)
 
 
+def mean_marginals(emissions: np.ndarray, ids: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The mean of each chain's marginals; ``emissions[ids]`` are its words' scores.
+
+    A chain longer than ``PIECE`` is gone through twice, piece by piece: for the
+    products that carry messages between pieces, then for the marginals.
+    """
+    if counts.max(initial=0) <= PIECE:
+        return sums(marginals(emissions[ids], transitions, counts), counts) / counts[:, None]
+    out, step = [], np.exp(transitions - transitions.max())
+    for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+        parts = [ids[a : min(end, a + PIECE)] for a in range(end - n, end, PIECE)]
+        carry = []
+        for part in parts:
+            whole = np.eye(len(step))
+            grid, _, _, _, used = _grid(emissions[part], np.array([len(part)]))
+            for p in _products(grid, used, step):
+                whole = whole @ p
+                whole /= whole.sum()
+            carry.append(whole)
+        first, last = [np.full(len(step), 1 / len(step))], [np.ones(len(step))]
+        for p, q in zip(carry[:-1], carry[:0:-1], strict=True):
+            first.append(first[-1] @ p)
+            last.append(q @ last[-1])
+            first[-1], last[-1] = first[-1] / first[-1].sum(), last[-1] / last[-1].sum()
+        total = sum(marginals(emissions[part], transitions, np.array([len(part)]), f[None], e[None]).sum(axis=0) for part, f, e in zip(parts, first, last[::-1], strict=True))
+        out.append(total / n)
+    return np.array(out)
+
+
 def fit(spans: list[tuple[str, str]], seed: int = 0, chains: int = 3000, length: int = 32, rounds: int = 80, decay: float = 1e-3) -> Model:
     """Learn weights and transitions from (language, words) spans.
 
@@ -306,8 +350,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 ids, vocabulary, counts = split(part.column(text_col), NOT_LETTERS)
                 full = np.flatnonzero(counts)
                 if own is not None and len(full):
-                    p = marginals(own.emissions(vocabulary)[ids].astype(np.float64), own.transitions, counts[full])
-                    mean = sums(p, counts[full]) / counts[full][:, None]
+                    mean = mean_marginals(own.emissions(vocabulary).astype(np.float64), ids, counts[full], own.transitions)
                     langs[full] = np.array(own.langs, dtype=object)[mean.argmax(axis=1)]
                     scores[full] = np.minimum(1.0, mean.max(axis=1))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(scores)], [*columns, *names])

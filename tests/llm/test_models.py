@@ -32,6 +32,16 @@ def test_forward_backward_equals_all_paths(monkeypatch):
         at += n
 
 
+@pytest.mark.parametrize("piece", [1, 7, 50, 1000])
+def test_chains_in_pieces_equal_whole_ones(monkeypatch, piece):
+    r = np.random.default_rng(3)
+    emissions, steps, counts = r.normal(size=(40, 3)) * 2, r.normal(size=(3, 3)), np.array([1, 300, 49, 50, 51])
+    ids = r.integers(0, 40, counts.sum())
+    want = language_id.sums(language_id.marginals(emissions[ids], steps, counts), counts) / counts[:, None]
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    assert np.allclose(language_id.mean_marginals(emissions, ids, counts, steps), want)
+
+
 def test_expectations_equal_marginals():
     r = np.random.default_rng(1)
     scores, steps = r.normal(size=(9, 5, 4)), r.normal(size=(4, 4))
