@@ -137,12 +137,14 @@ def learn(train: DataFrame, features: int = 200, scale: float = 3.0, ridge: floa
     model = Model(mean, spread, random.standard_normal((size, features)) / scale, random.uniform(0, 2 * np.pi, features), np.zeros(0), np.zeros(0), np.zeros(0))
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((features + 1, features + 2))
+        both, rows = np.zeros((features + 1, features + 2)), 0
         for batch in batches:
             if batch.num_rows:
                 z = model.features(matrix(batch))
                 both += z.T @ np.column_stack([z, batch.column("y").to_numpy()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(both.size)), pa.array(both.ravel())], ["cell", "value"])
+                rows += len(z)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(both.size)), pa.array(both.ravel())], ["cell", "value"])
 
     cells = train.mapInArrow(equations, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
     both = np.zeros((features + 1) * (features + 2))
