@@ -157,7 +157,7 @@ def profile(docs: DataFrame, width: int, trees: int, depth: int, id_col: str, te
     return docs.mapInArrow(run, f"`{id_col}` {kind}, rkey long, ckey binary, n long, keys array<long>")
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = 24, deepest: int = 8, target: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = 40, deepest: int = 8, target: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents linked by a Jaccard similarity of ``threshold`` or more between their word shingles.
 
     Rows with equal shingle sets are a class. A class has a MinHash signature

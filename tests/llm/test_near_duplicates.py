@@ -59,8 +59,8 @@ def test_join_of_repeated_ids_null_ids_and_nothing(spark):
 
 
 def test_depth_is_shortened_until_recall_is_met():
-    assert ngram_join.forest_depth(24, 8, 0.8, 0.9999) == 5
-    assert 1 - (1 - 0.8**5) ** 24 >= 0.9999 > 1 - (1 - 0.8**6) ** 24
+    assert ngram_join.forest_depth(40, 8, 0.8, 0.9999) == 7
+    assert 1 - (1 - 0.8**7) ** 40 >= 0.9999 > 1 - (1 - 0.8**8) ** 40
     assert ngram_join.forest_depth(1, 8, 0.1, 0.9999) == 1
 
 
