@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lakemill.llm.arrowtext import slices
 
 #: Encodings of chunks that a Python worker keeps, in about 250 bytes each; when full, it starts anew.
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 400_000
 #: Bytes of text that are encoded at once: the more, the fewer chunks are looked up twice.
 SLICE_BYTES = 4_000_000
 #: White space that may be cut at: no pre-token spans it.
