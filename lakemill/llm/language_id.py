@@ -159,15 +159,16 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, counts: np.ndarray, f
     return out / out.sum(axis=1, keepdims=True)
 
 
-def mean_marginals(emissions: np.ndarray, ids: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """The mean of each chain's marginals; ``emissions[ids]`` are its words' scores.
+def decode(emissions: np.ndarray, ids: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of each chain's marginals, and the likeliest state of each word; ``emissions[ids]`` are the words' scores.
 
     A chain longer than ``PIECE`` is gone through twice, piece by piece: for the
     products that carry messages between pieces, then for the marginals.
     """
     if counts.max(initial=0) <= PIECE:
-        return sums(marginals(emissions[ids], transitions, counts), counts) / counts[:, None]
-    out, step = [], np.exp(transitions - transitions.max())
+        p = marginals(emissions[ids], transitions, counts)
+        return sums(p, counts) / counts[:, None], p.argmax(axis=1)
+    means, states, step = [], [], np.exp(transitions - transitions.max())
     for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
         parts = [ids[a : min(end, a + PIECE)] for a in range(end - n, end, PIECE)]
         carry = []
@@ -183,9 +184,13 @@ def mean_marginals(emissions: np.ndarray, ids: np.ndarray, counts: np.ndarray, t
             first.append(first[-1] @ p)
             last.append(q @ last[-1])
             first[-1], last[-1] = first[-1] / first[-1].sum(), last[-1] / last[-1].sum()
-        total = sum(marginals(emissions[part], transitions, np.array([len(part)]), f[None], e[None]).sum(axis=0) for part, f, e in zip(parts, first, last[::-1], strict=True))
-        out.append(total / n)
-    return np.array(out)
+        total = np.zeros(len(step))
+        for part, f, e in zip(parts, first, last[::-1], strict=True):
+            p = marginals(emissions[part], transitions, np.array([len(part)]), f[None], e[None])
+            total += p.sum(axis=0)
+            states.append(p.argmax(axis=1).astype(np.int16))
+        means.append(total / n)
+    return np.array(means), np.concatenate(states)
 
 
 def fit(spans: list[tuple[str, str]], seed: int = 0, chains: int = 3000, length: int = 32, rounds: int = 80, decay: float = 1e-3) -> Model:
@@ -350,7 +355,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 ids, vocabulary, counts = split(part.column(text_col), NOT_LETTERS)
                 full = np.flatnonzero(counts)
                 if own is not None and len(full):
-                    mean = mean_marginals(own.emissions(vocabulary).astype(np.float64), ids, counts[full], own.transitions)
+                    mean, _ = decode(own.emissions(vocabulary).astype(np.float64), ids, counts[full], own.transitions)
                     langs[full] = np.array(own.langs, dtype=object)[mean.argmax(axis=1)]
                     scores[full] = np.minimum(1.0, mean.max(axis=1))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(scores)], [*columns, *names])
@@ -360,6 +365,34 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
+def segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Where each text switches language: (id, ``segments``: array of first word, number of words, language).
+
+    Words are runs of letters, counted from 0; each is labelled with its
+    likeliest language. Texts that are null or have no letters have no segments.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for batch in batches:
+            for part in slices(batch, text_col):
+                ids, vocabulary, counts = split(part.column(text_col), NOT_LETTERS)
+                _, states = decode(own.emissions(vocabulary).astype(np.float64), ids, counts[counts > 0], own.transitions)
+                chain = np.repeat(np.arange(len(counts)), counts)
+                new = np.ones(len(ids), dtype=bool)
+                new[1:] = (states[1:] != states[:-1]) | (chain[1:] != chain[:-1])
+                at = np.flatnonzero(new)
+                start = at - (np.cumsum(counts) - counts)[chain[at]]
+                flat = pa.StructArray.from_arrays([pa.array(start), pa.array(np.diff([*at, len(ids)])), pa.array([own.langs[i] for i in states[at]], pa.string())], fields=list(kind))
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(chain[at], minlength=len(counts)))])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], [id_col, "segments"])
+
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, segments array<struct<word: long, words: long, lang: string>>")
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the documents that are not held out, and predict the language of all.
 

@@ -37,9 +37,10 @@ def test_chains_in_pieces_equal_whole_ones(monkeypatch, piece):
     r = np.random.default_rng(3)
     emissions, steps, counts = r.normal(size=(40, 3)) * 2, r.normal(size=(3, 3)), np.array([1, 300, 49, 50, 51])
     ids = r.integers(0, 40, counts.sum())
-    want = language_id.sums(language_id.marginals(emissions[ids], steps, counts), counts) / counts[:, None]
+    p = language_id.marginals(emissions[ids], steps, counts)
     monkeypatch.setattr(language_id, "PIECE", piece)
-    assert np.allclose(language_id.mean_marginals(emissions, ids, counts, steps), want)
+    means, states = language_id.decode(emissions, ids, counts, steps)
+    assert np.allclose(means, language_id.sums(p, counts) / counts[:, None]) and (states == p.argmax(axis=1)).all()
 
 
 def test_expectations_equal_marginals():
@@ -91,6 +92,19 @@ def test_switched_text_is_labelled_word_by_word(spark):
     assert (np.diag(model.transitions) > model.transitions.T[~np.eye(3, dtype=bool)].reshape(3, 2).max(axis=1)).all()
 
 
+def test_segments_cover_each_text(spark):
+    model = language_id.learn(language_docs(spark)[0])
+    texts = [f"{text_in('aa', 20, 'x')} {text_in('bb', 30, 'y')}", None, "12", text_in("cc", 9, "z"), "", text_in("bb", 4, "w")]
+    got = {r.doc_id: r.segments for r in language_id.segments(docs(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        at = 0
+        for s in got[i]:
+            assert s.word == at and s.words > 0
+            at += s.words
+        assert at == len([w for w in (text or "").split() if w.isalpha()])
+    assert [s.lang for s in got[3]] == ["cc"] and sum(s.words for s in got[0] if s.lang == "bb") >= 27
+
+
 def test_texts_without_letters_are_undetermined(spark):
     df, _ = language_docs(spark)
     model = language_id.learn(df)
