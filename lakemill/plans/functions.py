@@ -72,7 +72,7 @@ def partition_map(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transpose(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "region").select("r_name", F.length("r_name").alias("len"), "r_regionkey")
+    found = table(spark, folder, "region").select("r_name", F.length("r_name").cast("long").alias("len"), F.col("r_regionkey").cast("long").alias("r_regionkey"))
     return found.transpose("r_name")
 
 
@@ -109,7 +109,7 @@ ORACLE_SQL = {
     "transpose": """
         select 'len' as key, max(length(r_name)) filter (where r_name = 'AFRICA') as "AFRICA", max(length(r_name)) filter (where r_name = 'AMERICA') as "AMERICA", max(length(r_name)) filter (where r_name = 'ASIA') as "ASIA",
         max(length(r_name)) filter (where r_name = 'EUROPE') as "EUROPE", max(length(r_name)) filter (where r_name = 'MIDDLE EAST') as "MIDDLE EAST" from region union all
-        select 'r_regionkey', max(r_regionkey) filter (where r_name = 'AFRICA'), max(r_regionkey) filter (where r_name = 'AMERICA'), max(r_regionkey) filter (where r_name = 'ASIA'),
+        select 'r_regionkey', max(cast(r_regionkey as bigint)) filter (where r_name = 'AFRICA'), max(r_regionkey) filter (where r_name = 'AMERICA'), max(r_regionkey) filter (where r_name = 'ASIA'),
         max(r_regionkey) filter (where r_name = 'EUROPE'), max(r_regionkey) filter (where r_name = 'MIDDLE EAST') from region""",
     "join_hints": """
         with t as (select count(*) as n from orders join customer on o_custkey = c_custkey where c_nationkey = 3)

@@ -48,7 +48,7 @@ SQL: dict[str, str] = {
     "agg_having": "select o_custkey, count(*) as n, round(max(o_totalprice), 2) as top from {orders} group by o_custkey having count(*) > 12",
     "agg_distinct": "select l_returnflag, count(distinct l_partkey) as parts, count(distinct l_suppkey) as supps, round(sum(distinct l_tax), 4) as taxes from {lineitem} group by l_returnflag",
     "agg_filter": """
-        select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as done, count(*) filter (where o_orderstatus <> 'F') as open, round(sum(case when o_totalprice > 150000 then 1 else 0 end), 0) as large
+        select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as done, count(*) filter (where o_orderstatus <> 'F') as open, cast(sum(case when o_totalprice > 150000 then 1 else 0 end) as bigint) as large
         from {orders} group by o_orderpriority""",
     "agg_statistics": """
         select l_linestatus, round(stddev_samp(l_quantity), 6) as sd, round(var_pop(l_discount), 8) as vp, round(corr(l_quantity, l_extendedprice), 6) as r, round(covar_pop(l_tax, l_discount), 8) as cv,
@@ -80,14 +80,14 @@ SQL: dict[str, str] = {
     "set_except_all": "select l_suppkey as k from {lineitem} where l_returnflag = 'R' except all select l_suppkey from {lineitem} where l_returnflag = 'A'",
     "distinct": "select distinct o_orderstatus, o_orderpriority from {orders}",
     "string_functions": """
-        select p_partkey, upper(p_brand) as up, length(p_name) as len, substring(p_type, 1, 4) as head, replace(p_name, ' ', '_') as snake, reverse(p_brand) as back, md5(p_name) as digest,
+        select p_partkey, upper(p_brand) as up, cast(length(p_name) as bigint) as len, substring(p_type, 1, 4) as head, replace(p_name, ' ', '_') as snake, reverse(p_brand) as back, md5(p_name) as digest,
         lpad(cast(p_size as varchar(10)), 4, '0') as padded, trim(concat('  ', p_type, ' ')) as trimmed, case when p_name like '%a%' then 1 else 0 end as has_a from {part}""",
     "date_functions": """
         select o_orderkey, cast(extract(year from o_orderdate) as int) as y, cast(extract(quarter from o_orderdate) as int) as q, cast(extract(month from o_orderdate) as int) as m, cast(extract(week from o_orderdate) as int) as w,
         cast(date_trunc('month', o_orderdate) as date) as month_start, cast(last_day(o_orderdate) as date) as month_end, cast(o_orderdate + interval 10 day as date) as later from {orders}""",
     "math_functions": """
-        select l_orderkey, l_linenumber, l_quantity, floor(l_extendedprice / 7) as f, ceil(l_discount * 10) as c, round(sqrt(l_extendedprice), 6) as s, round(ln(l_extendedprice), 6) as l, round(exp(l_tax), 6) as e,
-        cast(l_partkey % 7 as bigint) as m, abs(l_quantity - 25) as a, sign(l_quantity - 25) as g, greatest(l_tax, l_discount) as hi, least(l_tax, l_discount) as lo, round(power(l_quantity, 2), 4) as sq from {lineitem}""",
+        select l_orderkey, l_linenumber, l_quantity, cast(floor(l_extendedprice / 7) as bigint) as f, cast(ceil(l_discount * 10) as bigint) as c, round(sqrt(l_extendedprice), 6) as s, round(ln(l_extendedprice), 6) as l, round(exp(l_tax), 6) as e,
+        cast(l_partkey % 7 as bigint) as m, abs(l_quantity - 25) as a, cast(sign(l_quantity - 25) as double) as g, greatest(l_tax, l_discount) as hi, least(l_tax, l_discount) as lo, round(power(l_quantity, 2), 4) as sq from {lineitem}""",
     "conditional_functions": """
         select c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'other') as seg, case when c_acctbal < 0 then 'debt' when c_acctbal < 5000 then 'some' else 'rich' end as band from {customer}""",
     "null_semantics": """

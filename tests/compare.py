@@ -40,8 +40,15 @@ def oracle(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+#: Spark's names of DuckDB's types.
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "FLOAT": "float"}
+
+
 def differences(df, con, sql: str) -> str:
     """Empty if both sides agree."""
+    kinds = {r[0]: TYPES.get(r[1], r[1]) for r in con.execute(f"describe {sql}").fetchall()}
+    if kinds != dict(df.dtypes):
+        return f"types {df.dtypes} and {kinds}"
     ours = bag(df.collect(), df.columns)
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
