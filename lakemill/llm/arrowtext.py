@@ -24,6 +24,8 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Ite
         stop = max(start + 1, int(np.searchsorted(ends, before + budget, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    # what Arrow keeps for later would add up over the stages that a worker serves
+    pa.default_memory_pool().release_unused()
 
 
 def split(text: pa.Array, pattern: str, lower: bool = True, by: str = " ") -> tuple[np.ndarray, pa.Array, np.ndarray]:

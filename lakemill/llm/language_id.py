@@ -22,6 +22,8 @@ BUCKETS = 1 << 16
 LONGEST = 4
 #: Shares of a word's uses in its main language at which lexicon features part.
 CONFIDENCE = (0.5, 0.7, 0.9, 0.99)
+#: Words of a vocabulary that have their features in memory at once.
+WORDS_AT_ONCE = 8192
 #: Words of a block: blocks of all chains are worked through side by side.
 BLOCK = 64
 #: Words of a chain that are held in memory at once, with their messages.
@@ -40,9 +42,13 @@ class Model:
 
     def emissions(self, vocabulary: pa.Array) -> np.ndarray:
         """The score of each word of a vocabulary for each language."""
-        features, counts = features_of(vocabulary)
-        at = np.fromiter((self.lexicon.get(w, 0) for w in vocabulary.to_pylist()), dtype=np.int64, count=len(vocabulary))
-        return sums(self.weights[features], counts) + self.lexicon_weights[at]
+        out = np.empty((len(vocabulary), len(self.langs)))
+        for start in range(0, len(vocabulary), WORDS_AT_ONCE):
+            part = vocabulary[start : start + WORDS_AT_ONCE]
+            features, counts = features_of(part)
+            at = np.fromiter((self.lexicon.get(w, 0) for w in part.to_pylist()), dtype=np.int64, count=len(part))
+            out[start : start + len(part)] = sums(self.weights[features], counts) + self.lexicon_weights[at]
+        return out
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -355,7 +361,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 ids, vocabulary, counts = split(part.column(text_col), NOT_LETTERS)
                 full = np.flatnonzero(counts)
                 if own is not None and len(full):
-                    mean, _ = decode(own.emissions(vocabulary).astype(np.float64), ids, counts[full], own.transitions)
+                    mean, _ = decode(own.emissions(vocabulary), ids, counts[full], own.transitions)
                     langs[full] = np.array(own.langs, dtype=object)[mean.argmax(axis=1)]
                     scores[full] = np.minimum(1.0, mean.max(axis=1))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(scores)], [*columns, *names])
@@ -379,7 +385,7 @@ def segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part in slices(batch, text_col):
                 ids, vocabulary, counts = split(part.column(text_col), NOT_LETTERS)
-                _, states = decode(own.emissions(vocabulary).astype(np.float64), ids, counts[counts > 0], own.transitions)
+                _, states = decode(own.emissions(vocabulary), ids, counts[counts > 0], own.transitions)
                 chain = np.repeat(np.arange(len(counts)), counts)
                 new = np.ones(len(ids), dtype=bool)
                 new[1:] = (states[1:] != states[:-1]) | (chain[1:] != chain[:-1])

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.arrowtext import slices
 
-#: Encodings of chunks that a Python worker keeps, in about 250 bytes each; when full, it starts anew.
-CACHED_CHUNKS = 400_000
+#: Encodings of chunks that a task keeps, in about 250 bytes each; once full, rarer ones are encoded again.
+CACHED_CHUNKS = 250_000
 #: Bytes of text that are encoded at once: the more, the fewer chunks are looked up twice.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: White space that may be cut at: no pre-token spans it.
 BLANK = r"[ \n\t]+"
 #: ASCII punctuation, apostrophes aside, between a letter and white space: a pre-token of its own. (Other capitals: one gets a mark when lowered.)
@@ -49,7 +49,15 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.merges = self.tokenizer.model
         self.letters = byte_letters()
-        self._reset()
+        self.forget()
+
+    def forget(self) -> None:
+        """Let all encodings go."""
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 20, dtype=np.uint32)
+        self.starts = np.zeros(1 << 18, dtype=np.int64)
+        self.sizes = np.zeros(1 << 18, dtype=np.int64)
+        self.used = 0
 
     def _whole(self, chunks: list[str]) -> list[list[int]]:
         """The ids of each chunk."""
@@ -61,13 +69,6 @@ class ChunkEncoder:
             out[i] = e.ids
         return out
 
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.starts = np.zeros(1 << 18, dtype=np.int64)
-        self.sizes = np.zeros(1 << 18, dtype=np.int64)
-        self.used = 0
-
     def _room(self, name: str, size: int) -> np.ndarray:
         old = getattr(self, name)
         if len(old) < size:
@@ -77,22 +78,21 @@ class ChunkEncoder:
         return getattr(self, name)
 
     def _slots(self, chunks: list[str]) -> np.ndarray:
-        """The number of each chunk, which has to be new or known."""
-        if len(self.known) + len(chunks) > CACHED_CHUNKS:
-            self._reset()
+        """The number of each chunk; the numbers of those that aren't kept hold until the next call."""
         slots = np.fromiter((self.known.get(c, -1) for c in chunks), dtype=np.int64, count=len(chunks))
         fresh = [chunks[i] for i in np.flatnonzero(slots < 0)]
         if fresh:
-            first = len(self.known)
+            first, end = len(self.known), len(self.known) + len(fresh)
             encoded = self._whole(fresh)
             sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(fresh))
             total = int(sizes.sum())
             self._room("ids", self.used + total)[self.used : self.used + total] = np.concatenate([np.asarray(e, dtype=np.uint32) for e in encoded])
-            self._room("sizes", first + len(fresh))[first : first + len(fresh)] = sizes
-            self._room("starts", first + len(fresh))[first : first + len(fresh)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-            slots[slots < 0] = np.arange(first, first + len(fresh))
+            self._room("sizes", end)[first:end] = sizes
+            self._room("starts", end)[first:end] = self.used + np.cumsum(sizes) - sizes
+            slots[slots < 0] = np.arange(first, end)
+            if end <= CACHED_CHUNKS:
+                self.used += total
+                self.known.update(zip(fresh, range(first, end), strict=True))
         return slots
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +112,7 @@ class ChunkEncoder:
 
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each Python worker, on one thread: tasks take the cores."""
+    """One tokenizer for each Python worker, on one thread: tasks take the cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ChunkEncoder(path)
 
@@ -160,9 +160,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
     """Each document's ids, cut every ``capacity``: (id, start, length, ids_crc32, doc_tokens, salt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(vocabulary)
         for batch in batches:
             for part in slices(batch, text_col, SLICE_BYTES):
-                ids, counts = encoder(vocabulary).encode(part.column(text_col))
+                ids, counts = own.encode(part.column(text_col))
                 rows, at = [], 0
                 for i, n in enumerate(counts.tolist()):
                     whole = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
@@ -170,6 +171,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
                     rows += [(i, s, len(piece := whole[s : s + capacity]), zlib.crc32(piece.tobytes()), n + 1) for s in range(0, n + 1, capacity)]
                 index, *rest = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(index)), *map(pa.array, rest), part.column("salt").take(pa.array(index))], [id_col, "start", "length", "ids_crc32", "doc_tokens", "salt"])
+        own.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     salted = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), F.xxhash64(F.lit("packing"), id_col, F.monotonically_increasing_id()).alias("salt"))
