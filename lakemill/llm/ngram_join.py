@@ -16,6 +16,8 @@ from lakemill.llm.storage import cut, tasks
 
 #: What one comparison holds of each of two blocks: documents and shingles, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_500_000
+#: Classes under a prefix up to which it is shortened by a value more than the target recall asks.
+FEW = 8
 #: Shingles that are compared at once.
 COLUMNS = 4096
 
@@ -84,19 +86,23 @@ def set_keys(hashes: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     return out
 
 
-def prefixes(hashes: np.ndarray, counts: np.ndarray, trees: int, depth: int, seed: int = 1) -> np.ndarray:
-    """A hash of each tree's prefix of MinHash values, for each text with shingles."""
+def prefixes(hashes: np.ndarray, counts: np.ndarray, trees: int, depth: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each text with shingles and each tree: a hash of all but the last of its ``depth`` MinHash values, and 32 bits of the last."""
     starts = (np.cumsum(counts) - counts)[counts > 0]
     random = np.random.default_rng(seed)
     factors = random.integers(1 << 63, size=trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     terms = random.integers(1 << 63, size=trees * depth, dtype=np.uint64)
-    out = np.empty((len(starts), trees), dtype=np.uint64)
+    stems, tips = np.empty((len(starts), trees), dtype=np.uint64), np.empty((len(starts), trees), dtype=np.uint32)
     for t in range(trees):
-        prefix = np.full(len(starts), t + 1, dtype=np.uint64)
+        stem = np.full(len(starts), t + 1, dtype=np.uint64)
         for k in range(t * depth, (t + 1) * depth):
-            prefix = mix(prefix * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashes * factors[k] + terms[k], starts))
-        out[:, t] = prefix
-    return out.view(np.int64)
+            least = np.minimum.reduceat(hashes * factors[k] + terms[k], starts)
+            if k + 1 < (t + 1) * depth:
+                stem = mix(stem * np.uint64(0x9E3779B97F4A7C15) + least)
+            else:
+                tips[:, t] = mix(least) >> np.uint64(32)
+        stems[:, t] = stem
+    return stems.view(np.int64), tips.view(np.int32)
 
 
 def leads(linked: np.ndarray) -> np.ndarray:
@@ -138,7 +144,7 @@ def linked_sets(hashes: np.ndarray, counts: np.ndarray, threshold: float) -> np.
 
 
 def profile(docs: DataFrame, width: int, trees: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """For each row: id, a key of id and text, a key of its shingle set, the set's size and its prefixes."""
+    """For each row: id, a key of id and text, a key of its shingle set, the set's size and its prefixes in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,15 +152,16 @@ def profile(docs: DataFrame, width: int, trees: int, depth: int, id_col: str, te
                 hashes, counts = shingle_sets(part.column(text_col), width)
                 full = counts > 0
                 at = np.where(full, np.cumsum(full) - 1, -1)
-                flat = prefixes(hashes, counts, trees, depth).ravel()
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, trees), pa.int32()), pa.array(flat))
+                at = pa.array(at, mask=~full)
+                ends = pa.array(np.arange(int(full.sum()) + 1) * trees, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())).take(at) for x in prefixes(hashes, counts, trees, depth)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), part.column("rkey"), pa.array(set_keys(hashes, counts), pa.binary()), pa.array(counts, pa.int64()), lists.take(pa.array(at, mask=~full))],
-                    [id_col, "rkey", "ckey", "n", "keys"],
+                    [part.column(id_col), part.column("rkey"), pa.array(set_keys(hashes, counts), pa.binary()), pa.array(counts, pa.int64()), *lists],
+                    [id_col, "rkey", "ckey", "n", "stems", "tips"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.mapInArrow(run, f"`{id_col}` {kind}, rkey long, ckey binary, n long, keys array<long>")
+    return docs.mapInArrow(run, f"`{id_col}` {kind}, rkey long, ckey binary, n long, stems array<long>, tips array<int>")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = 40, deepest: int = 8, target: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,8 +170,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees:
     Rows with equal shingle sets are a class. A class has a MinHash signature
     with a prefix for each of ``trees`` tries; prefixes are shortened until the
     tries find a pair at the threshold with probability ``target``
-    (:func:`forest_depth`), and classes under one prefix are candidates.
-    Candidates that hang together are gathered by connected components, each
+    (:func:`forest_depth`), and by one value more wherever few classes share what
+    is left, which finds yet more and costs little. Classes under one prefix are
+    candidates. Candidates that hang together are gathered by connected components, each
     with the whole text of one document, and compared exactly, all with all;
     groups beyond a size are cut into blocks, and each pair of blocks is
     compared apart. Pairs never become rows: a comparison returns a count of
@@ -190,15 +198,11 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees:
     # a node is the first half of a class's key: two classes that share it are compared, no more
     node = F.conv(F.substring(F.hex("ckey"), 1, 15), 16, 10).cast("long")
     classes = profiles.where("ckey is not null").groupBy("ckey").agg(
-        F.count("*").alias("size"), F.min(id_col).alias("class_id"), F.min(F.struct(id_col, "rkey")).rkey.alias("rkey"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        F.count("*").alias("size"), F.min(id_col).alias("class_id"), F.min(F.struct(id_col, "rkey")).rkey.alias("rkey"), F.first("n").alias("n"), F.first("stems").alias("stems"), F.first("tips").alias("tips")
     )
     classes = cut(classes.withColumn("node", node), "classes")
-    members = classes.select("node", F.explode("keys").alias("prefix"))
-    tries = cut(members.groupBy("prefix").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("k")).where("k > 1 and low < high"), "tries")
-    pairs = tries.where("k = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
-    larger = members.join(tries.where("k > 2").select("prefix", "low"), "prefix").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    near = cut(components(pairs.unionByName(larger), "a", "b", "node", "near"), "near")
-    known = classes.drop("keys", "class_id").join(near, "node")
+    near = cut(components(_candidates(classes.select("node", "stems", "tips"), depth), "a", "b", "node", "near"), "near")
+    known = classes.drop("stems", "tips", "class_id").join(near, "node")
     shape = known.groupBy("near").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
     shape = shape.select("near", F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_SHINGLES)).alias("blocks"))
     members = cut(known.join(shape, "near").withColumn("block", F.pmod(F.xxhash64("ckey"), F.col("blocks"))).drop("node", "n"), "members")
@@ -217,6 +221,26 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees:
     return found.select(id_col, own("class_id"), n_links.alias("n_links"), own("component_id"), (F.col("ckey").isNull() | (F.col("rkey") == F.col("head"))).alias("kept"), "rkey")
 
 
+def _candidates(classes: DataFrame, depth: int) -> DataFrame:
+    """Edges (a, b) that hang together the classes under one prefix of a trie.
+
+    A trie is walked from its short prefixes: one that few classes share is taken
+    whole, so that these are matched a value sooner than the target asks; under
+    the others classes are matched by the prefix with its last value.
+    """
+    leaves = classes.select("node", F.explode(F.arrays_zip("stems", "tips")).alias("leaf")).select("node", F.col("leaf.stems").alias("stem"), F.col("leaf.tips").alias("tip"))
+    shared = lambda rows, key: rows.groupBy(key).agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("k")).where("k > 1 and low < high")
+    stems = cut(shared(leaves, "stem"), "stems")
+    fits = F.col("k") <= (FEW if depth > 1 else 0)
+    below = leaves.join(stems.where(~fits).select("stem"), "stem").select("node", F.xxhash64("stem", "tip").alias("prefix"))
+    below = cut(below, "leaves")
+    tries = cut(shared(below, "prefix"), "tries")
+    some = leaves.join(stems.where(fits & (F.col("k") > 2)).select("stem", "low"), "stem").select("node", "low")
+    many = below.join(tries.where("k > 2").select("prefix", "low"), "prefix").select("node", "low")
+    pairs = stems.where(fits & (F.col("k") == 2)).unionByName(tries.where("k = 2"), allowMissingColumns=True).select(F.col("high").alias("a"), F.col("low").alias("b"))
+    return pairs.unionByName(some.unionByName(many).where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+
+
 def _compare(rows: DataFrame, members: DataFrame, width: int, threshold: float, text_col: str) -> DataFrame:
     """Candidate classes compared within their groups: (ckey, links, lead, blocks)."""
     texts = rows.select("rkey", text_col).join(members.hint("shuffle_hash"), "rkey").dropDuplicates(["rkey"])

@@ -50,6 +50,15 @@ def test_join_equals_brute_force(spark, blocks):
         assert (got[i].class_id, got[i].n_links, got[i].component_id, got[i].kept) == want, t
 
 
+@pytest.mark.parametrize("few", [0, 2, 1000])
+def test_tries_find_large_and_small_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    texts = [t for i in range(3) for t in variants(words(i, 200), 15 * i + 2, i)] + [prose(70 + i, 50) for i in range(10)]
+    links, group = brute(texts)
+    got = {r.doc_id: r for r in ngram_join.jaccard_join(docs(spark, texts)).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (sum(i in link for link in links), group[i]) for i in range(len(texts)))
+
+
 def test_join_of_repeated_ids_null_ids_and_nothing(spark):
     a, b = prose(1, 40), prose(2, 40)
     df = docs(spark, [a, a, a, b, b, None], doc_id=[4, 4, None, None, 9, None])
