@@ -39,10 +39,11 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end
     by = by or []
     bucket = lambda c: F.floor(F.col(c).cast("double") / width)
     a = points.withColumn("_bucket", bucket(point))
-    b = ranges.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end)))) if by == [] else ranges.select("*", F.explode(F.sequence(bucket(start), bucket(end))).alias("_bucket")).withColumnsRenamed({k: f"_r_{k}" for k in by})
+    b = ranges.withColumnsRenamed({k: f"_by_{k}" for k in by})
+    b = b.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
     on: Column = a["_bucket"] == b["_bucket"]
     for k in by:
-        on &= a[k] == b[f"_r_{k}"]
+        on &= a[k] == b[f"_by_{k}"]
     found = a.join(b, on & a[point].between(b[start], b[end]))
     return found.select(*(a[c] for c in points.columns), *(b[c] for c in ranges.columns if c not in by))
 
