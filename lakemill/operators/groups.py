@@ -1,4 +1,4 @@
-"""Operators on groups of rows: top rows, latest rows, sessions, gaps, skewed sums."""
+"""Operators on groups of rows: top rows, latest rows, sessions, gaps, distinct counts."""
 
 from __future__ import annotations
 
@@ -39,18 +39,6 @@ def fill_days(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
     return days.join(df.select(key, day, value), [key, day], "left").withColumn(value, F.last(value, ignorenulls=True).over(carried))
 
 
-def salted_agg(df: DataFrame, keys: list[str], sums: dict[str, str], salts: int) -> DataFrame:
-    """Sums by key in two steps, the first spread over ``salts`` tasks for each key.
-
-    For aggregates that can't be combined before the shuffle Spark brings a hot
-    key's rows to one task; plain sums don't need this, they are combined anyway,
-    but distinct counts of keys below do.
-    """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    part = df.withColumn("_salt", salt).groupBy(*keys, "_salt").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
-    return part.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in sums))
-
-
 def distinct_per_key(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Exact distinct counts: pairs are made distinct map-side first, so a hot key brings each value once."""
     return df.select(*keys, value).distinct().groupBy(*keys).agg(F.count(value).alias(name))

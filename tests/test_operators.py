@@ -67,9 +67,8 @@ def test_top_per_key_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
 
 
-def test_salted_sums_and_distinct_counts(spark):
+def test_distinct_counts(spark):
     df = spark.createDataFrame([("a", i % 7) for i in range(100)] + [("b", None)], "k string, v int")
-    assert rows(groups.salted_agg(df, ["k"], {"s": "v"}, 5)) == rows(df.groupBy("k").agg(F.sum("v").alias("s")))
     assert rows(groups.distinct_per_key(df, ["k"], "v", "n")) == [("a", 7), ("b", 0)]
 
 
