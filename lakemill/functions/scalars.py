@@ -11,10 +11,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def email_like(text: Column) -> Column:
-    return text.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
-
-
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#:]+)", 1))
 
@@ -27,9 +23,3 @@ def tokens(text: Column) -> Column:
 def dot(a: Column, b: Column) -> Column:
     """The inner product of two arrays of numbers, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def without_tags(html: Column) -> Column:
-    """The text between tags of a page, scripts and styles left out, white space run together."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), r"\s+", " "))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions import scalars
-from lakemill.operators import groups, joins, search
+from lakemill.operators import groups, joins
 from lakemill.sources.tables import table
 from lakemill.streaming import events as stream
 
@@ -87,27 +87,18 @@ def explode_words(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+def text_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations").select("conv_id", "turn", scalars.tokens(F.col("text")).cast("long").alias("tokens"), F.length("text").cast("long").alias("chars"))
 
 
-def text_screen(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", scalars.email_like(F.col("text")).alias("has_email"), scalars.tokens(F.col("text")).cast("long").alias("tokens"), F.length("text").cast("long").alias("chars"))
+def array_norms(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", F.round(scalars.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
 
 
-def vector_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = table(spark, folder, "embeddings")
-    return search.nearest(vectors, vectors.where("vec_id % 100 = 0"), 5, "vec_id", "embedding")
-
-
-def page_hosts(spark: SparkSession, folder: str) -> DataFrame:
+def url_hosts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").groupBy(scalars.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-def page_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", F.md5(scalars.without_tags(F.col("html"))).alias("digest"))
-
-
 def conversation_shape(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("role", "turn").alias("last_role"), F.sum(F.length("text")).alias("chars"))
     return found.groupBy("turns", "last_role").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
@@ -122,8 +113,8 @@ def sliding_windows(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        as_of, range_join, salted_join, top_per_key, latest_per_key, sessionize, fill_days, distinct_per_key, pivot, unpivot, ordered_names, json_paths, arrays_and_maps, explode_words, exact_duplicates,
-        text_screen, vector_top_k, page_hosts, page_text, conversation_shape, sliding_windows,
+        as_of, range_join, salted_join, top_per_key, latest_per_key, sessionize, fill_days, distinct_per_key, pivot, unpivot, ordered_names, json_paths, arrays_and_maps, explode_words, text_lengths,
+        array_norms, url_hosts, conversation_shape, sliding_windows,
     )
 }
 
@@ -159,16 +150,10 @@ ORACLE_SQL = {
         select p_partkey, len(w) as n, len(list_filter(w, lambda x: length(x) > 4)) as n_long, array_to_string(list_sort(w), '|') as ordered, w[1] as head, cast(list_sum(list_transform(w, lambda x: length(x))) as bigint) as letters
         from (select p_partkey, string_split(p_name, ' ') as w from part) t""",
     "explode_words": "select word, count(*) as n from (select unnest(string_split(p_name, ' ')) as word from part) t group by word",
-    "exact_duplicates": "select md5(text) as digest, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
-    "text_screen": r"""
-        select doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') as has_email,
-        case when trim(text) = '' then 0 else len(regexp_split_to_array(trim(text), '\s+')) end as tokens, length(text) as chars from documents""",
-    "vector_top_k": """
-        select q.vec_id as query_id, e.vec_id, round(list_inner_product(cast(q.embedding as double[]), cast(e.embedding as double[])), 6) as score
-        from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0 qualify row_number() over (partition by q.vec_id order by score desc, e.vec_id) <= 5""",
-    "page_hosts": "select lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) as host, count(*) as n from pages group by 1",
-    "page_text": r"""
-        select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)(<script[^>]*>.*?</script>|<style[^>]*>.*?</style>)', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) as digest from pages""",
+    "text_lengths": r"""
+        select conv_id, turn, case when trim(text) = '' then 0 else len(regexp_split_to_array(trim(text), '\s+')) end as tokens, length(text) as chars from conversations""",
+    "array_norms": "select vec_id, round(list_inner_product(cast(embedding as double[]), cast(embedding as double[])), 6) as norm from embeddings",
+    "url_hosts": "select lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) as host, count(*) as n from pages group by 1",
     "conversation_shape": """
         with c as (select conv_id, count(*) as turns, max_by(role, turn) as last_role, sum(length(text)) as chars from conversations group by conv_id)
         select turns, last_role, count(*) as n, cast(sum(chars) as bigint) as chars from c group by turns, last_role""",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakemill.functions import scalars
-from lakemill.operators import groups, joins, search
+from lakemill.operators import groups, joins
 
 
 def rows(df):
@@ -73,12 +73,6 @@ def test_distinct_counts(spark):
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([("  two words ", "http://A.b:80/x", "<p>a</p><script>x</script> b"), ("", "", ""), (None, None, None)], "t string, u string, h string")
-    got = df.select(scalars.tokens(F.col("t")), scalars.host(F.col("u")), scalars.without_tags(F.col("h")), scalars.ratio(F.lit(1), F.lit(0))).collect()
-    assert [tuple(r) for r in got] == [(2, "a.b", "a b", None), (0, "", "", None), (0, None, None, None)]
-
-
-def test_nearest_in_blocks_equals_one_pass(spark):
-    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "i long, v array<float>")
-    one, many = (rows(search.nearest(df, df.where("i % 10 = 0"), 3, "i", "v", block)) for block in (100, 2))
-    assert one == many and len(one) == 18
+    df = spark.createDataFrame([("  two words ", "http://A.b:80/x", [3.0, 4.0]), ("", "", []), (None, None, None)], "t string, u string, a array<float>")
+    got = df.select(scalars.tokens(F.col("t")), scalars.host(F.col("u")), scalars.dot(F.col("a"), F.col("a")), scalars.ratio(F.lit(1), F.lit(0))).collect()
+    assert [tuple(r) for r in got] == [(2, "a.b", 25.0, None), (0, "", 0.0, None), (0, None, None, None)]
