@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.llm.storage import cut
+
 #: What stands between two words, for SQL's and the operator's text alike.
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -101,6 +103,7 @@ def leaks(
 
 def _leaks_in_block(docs: DataFrame, items: DataFrame, width: int, threshold: float, hashes: int, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     exact = items.select(F.monotonically_increasing_id().alias("_row"), "_item", shingles(F.col("_item_text"), width).alias("_item_sh"), shingle_hashes(F.col("_item_text"), width).alias("sh")).where(F.size("sh") > 0)
+    exact = cut(exact, "items")
     sketch = exact.select("_row", F.size("sh").alias("q"), sketch_of("sh", hashes).alias("sk"))
     keys = sorted({h for r in sketch.select("sk").collect() for h in r.sk})
     # at least 256 bits for each key, so that one shingle in 10,000 passes by mistake
