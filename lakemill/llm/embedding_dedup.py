@@ -85,7 +85,10 @@ def near_duplicates(
     """
     bits, tables = tables_for(vectors.count(), threshold, miss)
     id_type, label = vectors.schema[id_col].dataType.simpleString(), F.col(label_col) if label_col else F.lit(0)
-    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.xxhash64(label).alias("lab"), label.isNotNull().alias("labelled"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.xxhash64(label).alias("lab"), label.isNotNull().alias("labelled"), F.col(vector_col).alias("v"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    if kind not in ("array<float>", "array<double>"):
+        kind, rows = "array<double>", rows.withColumn("v", F.col("v").cast("array<double>"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,13 +99,10 @@ def near_duplicates(
                 at = np.full(part.num_rows, -1)
                 at[good] = np.arange(len(good))
                 take = pa.array(at, mask=at < 0)
-                counted = np.concatenate([[0], np.cumsum(sizes)])
-                flat = units[np.arange(units.shape[1])[None, :] < sizes[:, None]]
-                unit = pa.ListArray.from_arrays(pa.array(counted, pa.int32()), pa.array(flat)).take(take)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1) * tables, pa.int32()), pa.array(keys.ravel())).take(take)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "id", "lab")), unit, lists], ["rid", "id", "lab", "v", "keys"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "id", "lab", "v")), lists], ["rid", "id", "lab", "v", "keys"])
 
-    known = cut(rows.mapInArrow(keyed, f"rid long, id {id_type}, lab long, v array<double>, keys array<int>"), "vectors")
+    known = cut(rows.mapInArrow(keyed, f"rid long, id {id_type}, lab long, v {kind}, keys array<int>"), "vectors")
     usable = known.where("keys is not null")
     met = usable.select("rid", "lab", F.size("v").alias("dim"), F.posexplode("keys").alias("t", "key")).select("rid", "t", F.xxhash64("lab", "dim", "t", "key").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket", F.ceil(F.col("k") / BLOCK).alias("blocks"))
@@ -136,7 +136,7 @@ def _compare(usable: DataFrame, members: DataFrame, threshold: float) -> DataFra
             n = len(group)
             if n < 2:
                 continue
-            v = group.column("v").flatten().to_numpy().reshape(n, -1)
+            _, v, _ = unit_vectors(group.column("v"))
             linked = v @ v.T >= threshold
             np.fill_diagonal(linked, False)
             if group.column("one")[0] != group.column("two")[0]:
