@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,8 @@ def near_duplicates(
     """Vectors linked by a cosine of ``threshold`` or more, and the groups that links make.
 
     Only vectors of one length, and of one label where ``label_col`` is given,
-    are compared; a null label is compared with none. Vectors that share a key
+    are compared; a null label is compared with none. Equal vectors are one class,
+    for which one of them is compared. Vectors that share a key
     in one of the tables (:func:`tables_for`) are candidates, and each candidate
     pair is verified by its cosine in double precision, in the first table in
     which it meets. Keys held by many vectors are cut into blocks, and each pair
@@ -99,11 +101,18 @@ def near_duplicates(
                 at = np.full(part.num_rows, -1)
                 at[good] = np.arange(len(good))
                 take = pa.array(at, mask=at < 0)
+                labels = part.column("lab").to_numpy()
+                raw = part.column("v").to_pylist() if len(good) else []
+                classes = [None] * part.num_rows
+                for i in good.tolist():
+                    classes[i] = xxhash.xxh3_128_digest(np.array(raw[i], dtype=np.float64).tobytes() + labels[i].tobytes())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1) * tables, pa.int32()), pa.array(keys.ravel())).take(take)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "id", "lab", "v")), lists], ["rid", "id", "lab", "v", "keys"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "id", "lab", "v")), lists, pa.array(classes, pa.binary())], ["rid", "id", "lab", "v", "keys", "class"])
 
-    known = cut(rows.mapInArrow(keyed, f"rid long, id {id_type}, lab long, v {kind}, keys array<int>"), "vectors")
+    known = cut(rows.mapInArrow(keyed, f"rid long, id {id_type}, lab long, v {kind}, keys array<int>, class binary"), "vectors")
     usable = known.where("keys is not null")
+    classes = cut(usable.groupBy("class").agg(F.count("*").alias("size"), F.min("rid").alias("rid")), "classes")
+    usable = cut(usable.select("rid", "lab", "v", "keys").join(classes.select("rid", "size"), "rid"), "distinct")
     met = usable.select("rid", "lab", F.size("v").alias("dim"), F.posexplode("keys").alias("t", "key")).select("rid", "t", F.xxhash64("lab", "dim", "t", "key").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket", F.ceil(F.col("k") / BLOCK).alias("blocks"))
     members = cut(met.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))), "members")
@@ -111,9 +120,11 @@ def near_duplicates(
     links = compared.groupBy("rid").agg(F.sum("links").alias("links"))
     edges = compared.where("lead <> rid").select("rid", "lead")
     tops = components(edges, "rid", "lead", "rid", "top")
-    found = known.select("rid", "id").join(links, "rid", "left").join(tops, "rid", "left").withColumn("top", F.coalesce("top", "rid"))
+    groups = classes.join(links, "rid", "left").join(tops, "rid", "left").select("class", "size", "links", F.coalesce("top", "rid").alias("top"))
+    found = known.select("rid", "id", "class").join(groups, "class", "left").withColumn("top", F.coalesce("top", "rid"))
     heads = found.groupBy("top").agg(F.min("id").alias("component_id"))
-    out = found.join(heads, "top").select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id")
+    n_links = F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
+    out = found.join(heads, "top").select(F.col("id").alias(id_col), n_links.alias("n_links"), "component_id")
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
@@ -121,7 +132,7 @@ def _compare(usable: DataFrame, members: DataFrame, threshold: float) -> DataFra
     """Vectors compared under each key they share: (rid, links, lead)."""
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").cast("long").alias("one"), F.greatest(x, "block").cast("long").alias("two")))).alias("pair")
     placed = members.select("*", other).select("rid", "t", "bucket", "block", "pair.one", "pair.two")
-    placed = placed.join(usable.select("rid", "lab", "v", "keys"), "rid").repartition(tasks(members), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    placed = placed.join(usable.select("rid", "size", "v", "keys"), "rid").repartition(tasks(members), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, links, lead = [], [], []
@@ -151,7 +162,7 @@ def _compare(usable: DataFrame, members: DataFrame, threshold: float) -> DataFra
                 linked &= keys[:, None, earlier] != keys[None, :, earlier]
             ids = group.column("rid").to_numpy()
             rid.append(ids)
-            links.append(linked.sum(axis=1))
+            links.append(linked @ group.column("size").to_numpy())
             lead.append(ids[leads(linked)])
             if sum(map(len, rid)) > 10_000:
                 yield out()

@@ -105,6 +105,8 @@ def near_vectors(seed=0):
 def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rows = near_vectors()
+    rows += [(1000 + i, rows[i % 5][1], rows[i % 5][2]) for i in range(40)] + [(2000 + i, rows[0][1], 2) for i in range(3)]
+    rows = [(i, v, label) for i, (_, v, label) in enumerate(rows)]
     x = np.array([v for _, v, _ in rows], dtype=float)
     x /= np.linalg.norm(x, axis=1)[:, None]
     labels = np.array([label for *_, label in rows])
