@@ -21,8 +21,8 @@ from lakemill.llm.arrowtext import slices
 CACHED_CHUNKS = 250_000
 #: Bytes of text that are encoded at once: the more, the fewer chunks are looked up twice.
 SLICE_BYTES = 2_000_000
-#: White space that may be cut at: no pre-token spans it.
-BLANK = r"[ \n\t]+"
+#: White space that may be cut at: no pre-token spans it. (What stands between two of them is an empty chunk, without ids.)
+BLANKS = (" ", "\n", "\t")
 #: ASCII punctuation, apostrophes aside, between a letter and white space: a pre-token of its own. (Other capitals: one gets a mark when lowered.)
 AFTER_WORD = r"([\p{Ll}\p{Lm}\p{Lo}A-Z])([!-&(-/:-@\[-`{-~]+)([ \n\t]|$)"
 
@@ -98,8 +98,9 @@ class ChunkEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has; nulls count as empty."""
         spaced = pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=AFTER_WORD, replacement=r"\1 \2\3")
-        spaced = pc.replace_substring_regex(spaced, pattern=BLANK, replacement=" ")
-        lists = pc.split_pattern(spaced, pattern=" ")
+        for blank in BLANKS[1:]:
+            spaced = pc.replace_substring(spaced, pattern=blank, replacement=BLANKS[0])
+        lists = pc.split_pattern(spaced, pattern=BLANKS[0])
         coded = lists.flatten().dictionary_encode()
         slot = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         sizes, starts = self.sizes[slot], self.starts[slot]
