@@ -298,11 +298,11 @@ def expectations(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarra
     return out, pairs
 
 
-def draw_spans(docs: DataFrame, per_lang: int, spans: int, length: int, seed: int, text_col: str, lang_col: str) -> list[tuple[str, str]]:
+def draw_spans(docs: DataFrame, per_lang: int, spans: int, length: int, text_col: str, lang_col: str, hash_col: str) -> list[tuple[str, str]]:
     """Random spans of whole texts, from about ``per_lang`` documents of each language.
 
-    Documents are drawn by a seeded hash of their text, at a rate that the count
-    of their language sets; a document gives up to ``spans`` spans of up to
+    Documents are drawn by their hash, at a rate that the count of their language
+    sets; a document gives up to ``spans`` spans of up to
     ``length`` words from all over its text. So what reaches the driver is
     bounded however many documents there are.
     """
@@ -310,17 +310,17 @@ def draw_spans(docs: DataFrame, per_lang: int, spans: int, length: int, seed: in
     if not counts:
         return []
     rates = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))))
-    part = F.pmod(F.xxhash64(F.lit(seed), text_col), F.lit(1 << 30)) / (1 << 30)
-    drawn = docs.where(part < F.element_at(rates, F.col(lang_col))).select(lang_col, text_col)
+    part = F.pmod(hash_col, F.lit(1 << 30)) / (1 << 30)
+    drawn = docs.where(part < F.element_at(rates, F.col(lang_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in slices(batch, text_col):
                 ids, vocabulary, counts = split(one.column(text_col), NOT_LETTERS)
                 vocabulary, ends = vocabulary.to_pylist(), np.cumsum(counts)
-                langs, out = one.column(lang_col).to_pylist(), []
-                for lang, n, end in zip(langs, counts.tolist(), ends.tolist(), strict=True):
-                    random = np.random.default_rng([seed, n, int(ids[end - n]) if n else 0])
+                langs, hashes, out = one.column(lang_col).to_pylist(), one.column(hash_col).to_pylist(), []
+                for lang, h, n, end in zip(langs, hashes, counts.tolist(), ends.tolist(), strict=True):
+                    random = np.random.default_rng(h % 2**64)
                     starts = sorted({0, *random.integers(0, max(1, n - length + 1), size=spans - 1).tolist()}) if n else []
                     out += [(lang, " ".join(vocabulary[i] for i in ids[end - n + s : min(end, end - n + s + length)])) for s in starts]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["lang", "span"])
@@ -336,8 +336,10 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, per_lang: int = 500, spans: int = 6, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from a sample of the documents that are not held out; none if none has words and a language."""
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    found = draw_spans(rows, per_lang, spans, length, seed, "text", "lang")
+    # by id and text, so that neither copies of a text nor rows without an id are drawn all at once
+    drawn = F.xxhash64(F.lit(seed), id_col, text_col).alias("hash")
+    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), drawn)
+    found = draw_spans(rows, per_lang, spans, length, "text", "lang", "hash")
     return fit(found) if found else None
 
 
