@@ -119,7 +119,7 @@ def matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def learn(train: DataFrame, features: int = 200, scale: float = 3.0, ridge: float = 1e-3, seed: int = 11) -> Model | None:
-    """Fit on all rows of ``train`` (``x``, and ``y`` of 0 or 1); none if there are none.
+    """Fit on all rows of ``train`` (``x``, ``y`` from 0 to 1 and the weight ``w``); none if there are none.
 
     Each partition sums its part of the normal equations, and the parts are
     added up by key before they reach the driver, which gets one matrix of
@@ -141,7 +141,7 @@ def learn(train: DataFrame, features: int = 200, scale: float = 3.0, ridge: floa
         for batch in batches:
             if batch.num_rows:
                 z = model.features(matrix(batch))
-                both += z.T @ np.column_stack([z, batch.column("y").to_numpy()])
+                both += (z * batch.column("w").to_numpy()[:, None]).T @ np.column_stack([z, batch.column("y").to_numpy()])
                 rows += len(z)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(both.size)), pa.array(both.ravel())], ["cell", "value"])
@@ -156,18 +156,18 @@ def learn(train: DataFrame, features: int = 200, scale: float = 3.0, ridge: floa
     model.weights = model.inverse @ both[:, -1]
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, ones = np.zeros(BINS, dtype=np.int64), np.zeros(BINS, dtype=np.int64)
+        total, ones = np.zeros(BINS), np.zeros(BINS)
         for batch in batches:
             if batch.num_rows:
-                z, y = model.features(matrix(batch)), batch.column("y").to_numpy()
+                z, y, w = model.features(matrix(batch)), batch.column("y").to_numpy(), batch.column("w").to_numpy()
                 leverage = np.minimum(0.999, np.einsum("ni,ij,nj->n", z, model.inverse, z, optimize=True))
                 b = bin_of((z @ model.weights - leverage * y) / (1 - leverage))
-                total += np.bincount(b, minlength=BINS)
-                ones += np.bincount(b, y, minlength=BINS).astype(np.int64)
+                total += np.bincount(b, w, minlength=BINS)
+                ones += np.bincount(b, w * y, minlength=BINS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used]), pa.array(ones[used])], ["bin", "total", "ones"])
 
-    bins = train.mapInArrow(counts, "bin long, total long, ones long").groupBy("bin").agg(F.sum("total").alias("total"), F.sum("ones").alias("ones")).toPandas()
+    bins = train.mapInArrow(counts, "bin long, total double, ones double").groupBy("bin").agg(F.sum("total").alias("total"), F.sum("ones").alias("ones")).toPandas()
     total, ones = np.zeros(BINS), np.zeros(BINS)
     total[bins["bin"]], ones[bins["bin"]] = bins["total"], bins["ones"]
     model.calibrated = isotonic(total, ones)
@@ -191,7 +191,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: st
     """
     profiles = cut(profile(docs, id_col, text_col).withColumn("held_out", held_out(id_col)), "statistics")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("double").alias("y"))
-    train = cut(profiles.where("not held_out").join(known, F.col(id_col) == F.col("_id")).select("x", "y"), "train")
+    # one row for each id, so that an id with many rows on both sides isn't paired with itself
+    known = known.groupBy("_id").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
+    train = cut(profiles.where("not held_out").join(known, F.col(id_col) == F.col("_id")).select("x", "y", "w"), "train")
     model = learn(train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
