@@ -12,10 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.llm import familiarity
 from lakemill.llm.arrowtext import slices, split
 
 #: Words are runs of letters.
 NOT_LETTERS = r"[^\p{L}]+"
+#: Words that touch no digits: pieces of numbers and keys aren't of any language.
+NOT_PLAIN = r"(?:\p{L}*\p{N}[\p{L}\p{N}]*|[^\p{L}\p{N}]+)+"
 #: Weights of n-gram and affix features: a power of two.
 BUCKETS = 1 << 16
 #: Longest n-gram and affix, in letters.
@@ -298,9 +301,11 @@ def expectations(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarra
     return out, pairs
 
 
-def draw_spans(docs: DataFrame, per_lang: int, spans: int, length: int, text_col: str, lang_col: str, hash_col: str) -> list[tuple[str, str]]:
+def draw_spans(docs: DataFrame, per_lang: int, spans: int, length: int, text_col: str, lang_col: str, hash_col: str) -> list[tuple[str, str, bool]]:
     """Random spans of whole texts, from about ``per_lang`` documents of each language.
 
+    Each is (language, words, whether its document is of a random half).
+
     Documents are drawn by their hash, at a rate that the count of their language
     sets; a document gives up to ``spans`` spans of up to
     ``length`` words from all over its text. So what reaches the driver is
@@ -322,10 +327,10 @@ def draw_spans(docs: DataFrame, per_lang: int, spans: int, length: int, text_col
                 for lang, h, n, end in zip(langs, hashes, counts.tolist(), ends.tolist(), strict=True):
                     random = np.random.default_rng(h % 2**64)
                     starts = sorted({0, *random.integers(0, max(1, n - length + 1), size=spans - 1).tolist()}) if n else []
-                    out += [(lang, " ".join(vocabulary[i] for i in ids[end - n + s : min(end, end - n + s + length)])) for s in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["lang", "span"])
+                    out += [(lang, " ".join(vocabulary[i] for i in ids[end - n + s : min(end, end - n + s + length)]), bool(h >> 40 & 1)) for s in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))], ["lang", "span", "half"])
 
-    return [(r.lang, r.span) for r in drawn.mapInArrow(run, "lang string, span string").collect()]
+    return [(r.lang, r.span, r.half) for r in drawn.mapInArrow(run, "lang string, span string, half boolean").collect()]
 
 
 def held_out(id_col: str) -> Column:
@@ -333,26 +338,40 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, per_lang: int = 500, spans: int = 6, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from a sample of the documents that are not held out; none if none has words and a language."""
+def sample(docs: DataFrame, per_lang: int = 500, spans: int = 6, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str, bool]]:
+    """Spans, see ``draw_spans``, of the documents that are not held out."""
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # by id and text, so that neither copies of a text nor rows without an id are drawn all at once
     drawn = F.xxhash64(F.lit(seed), id_col, text_col).alias("hash")
     rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), drawn)
-    found = draw_spans(rows, per_lang, spans, length, "text", "lang", "hash")
-    return fit(found) if found else None
+    return draw_spans(rows, per_lang, spans, length, "text", "lang", "hash")
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def learn(docs: DataFrame, per_lang: int = 500, spans: int = 6, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model from a sample of the documents that are not held out; none if none has words and a language."""
+    return fit_sample(sample(docs, per_lang, spans, length, seed, id_col, text_col, lang_col))
+
+
+def fit_sample(found: list[tuple[str, str, bool]]) -> Model | None:
+    return fit([(lang, span) for lang, span, _ in found]) if found else None
+
+
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score"), familiar: familiarity.Familiar | None = None, share: str = "share") -> DataFrame:
     """The language of each whole text: (id, columns in ``keep``, language and score, under ``names``).
 
     Every word has a probability for each language, by forward-backward over
     the whole text; a text's language has the greatest mean, and that mean is
     the score. Texts that are null or have no letters, and all texts where there
     is no model, are ``und`` with score 0.
+
+    With ``familiar``, the column ``share`` is added: the share of a text's words
+    that stand in blocks that fit some language learned, with or without the
+    words that touch digits, whichever is greater; 0 for texts without letters.
     """
     if model is not None:
         model = docs.sparkSession.sparkContext.broadcast(model)
+    if familiar is not None:
+        familiar = docs.sparkSession.sparkContext.broadcast(familiar)
     columns = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,11 +385,21 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     mean, _ = decode(own.emissions(vocabulary), ids, counts[full], own.transitions)
                     langs[full] = np.array(own.langs, dtype=object)[mean.argmax(axis=1)]
                     scores[full] = np.minimum(1.0, mean.max(axis=1))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(scores)], [*columns, *names])
-
+                more = [pa.array(langs, pa.string()), pa.array(scores)]
+                if familiar is not None:
+                    shares = np.zeros(part.num_rows)
+                    shares[full] = familiar.value.share(vocabulary, ids, counts[full])
+                    again = full[shares[full] < 1]
+                    ids, vocabulary, counts = split(part.column(text_col).take(pa.array(again)), NOT_PLAIN)
+                    again, counts = again[counts > 0], counts[counts > 0]
+                    shares[again] = np.maximum(shares[again], familiar.value.share(vocabulary, ids, counts))
+                    more.append(pa.array(shares))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *more], made)
+
+    made = [*columns, *names, *([share] if familiar is not None else [])]
     rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col), *(c for c in keep if c != text_col))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
+    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double{f', `{share}` double' if familiar is not None else ''}")
 
 
 def segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
