@@ -16,6 +16,7 @@ from lakemill.llm.storage import cut, drop
 #: The mark of a quoted line, one for each level, and a line that introduces a quote.
 QUOTED = re.compile(r"(?:[ \t]*>)+[ \t]?")
 INTRODUCES = re.compile(r"\s*(?:on|am|le|el)\b.*\b(?:wrote|schrieb|a écrit|escribió)\b[^\n]{0,80}:\s*$", re.IGNORECASE)
+BETWEEN_PARAGRAPHS = re.compile(r"\n[ \t]*\n")
 BETWEEN_WORDS = re.compile(r"[\W_]+")
 #: Turns of a conversation that are ranked together, about.
 BUCKET_TURNS = 256
@@ -54,10 +55,17 @@ def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
 
 def units(own: str) -> list[str]:
     """Digests of what others may quote of a text: the whole, its paragraphs and its lines."""
-    parts = [own, *re.split(r"\n[ \t]*\n", own), *own.split("\n")]
+    parts = [own, *BETWEEN_PARAGRAPHS.split(own), *own.split("\n")]
     return list(dict.fromkeys(k for k in map(key_of, parts) if k))
 
 
+def quotes_of(lines: list[str]) -> list[tuple[int, str]]:
+    """What is looked up of a quoted passage, as (part, words): 0 the whole, 1 its paragraphs of several lines, 2 its lines."""
+    whole = "\n".join(lines)
+    paragraphs = [p for p in BETWEEN_PARAGRAPHS.split(whole) if "\n" in p.strip() and p != whole]
+    return [(0, whole), *((1, p) for p in paragraphs), *((2, line) for line in lines if len(lines) > 1)]
+
+
 def parsed(messages: DataFrame, columns: list[str], text_col: str) -> DataFrame:
     quote = pa.struct([("level", pa.int64()), ("place", pa.int64()), ("part", pa.int64()), ("key", pa.string())])
 
@@ -69,8 +77,7 @@ def parsed(messages: DataFrame, columns: list[str], text_col: str) -> DataFrame:
                 clean.append(own)
                 keys.append(units(own or ""))
                 passages.append(len(found))
-                # part 0 is the whole passage, the others are its lines
-                rows = [(level, i, part, key_of(p)) for i, (level, lines) in enumerate(found) for part, p in enumerate(["\n".join(lines), *(lines if len(lines) > 1 else [])])]
+                rows = [(level, i, part, key_of(p)) for i, (level, lines) in enumerate(found) for part, p in quotes_of(lines)]
                 quotes.append([dict(zip(("level", "place", "part", "key"), r, strict=True)) for r in rows if r[3]])
             made = [pa.array(clean, pa.string()), pa.array(quotes, pa.list_(quote)), pa.array(keys, pa.list_(pa.string())), pa.array(passages, pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, "own", "quotes", "units", "n_quotes"])
@@ -83,13 +90,13 @@ def parsed(messages: DataFrame, columns: list[str], text_col: str) -> DataFrame:
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Messages without quotes, in reply order, each with the message that it replies to.
 
-    Quoted passages, whole and line by line, are looked up by a digest of their
+    Quoted passages, whole, by paragraphs and line by line, are looked up by a digest of their
     words among the whole texts, paragraphs and lines that messages say
     themselves. A passage comes from the last earlier turn of its conversation
     that says it, or else from the first message of all that does, if that is
     of a conversation with a smaller id. A message replies to the source of its least deeply
-    quoted passage, of those of one level to the one found whole, then to the
-    first. A source precedes its reply, so that replies make trees.
+    quoted passage, of those of one level to the one found whole, then to one
+    found by a paragraph of several lines, then to the first. A source precedes its reply, so that replies make trees.
 
     Returns, for each row: the conversation, turn and role; ``text`` without
     quotes; ``n_quotes`` (passages); ``reply_conv`` and ``reply_turn`` (null if
@@ -121,7 +128,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     # turns are unique to a conversation, so a source at the same turn is the message itself
     near = near.join(first, "key", "left").where("last is not null or first.conv < conv")
     source = F.when(F.col("last").isNotNull(), F.struct(F.col("conv").alias("conv"), F.col("last").alias("turn"))).otherwise(F.col("first"))
-    replies = near.select("conv", "turn", F.struct("level", F.least("part", F.lit(1)).alias("lines"), "place", source.alias("source")).alias("best"))
+    replies = near.select("conv", "turn", F.struct("level", "part", "place", source.alias("source")).alias("best"))
     replies = replies.groupBy("conv", "turn").agg(F.min("best").alias("best")).select("conv", "turn", "best.source")
     trees = _tops(replies.select(F.struct("conv", "turn").alias("node"), F.col("source").alias("up")))
     # ranks need each row's key and place alone; texts meet them once

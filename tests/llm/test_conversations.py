@@ -96,3 +96,20 @@ def test_a_long_chain_of_replies(spark):
     rows = [(1, 0, "m 0")] + [(1, t, f"> m {t - 1}\nm {t}") for t in range(1, 70)]
     got = {r.turn: r for r in quotation.link(frame(spark, rows)).collect()}
     assert all(got[t].depth == t and got[t].position == t and got[t].text == f"m {t}" for t in range(70))
+
+
+def test_trimmed_and_wrapped_quotes_of_several_paragraphs(spark):
+    first, second, third = (" ".join(f"{w}{i}" for i in range(30)) for w in ("alpha", "beta", "gamma"))
+
+    def wrapped(text):
+        words = text.split(" ")
+        return "\n".join("> " + " ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+
+    rows = [
+        (1, 0, "thanks\n\nbye"), (1, 1, f"{first}\n\n{second}\n\n{third}"), (1, 2, f"{wrapped(first)}\n>\n{wrapped(second)}\nYes"),
+        # a paragraph says more than a line that others have said too
+        (1, 3, f"> thanks\n> \t\n{wrapped(third)}\nNo"), (2, 0, f"{wrapped(second)}\n>\n{wrapped(third)}\n>> {first}\nElsewhere"), (2, 1, f"{wrapped('nobody said this at all or ever')}\n>\n{wrapped('nor was this said before by any of us')}\nNew"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotation.link(frame(spark, rows)).collect()}
+    assert [(got[n].reply_conv, got[n].reply_turn, got[n].depth, got[n].text) for n in ((1, 2), (1, 3), (2, 0))] == [(1, 1, 1, "Yes"), (1, 1, 1, "No"), (1, 1, 1, "Elsewhere")]
+    assert got[2, 1].reply_turn is None and got[2, 0].thread_conv == 1
