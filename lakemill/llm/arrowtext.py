@@ -51,6 +51,34 @@ def words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return split(text, NOT_WORD)
 
 
+def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row, and how many each text has; no nulls."""
+    text = text.cast(pa.large_string())
+    if not len(text):
+        return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
+    _, ends, raw = text.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
+    return raw[ends[0] : ends[-1]], np.diff(ends)
+
+
+def word_hashes(vocabulary: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: sums of random numbers for their bytes, each times a power for its place, mixed with the length."""
+    raw, sizes = flat(vocabulary)
+    if not len(raw):
+        return np.zeros(len(sizes), dtype=np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(raw)) - np.repeat(starts, sizes)
+    random = np.random.default_rng(0x5EED).integers(1 << 64, size=256, dtype=np.uint64)
+    powers = np.full(int(sizes.max()), 0xD6E8FEB86659FD93, dtype=np.uint64)
+    powers[0] = 1
+    terms = random[raw] * np.multiply.accumulate(powers)[place]
+    full = np.flatnonzero(sizes)
+    out = np.zeros(len(sizes), dtype=np.uint64)
+    out[full] = np.add.reduceat(terms, starts[full])
+    return mix(out + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """The rows of each key, from batches sorted by ``keys`` (integers without nulls)."""
     rest: pa.RecordBatch | None = None
@@ -71,6 +99,27 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Reco
         yield rest
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``keys`` (integers without nulls), cut so that all rows of a key are in one of them."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        last = batch.num_rows - 1
+        same = np.ones(batch.num_rows, dtype=bool)
+        for key in keys:
+            x = batch.column(key).to_numpy(zero_copy_only=False)
+            same &= x == x[last]
+        start = int(same.argmax())
+        if start:
+            yield batch.slice(0, start)
+        rest = batch.slice(start)
+    if rest is not None:
+        yield rest
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that every bit depends on all others."""
     x = x ^ (x >> np.uint64(33))

@@ -163,7 +163,7 @@ def _compare(usable: DataFrame, members: DataFrame, threshold: float) -> DataFra
             ids = group.column("rid").to_numpy()
             rid.append(ids)
             links.append(linked @ group.column("size").to_numpy())
-            lead.append(ids[leads(linked)])
+            lead.append(ids[leads(len(ids), *np.nonzero(linked))])
             if sum(map(len, rid)) > 10_000:
                 yield out()
         if rid:

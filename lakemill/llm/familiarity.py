@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lakemill.llm.arrowtext import flat
+
 #: Longest n-gram of the character models.
 LONGEST = 4
 #: Characters that a language might have: what it has never used shares the chance left for new ones.
@@ -43,7 +45,7 @@ def _grams(vocabulary: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     """For words between boundary marks: hashes of n-grams by the place of their last letter, places in words, sizes."""
     marked = pc.binary_join_element_wise("<", vocabulary, ">", "")
     sizes = pc.utf8_length(marked).to_numpy().astype(np.int64)
-    codes = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    codes = np.frombuffer(flat(marked)[0].tobytes().decode().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     hashes = [codes]
     for _ in range(1, LONGEST):

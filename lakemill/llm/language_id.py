@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import dataclasses
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.llm import familiarity
-from lakemill.llm.arrowtext import slices, split
+from lakemill.llm.arrowtext import flat, slices, split
+from lakemill.llm.keys import named
+from lakemill.llm.storage import cut
 
 #: Words are runs of letters.
 NOT_LETTERS = r"[^\p{L}]+"
@@ -68,8 +70,7 @@ def features_of(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     marked = pc.binary_join_element_wise("<", vocabulary, ">", "")
     sizes = pc.utf8_length(marked).to_numpy().astype(np.int64)
-    text = "".join(marked.to_pylist())
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    codes = np.frombuffer(flat(marked)[0].tobytes().decode().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(sizes)), sizes)
     first = np.cumsum(sizes) - sizes
     found, owner = [], []
@@ -301,143 +302,122 @@ def expectations(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarra
     return out, pairs
 
 
-def draw_spans(docs: DataFrame, per_lang: int, spans: int, length: int, text_col: str, lang_col: str, hash_col: str) -> list[tuple[str, str, bool]]:
-    """Random spans of whole texts, from about ``per_lang`` documents of each language.
+def draw_spans(docs: DataFrame, per_lang: int, length: int) -> list[tuple[str, str, bool]]:
+    """The whole texts of about ``per_lang`` documents of each language, in spans of ``length`` words.
 
-    Each is (language, words, whether its document is of a random half).
-
-    Documents are drawn by their hash, at a rate that the count of their language
-    sets; a document gives up to ``spans`` spans of up to
-    ``length`` words from all over its text. So what reaches the driver is
-    bounded however many documents there are.
+    ``docs`` has ``lang``, ``text`` and ``hash``. Each span is (language, words,
+    whether its document is of a random half). Documents are drawn by their
+    hash, at a rate that the count of their language sets, so what reaches the
+    driver is a bounded number of documents however many there are.
     """
-    counts = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
-    if not counts:
-        return []
-    rates = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))))
-    part = F.pmod(hash_col, F.lit(1 << 30)) / (1 << 30)
-    drawn = docs.where(part < F.element_at(rates, F.col(lang_col)))
+    counts = cut(docs.groupBy("lang").count(), "langs")
+    drawn = docs.join(counts, "lang").where(F.pmod("hash", F.lit(1 << 30)) / (1 << 30) < per_lang / F.col("count")).drop("count")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one in slices(batch, text_col):
-                ids, vocabulary, counts = split(one.column(text_col), NOT_LETTERS)
-                vocabulary, ends = vocabulary.to_pylist(), np.cumsum(counts)
-                langs, hashes, out = one.column(lang_col).to_pylist(), one.column(hash_col).to_pylist(), []
-                for lang, h, n, end in zip(langs, hashes, counts.tolist(), ends.tolist(), strict=True):
-                    random = np.random.default_rng(h % 2**64)
-                    starts = sorted({0, *random.integers(0, max(1, n - length + 1), size=spans - 1).tolist()}) if n else []
-                    out += [(lang, " ".join(vocabulary[i] for i in ids[end - n + s : min(end, end - n + s + length)]), bool(h >> 40 & 1)) for s in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))], ["lang", "span", "half"])
+            for one in slices(batch, "text"):
+                ids, vocabulary, sizes = split(one.column("text"), NOT_LETTERS)
+                per = -(-sizes // length)
+                row = np.repeat(np.arange(len(sizes)), per)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * length + np.repeat(np.cumsum(sizes) - sizes, per)
+                spans = pc.binary_join(pa.ListArray.from_arrays(pa.array([*start, len(ids)], pa.int32()), vocabulary.take(pa.array(ids))), " ")
+                half = (one.column("hash").to_numpy() >> 40 & 1).astype(bool)
+                yield pa.RecordBatch.from_arrays([one.column("lang").take(pa.array(row)), spans, pa.array(half[row])], ["lang", "span", "half"])
 
-    return [(r.lang, r.span, r.half) for r in drawn.mapInArrow(run, "lang string, span string, half boolean").collect()]
+    return sorted((r.lang, r.span, r.half) for r in drawn.select("lang", "text", "hash").mapInArrow(run, "lang string, span string, half boolean").collect())
 
 
 def held_out(id_col: str) -> Column:
     """Whether a document is never learned from."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = 500, spans: int = 6, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str, bool]]:
+def sample(docs: DataFrame, per_lang: int = 300, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str, bool]]:
     """Spans, see ``draw_spans``, of the documents that are not held out."""
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = docs.where(~held_out(id_col) & named(lang_col).isNotNull() & named(text_col).isNotNull())
+    lang, text = named(lang_col).cast("string"), named(text_col).cast("string")
     # by id and text, so that neither copies of a text nor rows without an id are drawn all at once
-    drawn = F.xxhash64(F.lit(seed), id_col, text_col).alias("hash")
-    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), drawn)
-    return draw_spans(rows, per_lang, spans, length, "text", "lang", "hash")
+    return draw_spans(usable.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.lit(seed), named(id_col), text).alias("hash")), per_lang, length)
 
 
-def learn(docs: DataFrame, per_lang: int = 500, spans: int = 6, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def learn(docs: DataFrame, per_lang: int = 300, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from a sample of the documents that are not held out; none if none has words and a language."""
-    return fit_sample(sample(docs, per_lang, spans, length, seed, id_col, text_col, lang_col))
+    return fit_sample(sample(docs, per_lang, length, seed, id_col, text_col, lang_col))
 
 
 def fit_sample(found: list[tuple[str, str, bool]]) -> Model | None:
     return fit([(lang, span) for lang, span, _ in found]) if found else None
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score"), familiar: familiarity.Familiar | None = None, share: str = "share") -> DataFrame:
-    """The language of each whole text: (id, columns in ``keep``, language and score, under ``names``).
+def labels(spark: SparkSession, model: Model | None, familiar: familiarity.Familiar | None = None) -> Callable[[Column], Column]:
+    """A function of a text column: its language, score, segments and share of familiar words, as a struct.
 
     Every word has a probability for each language, by forward-backward over
-    the whole text; a text's language has the greatest mean, and that mean is
-    the score. Texts that are null or have no letters, and all texts where there
-    is no model, are ``und`` with score 0.
-
-    With ``familiar``, the column ``share`` is added: the share of a text's words
-    that stand in blocks that fit some language learned, with or without the
-    words that touch digits, whichever is greater; 0 for texts without letters.
+    the whole text; a text's language (``lang``) has the greatest mean, and that
+    mean is the ``score``. Texts that are null or have no letters, and all texts
+    where there is no model, are ``und`` with score 0. ``segments`` are runs of
+    words with one likeliest language: first word, from 0, number of words, and
+    language; empty for texts that are ``und``.
+
+    ``share`` is the share of a text's words that stand in blocks that fit some
+    language learned, with or without the words that touch digits, whichever is
+    greater; 0 for texts without letters, null without ``familiar``.
     """
-    if model is not None:
-        model = docs.sparkSession.sparkContext.broadcast(model)
-    if familiar is not None:
-        familiar = docs.sparkSession.sparkContext.broadcast(familiar)
-    columns = [id_col, *keep]
+    model = spark.sparkContext.broadcast(model) if model is not None else None
+    familiar = spark.sparkContext.broadcast(familiar) if familiar is not None else None
+    run_type = pa.struct([("word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(text: pa.Array) -> pa.Array:
         own = model.value if model is not None else None
-        for batch in batches:
-            for part in slices(batch, text_col):
-                langs, scores = np.full(part.num_rows, "und", dtype=object), np.zeros(part.num_rows)
-                ids, vocabulary, counts = split(part.column(text_col), NOT_LETTERS)
-                full = np.flatnonzero(counts)
-                if own is not None and len(full):
-                    mean, _ = decode(own.emissions(vocabulary), ids, counts[full], own.transitions)
-                    langs[full] = np.array(own.langs, dtype=object)[mean.argmax(axis=1)]
-                    scores[full] = np.minimum(1.0, mean.max(axis=1))
-                more = [pa.array(langs, pa.string()), pa.array(scores)]
-                if familiar is not None:
-                    shares = np.zeros(part.num_rows)
-                    shares[full] = familiar.value.share(vocabulary, ids, counts[full])
-                    again = full[shares[full] < 1]
-                    ids, vocabulary, counts = split(part.column(text_col).take(pa.array(again)), NOT_PLAIN)
-                    again, counts = again[counts > 0], counts[counts > 0]
-                    shares[again] = np.maximum(shares[again], familiar.value.share(vocabulary, ids, counts))
-                    more.append(pa.array(shares))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *more], made)
-
-    made = [*columns, *names, *([share] if familiar is not None else [])]
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col), *(c for c in keep if c != text_col))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double{f', `{share}` double' if familiar is not None else ''}")
-
-
-def segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Where each text switches language: (id, ``segments``: array of first word, number of words, language).
-
-    Words are runs of letters, counted from 0; each is labelled with its
-    likeliest language. Texts that are null or have no letters have no segments.
-    """
-    model = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.struct([("word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        for batch in batches:
-            for part in slices(batch, text_col):
-                ids, vocabulary, counts = split(part.column(text_col), NOT_LETTERS)
-                _, states = decode(own.emissions(vocabulary), ids, counts[counts > 0], own.transitions)
-                chain = np.repeat(np.arange(len(counts)), counts)
-                new = np.ones(len(ids), dtype=bool)
-                new[1:] = (states[1:] != states[:-1]) | (chain[1:] != chain[:-1])
-                at = np.flatnonzero(new)
-                start = at - (np.cumsum(counts) - counts)[chain[at]]
-                flat = pa.StructArray.from_arrays([pa.array(start), pa.array(np.diff([*at, len(ids)])), pa.array([own.langs[i] for i in states[at]], pa.string())], fields=list(kind))
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(chain[at], minlength=len(counts)))])
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], [id_col, "segments"])
-
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, segments array<struct<word: long, words: long, lang: string>>")
+        langs, scores, shares = np.full(len(text), "und", dtype=object), np.zeros(len(text)), np.zeros(len(text))
+        ids, vocabulary, counts = split(text, NOT_LETTERS)
+        full = np.flatnonzero(counts)
+        offsets, flat_runs = np.zeros(len(text) + 1, dtype=np.int32), pa.array([], run_type)
+        if own is not None and len(full):
+            mean, states = decode(own.emissions(vocabulary), ids, counts[full], own.transitions)
+            langs[full] = np.array(own.langs, dtype=object)[mean.argmax(axis=1)]
+            scores[full] = np.minimum(1.0, mean.max(axis=1))
+            chain = np.repeat(np.arange(len(counts)), counts)
+            new = np.ones(len(ids), dtype=bool)
+            new[1:] = (states[1:] != states[:-1]) | (chain[1:] != chain[:-1])
+            at = np.flatnonzero(new)
+            start = at - (np.cumsum(counts) - counts)[chain[at]]
+            named_runs = pa.DictionaryArray.from_arrays(pa.array(states[at].astype(np.int32)), pa.array(own.langs, pa.string())).cast(pa.string())
+            flat_runs = pa.StructArray.from_arrays([pa.array(start), pa.array(np.diff([*at, len(ids)])), named_runs], fields=list(run_type))
+            offsets[1:] = np.cumsum(np.bincount(chain[at], minlength=len(counts)))
+        if familiar is not None:
+            shares[full] = familiar.value.share(vocabulary, ids, counts[full])
+            again = full[shares[full] < 1]
+            ids, vocabulary, counts = split(text.take(pa.array(again)), NOT_PLAIN)
+            again, counts = again[counts > 0], counts[counts > 0]
+            shares[again] = np.maximum(shares[again], familiar.value.share(vocabulary, ids, counts))
+        share = pa.array(shares) if familiar is not None else pa.nulls(len(text), pa.float64())
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets), flat_runs), share], ["lang", "score", "segments", "share"])
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.concat_arrays([one(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text")] or [one(text)])
+
+    # so that no rule of the optimizer has it run twice
+    return F.arrow_udf(run, "struct<lang: string, score: double, segments: array<struct<word: long, words: long, lang: string>>, share: double>").asNondeterministic()
+
+
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The language of each whole text, see :func:`labels`: (id, ``lang_pred``, ``score``, ``segments``)."""
+    found = docs.select(named(id_col).alias(id_col), labels(docs.sparkSession, model)(named(text_col).cast("string")).alias("_found"))
+    return found.select(named(id_col), F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"), F.col("_found.segments").alias("segments"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the documents that are not held out, and predict the language of all.
 
-    Returns ``id_col``, ``held_out``, ``lang_pred`` and ``score``, a row for each
-    row. The sample that the model is fitted on is about 500 documents of each
-    language, six spans of 32 words each; a language is never an input of a
-    prediction. Null ids are not held out; null languages are not learned;
-    repeated rows and other columns don't matter; an empty table gives no rows.
+    Returns ``id_col``, ``held_out``, ``lang_pred``, ``score`` and ``segments``
+    (:func:`labels`), a row for each row. The model is fitted on the whole texts
+    of about 300 documents of each language; a language is never an input of a
+    prediction. Texts that are null, empty or without letters are ``und``; very
+    long ones are gone through in pieces that carry exact messages. Null ids are
+    not held out; null languages are not learned; repeated rows and other columns
+    don't matter; an empty table gives no rows.
     """
     model = learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    return predict(docs, model, id_col, text_col).withColumn("held_out", held_out(id_col)).select(id_col, "held_out", "lang_pred", "score")
+    return predict(docs, model, id_col, text_col).withColumn("held_out", held_out(id_col)).select(named(id_col), "held_out", "lang_pred", "score", "segments")

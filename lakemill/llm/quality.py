@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.arrowtext import slices, split
+from lakemill.llm.arrowtext import flat, slices, split
 from lakemill.llm.storage import cut
 
 #: Classes of bytes that are counted; bytes above 127 belong to letters.
@@ -29,8 +29,7 @@ def statistics(text: pa.Array) -> np.ndarray:
     """Statistics of each whole text; zeros for null and empty ones."""
     text = pc.fill_null(text, "")
     n = len(text)
-    sizes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = np.frombuffer("".join(text.to_pylist()).encode(), dtype=np.uint8)
+    raw, sizes = flat(text)
     width = len(CLASSES) + 1
     classes = np.bincount(np.repeat(np.arange(n) * width, sizes) + CLASS_OF[raw], minlength=n * width).reshape(n, width)
     share = classes / np.maximum(1, sizes)[:, None]
@@ -118,6 +117,131 @@ def matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
+def add_up(parts: DataFrame, fan: int = 32) -> np.ndarray | None:
+    """The sum of all arrays in the column ``v``, ``fan`` of them in a task at a time; none if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total])], ["v"])
+
+    parts = cut(parts, "sums")
+    while (rows := parts.count()) > 1:
+        parts = cut(parts.repartition(-(-rows // fan)).mapInArrow(run, "v array<double>"), "sums")
+    return np.array(parts.first().v) if rows else None
+
+
+def leave_one_out(z: np.ndarray, y: np.ndarray, weights: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """What a ridge fitted without each row in turn would give that row; ``inverse`` is of the penalised normal matrix."""
+    leverage = np.minimum(0.999, np.einsum("ni,ij,nj->n", z, inverse, z, optimize=True))
+    return (z @ weights - leverage * y) / (1 - leverage)
+
+
+def learn(train: DataFrame, features: int = 200, scale: float = 3.0, ridge: float = 1e-3, seed: int = 11) -> Model | None:
+    """Fit on all rows of ``train`` (``x``, ``y`` from 0 to 1 and the weight ``w``); none if there are none.
+
+    Each partition sums its part of the normal equations into one array, and
+    arrays are added up in a tree, so that neither a task nor the driver gets
+    more than a few of them. Calibration uses each row's leave-one-out score, which ridge has
+    in closed form, counted in bins by partition in the same way.
+    """
+    size = len(STATISTICS)
+    moments = [f(F.get("x", i)).alias(f"{n}{i}") for i in range(size) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    found = train.agg(F.count("*").alias("n"), *moments).first()
+    if not found.n:
+        return None
+    random = np.random.default_rng(seed)
+    mean, spread = (np.array([found[f"{k}{i}"] for i in range(size)]) for k in "ms")
+    spread = np.where(spread > 1e-9, spread, 1.0)
+    model = Model(mean, spread, random.standard_normal((size, features)) / scale, random.uniform(0, 2 * np.pi, features), np.zeros(0), np.zeros(0), np.zeros(0))
+    upper = np.triu_indices(features + 1)
+
+    def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, rows = np.zeros((features + 1, features + 2)), 0
+        for batch in batches:
+            if batch.num_rows:
+                z = model.features(matrix(batch))
+                both += (z * batch.column("w").to_numpy()[:, None]).T @ np.column_stack([z, batch.column("y").to_numpy()])
+                rows += len(z)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([both[:, :-1][upper], both[:, -1]])])], ["v"])
+
+    total = add_up(train.mapInArrow(equations, "v array<double>"))
+    normal = np.zeros((features + 1, features + 1))
+    normal[upper] = total[: len(upper[0])]
+    normal = normal + np.triu(normal, 1).T
+    penalty = ridge * found.n * np.eye(features + 1) / features
+    penalty[-1, -1] = 0
+    model.inverse = np.linalg.pinv(normal + penalty, hermitian=True)
+    model.weights = model.inverse @ total[len(upper[0]) :]
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros(2 * BINS)
+        for batch in batches:
+            if batch.num_rows:
+                z, y, w = model.features(matrix(batch)), batch.column("y").to_numpy(), batch.column("w").to_numpy()
+                b = bin_of(leave_one_out(z, y, model.weights, model.inverse))
+                both += np.bincount(np.concatenate([b, b + BINS]), np.concatenate([w, w * y]), minlength=2 * BINS)
+        if both.any():
+            yield pa.RecordBatch.from_arrays([pa.array([both])], ["v"])
+
+    model.calibrated = isotonic(*add_up(train.mapInArrow(counts, "v array<double>")).reshape(2, -1))
+    return model
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        return self.calibrated[bin_of(self.features(x) @ self.weights)]
+
+
+def bin_of(raw: np.ndarray) -> np.ndarray:
+    return np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(np.int64), 0, BINS - 1)
+
+
+def isotonic(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The rising fit to the share of ones in each bin, by pooling adjacent violators.
+
+    Each pool counts one more row of either kind, so that no score is certain;
+    bins without rows get what lies between their neighbours.
+    """
+    pools: list[list[float]] = []
+    used = np.flatnonzero(total)
+    for b in used.tolist():
+        pools.append([ones[b], total[b], 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    if not pools:
+        return np.full(len(total), 0.5)
+    fit = np.repeat([(p[0] + 1) / (p[1] + 2) for p in pools], [int(p[2]) for p in pools])
+    return np.interp(np.arange(len(total)), used, np.maximum.accumulate(fit))
+
+
+def held_out(id_col: str) -> Column:
+    """Whether a document is never learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, x): the statistics of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                x = statistics(part.column(text_col))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(id_col), lists], [id_col, "x"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, x array<double>")
+
+
+def matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
 def learn(train: DataFrame, features: int = 200, scale: float = 3.0, ridge: float = 1e-3, seed: int = 11) -> Model | None:
     """Fit on all rows of ``train`` (``x``, ``y`` from 0 to 1 and the weight ``w``); none if there are none.
 

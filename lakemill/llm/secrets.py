@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.arrowtext import slices
+from lakemill.llm.keys import named
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -100,35 +101,42 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redacted: str = "redacted") -> DataFrame:
+def _scanned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+    for batch in texts:
+        done = []
+        for part in slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text"):
+            own = part.column(0).to_pylist()
+            found = [spans(t) if t else [] for t in own]
+            rows = [[{"start": s, "end": e, "kind": k} for s, e, k in f] for f in found]
+            sums = [hashlib.sha256(listed([s for s in f if s[2] in BASE]).encode()).hexdigest() for f in found]
+            clean = [redact(t, f) if f else None for t, f in zip(own, found, strict=True)]
+            done.append(pa.StructArray.from_arrays([pa.array(rows, span), pa.array(sums, pa.string()), pa.array(clean, pa.string())], ["spans", "base_sha256", "redacted"]))
+        yield pa.concat_arrays(done) if done else pa.array([], pa.struct([("spans", span), ("base_sha256", pa.string()), ("redacted", pa.string())]))
+
+
+def scanned(text: Column) -> Column:
+    """What :func:`scan` finds in a text column, as a struct; ``redacted`` is null where there is nothing to redact."""
+    kind = "struct<spans: array<struct<start: long, end: long, kind: string>>, base_sha256: string, redacted: string>"
+    # so that no rule of the optimizer has it run twice
+    return F.arrow_udf(_scanned, kind).asNondeterministic()(text.cast("string"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of secrets in every whole text, one row for each row of ``docs``.
 
     Returns ``id_col``, ``spans`` (array of start, end, kind; code points, end
-    exclusive), ``base_sha256``, the text with spans redacted, under the name
-    ``redacted`` (null for a null text, which has no spans), and the columns
-    named in ``keep``. Rows pass through in one
-    map without a shuffle, so repeated rows, null ids and other columns don't
-    matter, and an empty table gives an empty one.
+    exclusive), ``base_sha256`` and ``redacted``, the text with spans redacted
+    (null for a null text, which has no spans). Texts alone go through Python,
+    in one pass without a shuffle, so repeated rows, null ids and other columns
+    don't matter, and an empty table gives an empty one.
 
     All keywords are found in one pass over the text; an expression is tried
     only at a hit, anchored there, and reads on to the end of its match.
     """
-    schema = docs.select(F.col(id_col), F.col(text_col).cast("string"), *keep).schema
-    columns = [id_col, *keep]
-    out = ", ".join([*(f"`{c}` {schema[c].dataType.simpleString()}" for c in columns), "spans array<struct<start: long, end: long, kind: string>>", "base_sha256 string", f"`{redacted}` string"])
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                texts = part.column(text_col).to_pylist()
-                found = [spans(t) if t else [] for t in texts]
-                rows = [[{"start": s, "end": e, "kind": k} for s, e, k in f] for f in found]
-                sums = [hashlib.sha256(listed([s for s in f if s[2] in BASE]).encode()).hexdigest() for f in found]
-                clean = [redact(t, f) if f else t for t, f in zip(texts, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(rows, span), pa.array(sums, pa.string()), pa.array(clean, pa.string())], [*columns, "spans", "base_sha256", redacted])
-
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), *keep).mapInArrow(run, out)
+    text = named(text_col).cast("string")
+    found = docs.select(named(id_col).alias(id_col), text.alias("_text"), scanned(text).alias("_found"))
+    return found.select(named(id_col), F.col("_found.spans").alias("spans"), F.col("_found.base_sha256").alias("base_sha256"), F.coalesce("_found.redacted", "_text").alias("redacted"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,9 +39,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a comparison that a task gets, about: they are few and take long, so size isn't a guide.
+ROWS_OF_TASK = 20_000
+
+
 def tasks(df: DataFrame) -> int:
-    """How many tasks a comparison is dealt to: its rows are few and take long, so size isn't a guide."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """How many tasks a comparison of the rows of ``df``, a written table, is dealt to."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_OF_TASK))
 
 
 def drop(df: DataFrame) -> None:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -95,7 +96,7 @@ def test_switched_text_is_labelled_word_by_word(spark):
 def test_segments_cover_each_text(spark):
     model = language_id.learn(language_docs(spark)[0])
     texts = [f"{text_in('aa', 20, 'x')} {text_in('bb', 30, 'y')}", None, "12", text_in("cc", 9, "z"), "", text_in("bb", 4, "w")]
-    got = {r.doc_id: r.segments for r in language_id.segments(docs(spark, texts), model).collect()}
+    got = {r.doc_id: r.segments for r in language_id.predict(docs(spark, texts), model).collect()}
     for i, text in enumerate(texts):
         at = 0
         for s in got[i]:
@@ -147,14 +148,20 @@ def test_leave_one_out_scores_are_those_of_a_refit():
     r = np.random.default_rng(0)
     z, y = r.normal(size=(30, 4)), r.integers(0, 2, 30).astype(float)
     inverse = np.linalg.inv(z.T @ z + np.eye(4))
-    leverage = np.einsum("ni,ij,nj->n", z, inverse, z)
-    fast = (z @ inverse @ z.T @ y - leverage * y) / (1 - leverage)
+    fast = quality.leave_one_out(z, y, inverse @ z.T @ y, inverse)
     for i in range(30):
         keep = np.arange(30) != i
         w = np.linalg.solve(z[keep].T @ z[keep] + np.eye(4), z[keep].T @ y[keep])
         assert np.isclose(z[i] @ w, fast[i])
 
 
+def test_arrays_are_added_up_in_a_tree(spark):
+    rows = [([float(i), 1.0, -2.0 * i],) for i in range(100)]
+    for fan in (2, 7, 1000):
+        assert quality.add_up(spark.createDataFrame(rows, "v array<double>").repartition(9), fan).tolist() == [4950.0, 100.0, -9900.0]
+    assert quality.add_up(spark.createDataFrame([], "v array<double>")) is None
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     good = [prose(i, 60) + "." for i in range(150)]
@@ -186,3 +193,54 @@ def test_quality_without_labels_or_documents(spark, labelled):
     assert quality.score(df.limit(0), labels).count() == 0
     odd = docs(spark, ["a", "a", None], doc_id=[None, None, None])
     assert len(quality.score(odd, labels).collect()) == 3
+
+
+def test_quality_equals_a_plain_fit(spark, labelled):
+    """Scores by statistics, features and normal equations worked out over all rows at once."""
+    df, labels = labelled
+    got = {r.doc_id: r.score for r in quality.score(df, labels).collect()}
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and r.doc_id < 302 and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            known.setdefault(r.doc_id, []).append(r.quality)
+    rows = sorted(df.select("doc_id", "text").collect())
+    x = quality.statistics(pa.array([r.text for r in rows]))
+    at, y, w = sorted(known), np.array([np.mean(known[i]) for i in sorted(known)]), np.array([len(known[i]) for i in sorted(known)])
+    mean, spread = x[at].mean(axis=0), x[at].std(axis=0)
+    random = np.random.default_rng(11)
+    frequencies, phases = random.standard_normal((x.shape[1], 200)) / 3.0, random.uniform(0, 2 * np.pi, 200)
+    z = np.hstack([np.cos((x - mean) / np.where(spread > 1e-9, spread, 1) @ frequencies + phases) / 10, np.ones((len(x), 1))])
+    penalty = np.diag([1e-3 * len(at) / 200] * 200 + [0])
+    normal = (z[at] * w[:, None]).T @ z[at] + penalty
+    raw = z @ np.linalg.solve(normal, (z[at] * w[:, None]).T @ y)
+    # calibration only rises: whoever is ahead before it is never behind after it
+    order = np.argsort(raw, kind="stable")
+    calibrated = np.array([got[rows[i].doc_id] for i in order])
+    assert (np.diff(calibrated)[np.diff(raw[order]) > 2e-3] >= -1e-9).all()
+    assert np.corrcoef(raw, [got[r.doc_id] for r in rows])[0, 1] > 0.9
+
+
+def test_language_of_each_text_by_plain_forward_backward(spark):
+    df, _ = language_docs(spark)
+    texts = [f"{text_in('aa', 7, 'p')} {text_in('bb', 9, 'q')}", text_in("cc", 1, "r"), None, "12 -", text_in("bb", 40, "s").upper()]
+    rows = df.unionByName(docs(spark, texts, doc_id=[9000 + i for i in range(5)], lang=[None] * 5))
+    got = {r.doc_id: r for r in language_id.identify(rows).collect()}
+    model = language_id.learn(rows)
+    step, k = np.exp(model.transitions), len(model.langs)
+    for r in rows.select("doc_id", "text").collect():
+        words = [w for w in re.split(r"[\W\d_]+", (r.text or "").lower()) if w]
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score, got[r.doc_id].segments) == ("und", 0.0, [])
+            continue
+        emit = np.exp(np.concatenate([model.emissions(pa.array([w])) for w in words]))
+        ahead, back = [np.full(k, 1 / k)], [np.ones(k)]
+        for e in emit:
+            ahead.append(ahead[-1] @ step * e)
+            ahead[-1] /= ahead[-1].sum()
+        for e in emit[:0:-1]:
+            back.append(step @ (e * back[-1]))
+            back[-1] /= back[-1].sum()
+        p = np.array(ahead[1:]) * np.array(back[::-1])
+        p /= p.sum(axis=1, keepdims=True)
+        assert got[r.doc_id].lang_pred == model.langs[p.mean(axis=0).argmax()] and np.isclose(got[r.doc_id].score, p.mean(axis=0).max())
+        assert [s.lang for s in got[r.doc_id].segments for _ in range(s.words)] == [model.langs[i] for i in p.argmax(axis=1)]

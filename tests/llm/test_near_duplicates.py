@@ -50,10 +50,9 @@ def test_join_equals_brute_force(spark, blocks):
         assert (got[i].class_id, got[i].n_links, got[i].component_id, got[i].kept) == want, t
 
 
-@pytest.mark.parametrize("few", [0, 2, 1000])
-def test_tries_find_large_and_small_groups(spark, monkeypatch, few):
-    monkeypatch.setattr(ngram_join, "FEW", few)
+def test_tries_find_large_and_small_groups(spark):
     texts = [t for i in range(3) for t in variants(words(i, 200), 15 * i + 2, i)] + [prose(70 + i, 50) for i in range(10)]
+    texts += [" ".join(words(90, n)) for n in range(1, 14)] + [" ".join(words(90, 30)[3 : 3 + n]) for n in range(4, 14)]
     links, group = brute(texts)
     got = {r.doc_id: r for r in ngram_join.jaccard_join(docs(spark, texts)).collect()}
     assert all((got[i].n_links, got[i].component_id) == (sum(i in link for link in links), group[i]) for i in range(len(texts)))
@@ -68,11 +67,53 @@ def test_join_of_repeated_ids_null_ids_and_nothing(spark):
 
 
 def test_depth_is_shortened_until_recall_is_met():
-    assert ngram_join.forest_depth(40, 8, 0.8, 0.9999) == 7
-    assert 1 - (1 - 0.8**7) ** 40 >= 0.9999 > 1 - (1 - 0.8**8) ** 40
+    assert ngram_join.forest_depth(32, 8, 0.8, 0.9999) == 6
+    assert 1 - (1 - 0.8**6) ** 32 >= 0.9999 > 1 - (1 - 0.8**7) ** 32
     assert ngram_join.forest_depth(1, 8, 0.1, 0.9999) == 1
 
 
+def test_depths_allow_for_all_sizes_of_partners():
+    depth_of = ngram_join.depths(32, 8, 0.8, 0.9999)
+    for n in range(1, 64):
+        could = [s / (n + m - s) for m in range(1, 2 * n) for s in range(1, min(n, m) + 1) if s < max(n, m) and s / (n + m - s) >= 0.8 - 1e-9]
+        assert ngram_join.least_similarity(n, 0.8) == pytest.approx(min(could, default=2.0))
+        assert depth_of[n] == (ngram_join.forest_depth(32, 8, min(could), 0.9999) if could else 0)
+    assert {0, 6, 7, 8} == set(depth_of.tolist()) and depth_of[-1] == 6
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 12, 60, 400])
+def test_recall_of_the_forest(n):
+    """Of pairs that are no more similar than they have to be, the share that meets in some trie."""
+    r = np.random.default_rng(n)
+    shared = next(s for s in range(n, 0, -1) if s / (2 * n - s) < 0.8) + 1 if n > 60 else None
+    least, found, pairs = ngram_join.least_similarity(n, 0.8), 0, 20_000
+    # of all pairs with that similarity, one with this set size on the left
+    i, m = next((s, m) for s in range(1, n + 1) for m in range(s, 2 * n) if abs(s / (n + m - s) - least) < 1e-9) if shared is None else (shared, n)
+    depth_of, agree = ngram_join.depths(32, 8, 0.8, 0.9999), ngram_join.least_agreement(256, 0.8, ngram_join.MISS_BY_SKETCH)
+    for start in range(0, pairs, 2000):
+        sets = [(x[:n], x[n - i : n - i + m]) for x in r.integers(1 << 64, size=(2000, 2 * n + m), dtype=np.uint64)]
+        hashes = np.concatenate([np.sort(s) for pair in sets for s in pair])
+        counts = np.array([len(s) for pair in sets for s in pair])
+        paths = ngram_join.signatures(hashes, counts, 32, 8).view(np.uint64)
+        apart = paths[::2] ^ paths[1::2]
+        depth = max(depth_of[min(n, 64)], depth_of[min(m, 64)])
+        meets = (apart >> np.uint64(64 - 8 * int(depth)) == 0).any(axis=1)
+        agrees = (np.ascontiguousarray(apart).view(np.uint8) == 0).sum(axis=1) >= agree
+        found += int((meets & agrees).sum())
+    # 1 in 10,000 may be lost; eight in 20,000 would be six more than expected
+    assert found >= pairs - 8
+
+
+def test_pairs_that_share_no_prefix_are_not_compared(spark, monkeypatch, tmp_path):
+    """A chain of texts, each like the next one alone, is one group, but only neighbours are verified."""
+    base = words(5, 600)
+    texts = [" ".join(base[9 * i : 9 * i + 150]) for i in range(50)]
+    links, group = brute(texts)
+    assert len(links) == 49 and set(group.values()) == {0}
+    got = {r.doc_id: r for r in ngram_join.jaccard_join(docs(spark, texts)).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (sum(i in link for link in links), 0) for i in range(50))
+
+
 def test_shingle_sets_equal_python_sets():
     texts = texts_with_copies()
     hashes, counts = ngram_join.shingle_sets(pa.array(texts), 5)
