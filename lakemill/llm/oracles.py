@@ -55,6 +55,60 @@ JACCARD = f"""
     from documents left join c using (doc_id) left join n on n.a = doc_id left join tops on tops.a = doc_id"""
 
 
+#: One row with ``tab``, the table of CRC-32, and the checksum of an array of bytes by it.
+CRC_TABLE = "tab as materialized (select list(v order by n) as tab from (select n, list_reduce(list_prepend(n, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) t(n)) x)"
+
+
+def _crc32(text: str) -> str:
+    raw = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {raw}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _digest(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::bigint"
+
+
+SHARDS = f"""
+    with {CRC_TABLE},
+    a as (select doc_id, source, coalesce(text, '') as text, {_digest("0", "coalesce(doc_id::varchar, '')", "coalesce(length(source) || ':' || source, '')", "coalesce(text, '')")} as key from documents),
+    b as (select doc_id, source, octet_length(encode(text)) + 1 as size, {_crc32("text")} as crc, key, row_number() over (partition by key) - 1 as nth from a, tab),
+    h as (select *, case when nth > 0 then {_digest("key", "nth")} else key end as hash from b),
+    r as (select *, (row_number() over (partition by source order by hash, doc_id nulls first, crc, size) - 0.5::double) / count(*) over (partition by source) as part, count(*) over () as total from h),
+    p as (select *, row_number() over (order by part, source nulls first, hash, doc_id nulls first, crc, size) - 1 as place from r)
+    select doc_id, size::bigint as size, crc::bigint as text_crc32, 'rows' as law, (place * 16 // total)::int as shard, place - (place * 16 // total * total + 15) // 16 as slot, cast(null as int) as grown_shard from p"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in word)
+
+
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_ASSIGN = "(" + "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_TOKEN = "[A-Za-z0-9]{36}(?:[^A-Za-z0-9]|$)"
+#: Kinds: expression, and what a match has to be. A checked token's match may end with the character after it.
+_SECRETS = {
+    "assign": (_ASSIGN, f"length(regexp_extract(s, '{_ASSIGN}', 2)) >= 6"),
+    "access": ("AKIA[A-Z0-9]+", "length(s) >= 20"),
+    "hex": ("[0-9a-f]+", "length(s) >= 24"),
+    "github": (f"gh[pousr]_{_TOKEN}", "sum62 = crc"),
+    "npm": (f"npm_{_TOKEN}", "sum62 = crc"),
+}
+_MATCHES = " union all ".join(f"select rid, {i} as no, '{kind}' as kind, regexp_extract_all(text, '{e}') as found, regexp_split_to_array(text, '{e}') as gaps from t where regexp_matches(text, '{e}')" for i, (kind, (e, _)) in enumerate(_SECRETS.items()))
+
+SECRETS = f"""
+    with {CRC_TABLE},
+    t as (select doc_id, row_number() over () as rid, coalesce(text, '') as text from documents),
+    m as ({_MATCHES}),
+    u as (select rid, no, kind, unnest(found) as s, unnest(range(1, len(found) + 1)) as i, found, gaps from m),
+    w as (select rid, no, kind, s, (coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::bigint as start,
+        case when no > 2 then {_crc32("substr(s, 5, 30)")} end as crc,
+        case when no > 2 then list_reduce(list_prepend(0::bigint, list_transform(string_split(substr(s, 35, 6), ''), lambda x: instr('{_BASE62}', x)::bigint - 1)), lambda a, b: a * 62 + b) end as sum62 from u, tab),
+    f as (select rid, no, kind, start, start + case when no > 2 then 40 else length(s) end as stop from w
+        where case kind {" ".join(f"when '{kind}' then {test}" for kind, (_, test) in _SECRETS.items())} end),
+    g as (select rid, count(*) filter (where no = 0) as a, count(*) filter (where no = 1) as k, count(*) filter (where no = 2) as h,
+        string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) filter (where no < 3) as base, string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) as whole from f group by rid)
+    select doc_id, coalesce(a, 0) as n_assign, coalesce(k, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(whole, '') as spans from t left join g using (rid)"""
+
 #: Quoted lines, passages, their digests, and sources by search; then replies by recursion.
 QUOTATIONS = r"""
     with recursive line as (

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.arrowtext import slices
+from lakemill.llm.keys import named
+from lakemill.llm.ranking import repeats
+from lakemill.llm.storage import cut
 
 #: Encodings of chunks that a task keeps, in about 250 bytes each; once full, rarer ones are encoded again.
 CACHED_CHUNKS = 250_000
@@ -41,12 +44,13 @@ class ChunkEncoder:
     text are those of its chunks between blanks, in order; punctuation that ends
     a word is parted from it too. A chunk of composed letters alone is a single
     pre-token and goes straight to the merges; all others go through the whole
-    tokenizer.
+    tokenizer. So do whole texts that hold one of the tokenizer's added tokens, which it
+    looks for before anything else.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [(t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self.tokenizer.model
         self.letters = byte_letters()
         self.forget()
@@ -97,7 +101,20 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has; nulls count as empty."""
-        spaced = pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=AFTER_WORD, replacement=r"\1 \2\3")
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), dtype=bool)
+        for token, any_case in self.added:
+            whole |= pc.match_substring(texts, token, ignore_case=any_case).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_chunks(texts)
+        ids, counts = self._by_chunks(pc.if_else(pa.array(whole), "", texts))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(whole).tolist():
+            parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+    def _by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        spaced = pc.replace_substring_regex(texts, pattern=AFTER_WORD, replacement=r"\1 \2\3")
         for blank in BLANKS[1:]:
             spaced = pc.replace_substring(spaced, pattern=blank, replacement=BLANKS[0])
         lists = pc.split_pattern(spaced, pattern=BLANKS[0])
@@ -158,25 +175,26 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Each document's ids, cut every ``capacity``: (id, start, length, ids_crc32, doc_tokens, salt)."""
+    """Each document's ids, cut every ``capacity``: (id, start, length, ids_crc32, doc_tokens, key, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            for part in slices(batch, text_col, SLICE_BYTES):
-                ids, counts = own.encode(part.column(text_col))
+            for part in slices(batch, "text", SLICE_BYTES):
+                ids, counts = own.encode(part.column("text"))
                 rows, at = [], 0
                 for i, n in enumerate(counts.tolist()):
                     whole = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
                     at += n
                     rows += [(i, s, len(piece := whole[s : s + capacity]), zlib.crc32(piece.tobytes()), n + 1) for s in range(0, n + 1, capacity)]
                 index, *rest = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(index)), *map(pa.array, rest), part.column("salt").take(pa.array(index))], [id_col, "start", "length", "ids_crc32", "doc_tokens", "salt"])
+                kept = [part.column(c).take(pa.array(index)) for c in ("id", "key", "row")]
+                yield pa.RecordBatch.from_arrays([kept[0], *map(pa.array, rest), *kept[1:]], ["id", "start", "length", "ids_crc32", "doc_tokens", "key", "row"])
         own.forget()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    salted = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), F.xxhash64(F.lit("packing"), id_col, F.monotonically_increasing_id()).alias("salt"))
-    return salted.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    rows = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"))
+    rows = rows.select("id", "text", F.xxhash64(F.lit("packing"), "id", "text").alias("key"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, key long, row long")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 8192) -> DataFrame:
@@ -184,24 +202,31 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
 
     A document is its ids and ``end_id``, cut every ``capacity`` ids; full
     pieces fill a sequence each, and the rest are packed first-fit decreasing.
-    Groups of about ``group_rows`` documents, drawn by a seeded hash, are packed
+    Groups of about ``group_rows`` documents, drawn by a seeded hash of id, text
+    and number among equal rows, are packed
     independently: a group leaves few sequences part-filled, and no task holds
     more than its group however large the corpus or the copies of one text are.
+    So the result doesn't depend on how the input is laid out.
 
     Returns one row for each piece: ``id_col``, ``start``, ``length``,
     ``ids_crc32``, ``doc_tokens``, ``sequence_id`` (group and number in the
     group) and ``offset``. Null and empty texts are documents of ``end_id``
     alone; repeated rows are packed each on its own; null ids stay null; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored, whatever their names; an empty table gives no rows. The
+    tokenizer's added tokens, such as those that end a text, get their own ids
+    where a text spells them out.
     """
-    groups = max(1, -(-docs.count() // group_rows))
-    cut = pieces(docs, vocabulary, capacity, end_id, id_col, text_col).withColumn("group", F.pmod("salt", F.lit(groups))).drop("salt")
+    known = cut(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+    first = known.where("start = 0").select("key", "row")
+    groups = max(1, -(-first.count() // group_rows))
+    again = known.join(repeats(first, "key", "row", "nth"), ["key", "row"], "left")
+    dealt = again.withColumn("group", F.pmod(F.xxhash64("key", F.coalesce("nth", F.lit(0).cast("long"))), F.lit(groups))).drop("key", "row", "nth")
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in (id_col, "start", "ids_crc32")])
+        rows = rows.sort_by([(c, "ascending") for c in ("id", "start", "ids_crc32", "doc_tokens")])
         bins, offsets = first_fit_decreasing(rows.column("length").to_numpy(), capacity)
         sequence = (rows.column("group").to_numpy() << 32) + bins
         return rows.drop_columns("group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return cut.groupBy("group").applyInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    packed = dealt.groupBy("group").applyInArrow(run, f"id {dealt.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return packed.withColumnRenamed("id", id_col)

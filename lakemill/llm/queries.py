@@ -68,4 +68,7 @@ QUERIES = {
     )
 }
 #: The others are tested against brute force, exact round trips or held-out accuracy.
-ORACLE_SQL = {"op1_embedding_dedup": oracles.EMBEDDINGS, "op3_quotation_linking": oracles.QUOTATIONS, "op7_url_filter": oracles.urls(URL_RULES), "op8_decontamination": oracles.LEAKS, "op10_ngram_join": oracles.JACCARD}
+ORACLE_SQL = {
+    "op1_embedding_dedup": oracles.EMBEDDINGS, "op3_quotation_linking": oracles.QUOTATIONS, "op5_secrets": oracles.SECRETS, "op6_sharding": oracles.SHARDS, "op7_url_filter": oracles.urls(URL_RULES),
+    "op8_decontamination": oracles.LEAKS, "op10_ngram_join": oracles.JACCARD,
+}

@@ -24,3 +24,14 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
         same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
     own = [c for c in df.columns if c != name]
     return keyed.withColumn("_inside", inside).join(starts, same).select(*own, (F.col("_start") + F.col("_inside")).cast("long").alias(name))
+
+
+def repeats(rows: DataFrame, key: str, row: str, name: str) -> DataFrame:
+    """(``key``, ``row``, ``name``) of the rows whose ``key`` others have too: ``name`` counts them from 0.
+
+    ``row`` is what ``monotonically_increasing_id`` gave, in a written table.
+    Which of equal rows gets which number depends on the layout, the numbers
+    don't. A key that many rows have is ranked partition by partition.
+    """
+    again = rows.groupBy(key).agg(F.count("*").alias("_k")).where("_k > 1").select(key)
+    return ranked(rows.join(again, key, "left_semi"), [key], F.shiftright(row, 33), [F.col(row)], name)

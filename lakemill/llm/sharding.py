@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.ranking import ranked
+from lakemill.llm.keys import named
+from lakemill.llm.ranking import ranked, repeats
 from lakemill.llm.storage import cut
 
 
@@ -23,33 +24,44 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_i
     Returns ``id_col``, ``size`` (bytes of the text and 1), ``text_crc32``,
     ``law``, ``shard``, ``slot`` (gapless from 0 in a shard) and ``grown_shard``
     (null). Null and empty texts have size 1 and checksum 0; a null source is a
-    source; rows with equal ids are told apart by their place in the input;
-    other columns are ignored; an empty table gives no rows.
+    source; rows equal in id, source and text are numbered among themselves, so that the
+    seed and the rows fix the result, whatever their layout;
+    other columns are ignored, whatever their names; an empty table gives no rows.
 
+    The hash is the first 60 bits of an MD5, which other engines have too.
     No text is shuffled. Ranks come from buckets of the hash, then of the
     fractional rank, as many as the square root of the number of rows, so that
     neither a source with a third of all rows nor the whole is sorted by one task.
     What they need of each row is written once, so that it never changes.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    # null isn't the empty string, and no two rows that differ are numbered together
+    origin = F.coalesce(F.concat(F.length(named(source_col).cast("string")).cast("string"), F.lit(":"), named(source_col).cast("string")), F.lit(""))
+    digest = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
     base = docs.select(
-        F.col(id_col), F.col(source_col).alias("_source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), id_col, F.monotonically_increasing_id()).alias("_hash"),
+        named(id_col).alias("id"), named(source_col).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        digest(F.lit(seed), F.coalesce(named(id_col).cast("string"), F.lit("")), origin, text).alias("key"), F.monotonically_increasing_id().alias("row"),
     )
     base = cut(base, "shard-keys")
+    nth = repeats(base.select("key", "row"), "key", "row", "nth")
+    again = F.when(F.col("nth") > 0, digest(F.col("key"), F.col("nth"))).otherwise(F.col("key"))
+    base = base.join(nth, ["key", "row"], "left").select("id", "source", "size", "text_crc32", again.alias("hash"))
+    base = cut(base, "shard-rows")
     rows = max(1, base.count())
     buckets = math.isqrt(rows) + 1
-    # the bucket rises with the hash: it is the interval that the hash's high half lies in
-    interval = F.floor((F.shiftright("_hash", 32) + 2**31) * buckets / 2**32)
-    first = ranked(base, ["_source"], interval, [F.col("_hash")], "_rank")
-    totals = base.groupBy(F.col("_source").alias("_s")).agg(F.count("*").alias("_total"))
-    parts = first.join(totals, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_part", (F.col("_rank") + 0.5) / F.col("_total"))
-    parts = parts.select(id_col, "size", "text_crc32", "_hash", "_source", "_part", F.lit(0).alias("_all"))
-    placed = ranked(parts, ["_all"], F.floor(F.col("_part") * buckets), [F.col("_part"), F.col("_source"), F.col("_hash")], "_place")
-    dealt = placed.withColumn("_shard", F.expr(f"_place * {shards}L div {rows}L"))
+    # the bucket rises with the hash: it is the interval that the hash's high bits lie in
+    interval = F.floor(F.shiftright("hash", 30) * buckets / 2**30)
+    # equal hashes of rows that differ are told apart by what they hold
+    order = [F.col(c) for c in ("hash", "id", "text_crc32", "size")]
+    first = ranked(base, ["source"], interval, order, "rank")
+    totals = base.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("total"))
+    parts = first.join(totals, F.col("source").eqNullSafe(F.col("s"))).withColumn("part", (F.col("rank") + 0.5) / F.col("total"))
+    parts = parts.select("id", "size", "text_crc32", "hash", "source", "part", F.lit(0).alias("all"))
+    placed = ranked(parts, ["all"], F.floor(F.col("part") * buckets), [F.col("part"), F.col("source"), *order], "place")
+    dealt = placed.withColumn("shard", F.expr(f"place * {shards}L div {rows}L"))
     return dealt.select(
-        id_col, "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").cast("int").alias("shard"),
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         # a shard begins at the least place that is cut into it
-        F.expr(f"_place - (_shard * {rows}L + {shards - 1}L) div {shards}L").cast("long").alias("slot"),
+        F.expr(f"place - (shard * {rows}L + {shards - 1}L) div {shards}L").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

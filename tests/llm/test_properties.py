@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,12 +47,25 @@ def test_runs_are_the_groups_of_sorted_rows(keys, size):
 @given(st.lists(st.one_of(st.none(), st.text("ab c.É1", max_size=60)), min_size=1, max_size=8))
 def test_linked_sets_are_those_of_python(texts):
     hashes, counts = ngram_join.shingle_sets(pa.array(texts, pa.string()), 2)
-    linked = ngram_join.linked_sets(hashes, counts, 0.5)
+    one, two = (np.concatenate([x, np.zeros(0, dtype=np.int64)]) for x in np.triu_indices(len(texts), 1))
+    linked = ngram_join.linked_pairs(hashes, counts, one, two, 0.5)
     sets = [shingles(t, 2) for t in texts]
-    want = [[i != j and bool(a | b) and len(a & b) / len(a | b) >= 0.5 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
-    assert linked.tolist() == want
-    lead = groups(range(len(texts)), np.argwhere(linked).tolist())
-    assert ngram_join.leads(linked).tolist() == [lead[i] for i in range(len(texts))]
+    assert linked.tolist() == [bool(sets[i] | sets[j]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5 for i, j in zip(one, two, strict=True)]
+    lead = groups(range(len(texts)), [(int(i), int(j)) for i, j, x in zip(one, two, linked, strict=True) if x])
+    assert ngram_join.leads(len(texts), one[linked], two[linked]).tolist() == [lead[i] for i in range(len(texts))]
+
+
+@SOME
+@given(st.lists(st.integers(0, 9), max_size=9), st.integers(1, 40))
+def test_pairs_of_runs_are_all_pairs(counts, held):
+    start, want = 0, set()
+    for n in counts:
+        want |= {(start + i, start + j) for j in range(n) for i in range(j)}
+        start += n
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ngram_join, "PAIRS", held / 64)
+        got = [(i, j) for one, two in ngram_join.pairs_of(np.array(counts, dtype=np.int64)) for i, j in zip(one.tolist(), two.tolist(), strict=True)]
+    assert len(got) == len(want) and set(got) == want
 
 
 @SOME

@@ -74,12 +74,11 @@ def test_redaction_leaves_the_rest():
     assert secrets.redact(text, secrets.spans(text)) == "a [SECRET], b [SECRET] c"
 
 
-ODD = [None, "", " ", "\n", "Hello World", "It's John's; we'll 'stay' !'s don't.", "x" * 5000, "ΟΔΟΣ. İstanbul, x\u0301!", "<|endoftext|>", "9 99 999", prose(3, 9000), "日本語 テキスト", "a\u00a0b\u2003c\rd"]
+ODD = [None, "", " ", "\n", "Hello World", "It's John's; we'll 'stay' !'s don't.", "x" * 5000, "ΟΔΟΣ. İstanbul, x\u0301!", "<|endoftext|>", "a b<|endoftext|>c <|startoftext|> <|EndOfText|>", "9 99 999", prose(3, 9000), "日本語 テキスト", "a\u00a0b\u2003c\rd"]
 
 
 def test_packing_is_an_exact_cut_without_gaps(spark):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     texts = ODD + [prose(i, 20 * i) for i in range(60)] + [prose(1, 20)] * 9
     df = docs(spark, texts)
     got = packing.pack(df.repartition(3), VOCABULARY, group_rows=20).collect()
@@ -107,6 +106,14 @@ def test_packing_keeps_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.doc_tokens) for r in packing.pack(df, VOCABULARY).collect()) == {(1, 3): 2, (None, 2): 1, (2**60 + 1, 1): 1}
 
 
+def test_packing_and_shards_depend_on_the_seed_alone(spark):
+    texts = [prose(i % 70, 5 + i % 13) for i in range(200)]
+    df = docs(spark, texts, doc_id=[i % 90 for i in range(200)])
+    for result in (lambda x: packing.pack(x, VOCABULARY, group_rows=30), sharding.shard):
+        one, two, three = (Counter(map(tuple, result(x).collect())) for x in (df.coalesce(1), df.repartition(7), df.orderBy(df.n_chars)))
+        assert one == two == three and sum(one.values()) >= 200
+
+
 def test_first_fit_decreasing_equals_a_plain_search():
     r = random.Random(2)
     for n in (1, 2, 7, 300):
@@ -123,7 +130,6 @@ def test_first_fit_decreasing_equals_a_plain_search():
 def test_chunks_encode_as_whole_texts(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_CHUNKS", 500)
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     r = random.Random(9)
     letters = "aAzZéÉßİΣσςñ'’stm.,!?&%#-_\"09 \n\t\r\u00a0\u0301İÅＡ１한日" + "ᄒ" + "<|>"
     own = packing.ChunkEncoder(VOCABULARY)
