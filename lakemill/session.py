@@ -29,14 +29,21 @@ def build(app: str = "lakemill", master: str | None = None, **settings: str) ->
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
+
+#: Bytes of an Arrow batch on its way to Python, unless the session says otherwise: texts may be long.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors of a session, once, so that their Python workers can import it.
 
-    Not needed where it is installed on them or given to ``--py-files``.
+    Not needed where it is installed on them or given to ``--py-files``. Bounds the
+    bytes of a batch that goes to Python, too, where the session doesn't.
     """
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
