@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.llm.keys import bit_words, marked, named, variable
 from lakemill.llm.storage import cut
 
 #: What stands between two words, for SQL's and the operator's text alike.
@@ -44,84 +46,76 @@ def shingles(text: Column, width: int) -> Column:
     return bound(words_of(text), lambda w: windows(w, width, lambda ws: F.concat_ws(" ", *ws)))
 
 
-def sketch_size(threshold: float, miss: float) -> int:
-    """Hash functions with which an item contained at ``threshold`` is missed with probability ``miss``."""
-    return max(1, math.ceil(math.log(miss) / math.log(1 - threshold))) if threshold < 1 else 1
+def sketch_size(least: int, threshold: float, miss: float) -> int:
+    """Hash functions with which an item of ``least`` to ``2 * least - 1`` shingles, contained at ``threshold``, is missed with probability ``miss``.
+
+    Of such items' shingles a share of ``1 - threshold`` may be missing, less where shingles are few.
+    """
+    missing = max((n - math.ceil(threshold * n - 1e-9)) / n for n in range(least, min(2 * least, least + 1000)))
+    return 1 if missing <= 0 else max(1, math.ceil(math.log(miss) / math.log(missing)))
+
+
+def least_under(sh: str, seed: int) -> Column:
+    """The shingle hash in ``sh`` that is least under one seeded hash function."""
+    # a lambda with a second argument would be given the index there
+    return F.array_min(F.transform(sh, lambda s: F.struct(F.xxhash64(F.lit(seed), s).alias("v"), s.alias("s")))).s
 
 
 def sketch_of(sh: str, hashes: int) -> Column:
     """The shingle hashes in ``sh`` that are least under ``hashes`` seeded hash functions, without repeats."""
-    least = (F.array_min(F.transform(sh, lambda s, i=i: F.struct(F.xxhash64(F.lit(i), s).alias("v"), s.alias("s")))).s for i in range(hashes))
-    return F.array_distinct(F.array(*least))
+    return F.array_distinct(F.array(*(least_under(sh, seed) for seed in range(hashes))))
 
 
-def bit_map(keys: list[int], bits: int) -> str:
-    """SQL of an array of 64-bit words in which two bits are set for each key."""
-    marks = [0] * (bits // 64)
-    for k in keys:
-        for place in (k & (bits - 1), (k >> 32) & (bits - 1)):
-            marks[place >> 6] |= 1 << (place & 63)
-    return "cast(split('" + ",".join(str(m - (1 << 64) if m >> 63 else m) for m in marks) + "', ',') as array<bigint>)"
+#: Bits of the map of sketched shingles for each of them: one other shingle in 10,000 passes by mistake while the map isn't full.
+BITS_PER_KEY = 256
 
 
-def leaks(
-    docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4_000_000, keep: tuple[str, ...] = ()
-) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of a document and an item of which it holds at least ``threshold`` of the shingles.
 
     Short items in long documents have a tiny Jaccard similarity, so MinHash is
     asymmetric here: an item's sketch is its least shingle under each of a few
     seeded hash functions, each document is searched for them whole, and an item
     contained at the threshold is missed with probability ``miss``. Items are
-    partitioned by size, in powers of two: a document meets only the partitions
-    whose smallest items it could hold at the threshold. Candidates are verified
-    by exact containment of word shingles.
-
-    Items are taken in blocks of about ``block_bytes`` of text, which rules the
-    size of what is broadcast. Documents pass through one map for each block:
-    their shingles are tested against a bit map of the sketched shingles, and
-    only documents that pass it (all true hits and a few false ones) meet the
-    sketches and the items, so nothing of a document is shuffled.
-
-    Returns ``id_col``, ``item_col``, ``matched`` and ``item_shingles`` (long),
-    ``containment`` (double) and the columns named in ``keep``, one row for each
+    partitioned by size, in powers of two; a partition has its own number of hash
+    functions and its own index of sketched shingles, and a document looks
+    things up in the partitions alone whose smallest items it could hold at the threshold.
+    Candidates are verified by exact containment of word shingles.
+
+    Documents are read and cut into shingles once, however many items there are:
+    shingles are tested against a bit map of all sketched ones, of a size that is bounded, and only
+    documents that pass it (all true hits and a few false ones) meet the
+    partitions' index and the items in joins, which are broadcast only where
+    Spark finds them small enough. Nothing of the other documents is shuffled.
+
+    Returns ``id_col``, ``item_col``, ``matched`` and ``item_shingles`` (long)
+    and ``containment`` (double), one row for each
     document and item. Texts of fewer than ``width`` words have one shingle of
-    all words, null and texts without words none: they match nothing. Repeated
-    rows give repeated results, null ids are kept, other columns are ignored;
+    all words (so shorter items are found only in documents of just those words), null and texts without words none: they match nothing. Repeated
+    rows give repeated results, null ids are kept, other columns are ignored, whatever their names;
     an empty table on either side gives no rows.
     """
-    texts = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).cast("string").alias("_item_text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("_item_text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    out = None
-    for k in range(blocks):
-        block = texts.where(F.pmod(F.xxhash64("_item", "_item_text"), F.lit(blocks)) == k)
-        found = _leaks_in_block(docs, block, width, threshold, sketch_size(threshold, miss), id_col, text_col, keep)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("_item", item_col)
-
-
-def _leaks_in_block(docs: DataFrame, items: DataFrame, width: int, threshold: float, hashes: int, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    exact = items.select(F.monotonically_increasing_id().alias("_row"), "_item", shingles(F.col("_item_text"), width).alias("_item_sh"), shingle_hashes(F.col("_item_text"), width).alias("sh")).where(F.size("sh") > 0)
-    exact = cut(exact, "items")
-    sketch = exact.select("_row", F.size("sh").alias("q"), sketch_of("sh", hashes).alias("sk"))
-    keys = sorted({h for r in sketch.select("sk").collect() for h in r.sk})
-    # at least 256 bits for each key, so that one shingle in 10,000 passes by mistake
-    bits = 1 << max(16, (256 * len(keys)).bit_length())
-    table = F.expr(bit_map(keys, bits))
-    at = lambda place: F.call_function("shiftright", F.get(table, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    hit = lambda s: at(s.bitwiseAND(F.lit(bits - 1))) & at(F.shiftright(s, 32).bitwiseAND(F.lit(bits - 1)))
-    found = bound(shingle_hashes(F.col(text_col), width), lambda sh: F.struct(F.size(sh).alias("x"), F.filter(sh, hit).alias("hits")))
-    near = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text"), found.alias("_found")).where(F.size("_found.hits") > 0)
-    # partitions of items by size: 2^c shingles or more, fewer than twice as many
-    sized = sketch.withColumn("least", F.pow(F.lit(2.0), F.floor(F.log2("q"))))
-    by_hash = sized.select(F.explode("sk").alias("_h"), F.struct("_row", "sk", "least").alias("_entry")).groupBy("_h").agg(F.collect_list("_entry").alias("_entries"))
-    met = near.withColumn("_h", F.explode("_found.hits")).join(F.broadcast(by_hash), "_h").withColumn("_e", F.explode("_entries"))
-    met = met.where(F.col("_e.least") * threshold <= F.col("_found.x"))
-    # a pair that met on several sketched shingles counts where it met first
-    met = met.where(F.get(F.array_intersect("_e.sk", "_found.hits"), F.lit(0)) == F.col("_h")).withColumn("_row", F.col("_e._row"))
-    pairs = met.join(F.broadcast(exact.select("_row", "_item", "_item_sh")), "_row")
-    matched = F.size(F.array_intersect("_item_sh", shingles(F.col("_text"), width)))
-    counted = pairs.select(id_col, *keep, "_item", matched.cast("long").alias("matched"), F.size("_item_sh").cast("long").alias("item_shingles"))
+    text = named(item_text_col).cast("string")
+    exact = items.select(F.monotonically_increasing_id().alias("row"), named(item_col).alias("item"), shingles(text, width).alias("item_sh"), shingle_hashes(text, width).alias("sh")).where(F.size("sh") > 0)
+    exact = cut(exact.withColumn("part", F.floor(F.log2(F.size("sh"))).cast("int")), "items")
+    parts = sorted(r.part for r in exact.select("part").distinct().collect()) or [0]
+    sketch = functools.reduce(lambda s, c: s.when(F.col("part") == c, sketch_of("sh", sketch_size(1 << c, threshold, miss))), parts, F.when(F.lit(False), F.col("sh")))
+    index = cut(exact.select("row", "part", sketch.alias("sk")).select("row", "part", "sk", F.explode("sk").alias("h")), "index")
+    keys = index.select("h").distinct()
+    words, bits = bit_words(keys, keys.count(), BITS_PER_KEY)
+    with variable(words) as known:
+        # what of a document's shingles is sketched of some item
+        held = bound(shingle_hashes(named(text_col).cast("string"), width), lambda sh: F.struct(F.size(sh).alias("x"), F.filter(sh, lambda s: marked((known, bits), s)).alias("hits")))
+        near = docs.select(F.monotonically_increasing_id().alias("doc"), named(id_col).alias("id"), named(text_col).cast("string").alias("text"), held.alias("held"))
+        near = cut(near.where(F.size("held.hits") > 0), "near")
+    # the last partition that a document could hold an item of
+    last = F.floor(F.log2(F.col("held.x") / threshold + 1e-9)).cast("int")
+    asked = near.select("doc", F.col("held.hits").alias("hits"), F.filter(F.array(*(F.lit(c) for c in parts)), lambda c: c <= last).alias("parts"))
+    asked = asked.select("doc", "hits", "parts", F.explode("hits").alias("h")).select("doc", "hits", "h", F.explode("parts").alias("part"))
+    # a pair that meets on several sketched shingles counts where it meets first
+    met = asked.join(index, ["part", "h"]).where(F.get(F.array_intersect("sk", "hits"), F.lit(0)) == F.col("h")).select("doc", "row")
+    pairs = met.join(near.select("doc", "id", "text"), "doc").join(exact.select("row", "item", "item_sh"), "row")
+    matched = F.size(F.array_intersect("item_sh", shingles(F.col("text"), width)))
+    counted = pairs.select("id", "item", matched.cast("long").alias("matched"), F.size("item_sh").cast("long").alias("item_shingles"))
     share = F.col("matched") / F.col("item_shingles")
-    return counted.where(F.col("matched") >= F.col("item_shingles") * threshold - 1e-9).select(id_col, "_item", "matched", "item_shingles", share.alias("containment"), *keep)
+    return counted.where(F.col("matched") >= F.col("item_shingles") * threshold - 1e-9).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "item_shingles", share.alias("containment"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import dataclasses
 import math
 from collections.abc import Iterable, Iterator
@@ -12,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.llm.keys import named
+
 #: Unlisted keys of the universe that level 1 lets through on average, for each listed key.
 SURVIVORS = math.sqrt(0.5)
 
@@ -31,25 +34,28 @@ class Rule:
 
 @dataclasses.dataclass(frozen=True)
 class Level:
-    bits: np.ndarray
+    """A Bloom filter: ``size`` bits, eight to a byte."""
+
+    bits: bytes
+    size: int
     hashes: int
 
     @staticmethod
     def of(keys: Iterable[str], rate: float, seed: int) -> Level:
         keys = list(keys)
         size = max(64, math.ceil(-len(keys) * math.log(rate) / math.log(2) ** 2))
-        level = Level(np.zeros(size, dtype=bool), max(1, round(-math.log2(rate))))
+        level, marks = Level(b"", size, max(1, round(-math.log2(rate)))), np.zeros(size, dtype=bool)
         for key in keys:
-            level.bits[level.places(key, seed)] = True
-        return level
+            marks[level.places(key, seed)] = True
+        return dataclasses.replace(level, bits=np.packbits(marks, bitorder="little").tobytes())
 
     def places(self, key: str, seed: int) -> list[int]:
         h = xxhash.xxh3_128_intdigest(key.encode(), seed)
         a, b = h >> 64, (h & 0xFFFFFFFFFFFFFFFF) | 1
-        return [(a + i * b) % len(self.bits) for i in range(self.hashes)]
+        return [(a + i * b) % self.size for i in range(self.hashes)]
 
     def has(self, key: str, seed: int) -> bool:
-        return all(self.bits[p] for p in self.places(key, seed))
+        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self.places(key, seed))
 
 
 class Cascade:
@@ -59,25 +65,28 @@ class Cascade:
     levels passed it. That is exact for every key of the universe from which the
     false positives were taken. Level 1 lets about 0.7 keys through for each
     listed key, and each later level half of what it is asked, so all levels
-    together take a few bytes for each listed key whatever the corpus's size.
+    together take about a byte for each listed key whatever the corpus's size
+    but for its logarithm. The levels are all that a cascade holds.
     """
 
     def __init__(self, listed: Iterable[str], universe: int):
-        self.listed = frozenset(listed)
-        rate = SURVIVORS * max(1, len(self.listed)) / max(1, universe)
-        self.levels = [Level.of(self.listed, min(0.5, rate), 0)]
+        listed = frozenset(listed)
+        rate = SURVIVORS * max(1, len(listed)) / max(1, universe)
+        self.levels = [Level.of(listed, min(0.5, rate), 0)]
 
     def passes_first(self, key: str) -> bool:
         return self.levels[0].has(key, 0)
 
-    def close(self, survivors: Iterable[str]) -> None:
-        """Add levels until none has a false positive; ``survivors``: unlisted keys of the universe that pass level 1."""
-        inside, wrong = self.listed, frozenset(survivors) - self.listed
+    def close(self, listed: Iterable[str], survivors: Iterable[str]) -> Cascade:
+        """Add levels until none has a false positive; ``survivors``: keys of the universe that pass level 1, listed ones or not."""
+        inside = frozenset(listed)
+        wrong = frozenset(survivors) - inside
         while wrong:
             seed = len(self.levels)
             level = Level.of(wrong, 0.5, seed)
             inside, wrong = wrong, frozenset(k for k in inside if level.has(k, seed))
-            self.levels.append(level)
+            self.levels = [*self.levels, level]
+        return self
 
     def __contains__(self, key: str) -> bool:
         passed = 0
@@ -87,8 +96,30 @@ class Cascade:
 
     @property
     def size(self) -> int:
-        """Bytes of all levels, as kept in memory."""
-        return sum(level.bits.nbytes for level in self.levels)
+        """Bytes of all levels."""
+        return sum(len(level.bits) for level in self.levels)
+
+
+@dataclasses.dataclass(frozen=True)
+class Shape:
+    """How long listed hosts and paths are: nothing longer is looked up."""
+
+    labels: int
+    characters: int
+    paths: tuple[int, ...]
+
+    @staticmethod
+    def of(rules: Iterable[Rule]) -> Shape:
+        rules = list(rules)
+        return Shape(max((r.host.count(".") + 1 for r in rules), default=0), max((len(r.host) for r in rules), default=0), tuple(sorted({len(r.path) for r in rules}, reverse=True)))
+
+    def keys(self, host: str, path: str) -> list[str]:
+        """Keys of all rules that could fit, the longest first: what the cascade is asked."""
+        # only the end of a host, however long that is, can be a listed host with a dot before it
+        end = host[-self.characters - 1 :] if self.characters else ""
+        labels = end.rsplit(".", self.labels)
+        hosts = (".".join(labels[i:]) for i in range(0 if len(labels) <= self.labels and len(end) == len(host) else 1, len(labels)))
+        return sorted((h + path[:n] for h in hosts if len(h) <= self.characters for n in self.paths if len(path) >= n), key=len, reverse=True)
 
 
 def rest_of(url: Column) -> Column:
@@ -108,51 +139,52 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest_of(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Keys of all rules that could fit, the longest first: what the cascade is asked."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
-    return sorted((h + path[:n] for h in hosts for n in lengths if len(path) >= n), key=len, reverse=True)
-
-
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """The longest rule that fits each URL, and its verdict.
 
-    The keys of a URL are its host's suffixes at dots with its path's prefixes
+    The keys of a URL are its host's suffixes at dots, none longer than the
+    longest listed host, with its path's prefixes
     of the lengths that rules have; the universe is the keys of all URLs.
-    One pass finds the keys that pass level 1 without being listed, about 0.7 for
-    each rule at most on average; a second walks the cascade. No row is
+    One pass finds the keys that pass level 1, about 0.7 for
+    each rule besides the rules' own; a second walks the cascade. No row is
     shuffled or joined. A URL that no rule fits has no listed key: its ``rule`` is null
     and its verdict ``default``.
 
+    Workers get the levels of two cascades, broadcast, and no key: one says
+    which keys are listed, and one, whose universe is the list, which of those
+    block. The key that is found is the rule.
+
     Returns ``id_col``, ``host``, ``path``, ``rule`` and ``verdict``, a row for
-    each row. Null URLs and those without ``://`` have an empty host and path.
+    each row. Null URLs and those without ``://`` have an empty host and path; a URL may be of any length.
     Repeated rows, null ids and other columns don't matter; an empty table gives
     no rows. The rule with the longest host and path together wins; of two rules
     with one key the last counts. ``rules`` is a list on the driver, so its size is
-    known before the cascade is sent out.
+    known before cascades are made.
     """
     verdicts = {r.key: r.verdict for r in rules}
-    keys = {(r.host, r.path) for r in rules}
-    lengths = sorted({len(path) for _, path in keys}, reverse=True)
-    split = pages.select(F.col(id_col), host_of(F.col(url_col).cast("string")).alias("host"), path_of(F.col(url_col).cast("string")).alias("path"))
-    urls = split.count()
-    # a host name has 127 labels at most, so this many keys need no pass to be counted
-    cascade = Cascade((h + p for h, p in keys), urls * max(1, len(lengths)) * 127)
+    shape = Shape.of(rules)
+    url = named(url_col).cast("string")
+    split = pages.select(named(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    spark = pages.sparkSession
+    cascade = Cascade(verdicts, split.count() * max(1, shape.labels * len(shape.paths)))
+    first = spark.sparkContext.broadcast(cascade)
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {k for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True) for k in candidates(h, p, lengths) if cascade.passes_first(k)}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found - cascade.listed), pa.string())], ["key"])
+            found = {k for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True) for k in shape.keys(h, p) if first.value.passes_first(k)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["key"])
 
-    wrong = split.select("host", "path").mapInArrow(survivors, "key string").distinct()
-    cascade.close(r.key for r in wrong.collect())
+    passed = split.select("host", "path").mapInArrow(survivors, "key string").distinct()
+    blocked = [k for k, v in verdicts.items() if v == "block"]
+    # level 1 has been sent already: what is added to it goes with a copy
+    listed = spark.sparkContext.broadcast(copy.copy(cascade).close(verdicts, (r.key for r in passed.collect())))
+    inner = Cascade(blocked, len(verdicts))
+    blocks = spark.sparkContext.broadcast(inner.close(blocked, (k for k in verdicts if inner.passes_first(k))))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = [next((k for k in candidates(h, p, lengths) if k in cascade), None) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            said = [default if f is None else verdicts[f] for f in fits]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fits, pa.string()), pa.array(said, pa.string())], [*batch.schema.names, "rule", "verdict"])
+            fits = [next((k for k in shape.keys(h, p) if k in listed.value), None) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            said = [default if f is None else "block" if f in blocks.value else "allow" for f in fits]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fits, pa.string()), pa.array(said, pa.string())], ["id", "host", "path", "rule", "verdict"])
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return split.mapInArrow(apply, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return split.mapInArrow(apply, f"id {split.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 from util import docs, prose, shingles
 
-from lakemill.llm import decontaminate, packing, ranking, secrets, sharding, url_filter
+from lakemill.llm import decontaminate, keys, packing, ranking, secrets, sharding, url_filter
 from lakemill.llm.queries import URL_RULES
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -209,12 +210,35 @@ def test_urls_equal_brute_force(spark):
 def test_cascade_is_exact_on_its_universe(claimed):
     universe = [f"h{i}.example/{i % 7}" for i in range(5000)]
     cascade = url_filter.Cascade(universe[:300], claimed)
-    cascade.close(k for k in universe if cascade.passes_first(k) and k not in cascade.listed)
+    cascade.close(universe[:300], (k for k in universe if cascade.passes_first(k)))
     assert [k in cascade for k in universe] == [True] * 300 + [False] * 4700
     assert claimed > 5000 or len(cascade.levels) > 3
 
 
-def test_leaks_equal_brute_force(spark):
+def test_what_is_shipped_holds_no_key(spark, monkeypatch):
+    sent = []
+    context = type(spark.sparkContext)
+    real = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value) or real(self, value))
+    rules = [url_filter.Rule(f"host{i}.example", "/secret/", "block" if i % 2 else "allow") for i in range(300)]
+    pages = spark.createDataFrame([(i, f"http://a.host{i}.example/secret/x") for i in range(400)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {i: (f"host{i}.example/secret/", "block" if i % 2 else "allow") if i < 300 else (None, "allow") for i in range(400)}
+    raw = pickle.dumps(sent)
+    assert len(sent) == 3 and b"example" not in raw and len(raw) < 300 * 20
+
+
+def test_urls_of_any_length(spark):
+    rules = [url_filter.Rule("com", "/", "allow"), url_filter.Rule("b.example.com", "/en/", "block")]
+    hosts = ["x." * 500_000 + "b.example.com", "y" * 1_000_000 + "b.example.com", "y" * 10 + ".b.example.com", "b.example.com", "." * 100_000 + "com", "com." * 5 + "org", "bcom"]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/{'z' * 100_000}") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filter.judge(pages, rules).collect()}
+    assert got == {0: "b.example.com/en/", 1: "com/", 2: "b.example.com/en/", 3: "b.example.com/en/", 4: "com/", 5: None, 6: None}
+    shape = url_filter.Shape.of(rules)
+    assert max(len(shape.keys(h, "/en/")) for h in hosts) <= 6
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
     items = [prose(100 + i, n) for i, n in enumerate((4, 5, 9, 30, 31, 60, 200, 2))] + [None, "", "?!"]
     items += [items[3]]
     w = items[3].split()
@@ -229,8 +253,10 @@ def test_leaks_equal_brute_force(spark):
             if b and len(a & b) >= 0.8 * len(b):
                 want.add((i, j, len(a & b), len(b)))
     df = spark.createDataFrame([(j, u, 1) for j, u in enumerate(items)], "item_id long, text string, doc_id int")
-    for block in (4_000_000, 300):
-        got = decontaminate.leaks(docs(spark, texts).repartition(3), df, block_bytes=block).collect()
+    for bits in (256, 0.01):
+        monkeypatch.setattr(decontaminate, "BITS_PER_KEY", int(bits) or 1)
+        monkeypatch.setattr(keys, "MOST_BYTES", 8 << 20 if bits > 1 else 64)
+        got = decontaminate.leaks(docs(spark, texts).repartition(3), df).collect()
         assert sorted((r.doc_id, r.item_id, r.matched, r.item_shingles) for r in got) == sorted(want)
     assert len(want) > 20
     assert decontaminate.leaks(docs(spark, texts).limit(0), df).count() == decontaminate.leaks(docs(spark, texts), df.limit(0)).count() == 0
@@ -244,8 +270,43 @@ def test_leaks_of_repeated_rows_and_ids_and_no_python(spark):
     assert not re.search("PythonUDF|MapInArrow|MapInPandas", found._jdf.queryExecution().toString())
 
 
-def test_sketches_miss_as_rarely_as_told():
-    assert 0.2 ** decontaminate.sketch_size(0.8, 1e-6) <= 1e-6 < 0.2 ** (decontaminate.sketch_size(0.8, 1e-6) - 1)
-    assert decontaminate.sketch_size(1.0, 1e-6) == 1
+def test_documents_are_read_once_however_many_items_there_are(spark, tmp_path, monkeypatch):
+    docs(spark, [prose(i, 60) for i in range(20)]).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    items = spark.createDataFrame([(i, prose(500 + i, 20 + i % 90)) for i in range(3000)] + [(9999, prose(3, 30))], "item_id long, text string")
+    plans, write = [], type(read.write).parquet
+    monkeypatch.setattr(type(read.write), "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, *a, **k))
+    found = decontaminate.leaks(read, items)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(3, 9999)]
+    assert sum(plan.count(f"{tmp_path}/d") for plan in plans) == 1 and not re.search("Python|Arrow|Pandas", "".join(plans))
 
 
+def test_sketches_miss_as_rarely_as_told():
+    for c in range(3, 12):
+        n = decontaminate.sketch_size(1 << c, 0.8, 1e-6)
+        share = max((q - -(-4 * q // 5)) / q for q in range(1 << c, 2 << c))
+        assert share**n <= 1e-6 < share ** (n - 1)
+    # of fewer than five shingles all have to be there
+    assert [decontaminate.sketch_size(1 << c, 0.8, 1e-6) for c in range(3)] == [1, 1, 9]
+    assert decontaminate.sketch_size(8, 1.0, 1e-6) == 1
+
+
+def test_items_that_barely_fit_are_found_all_the_same(spark):
+    """Every document lacks as many of its item's shingles as it may, at random places."""
+    items, texts = [prose(1000 + i, 54) for i in range(300)], []
+    for i, item in enumerate(items):
+        w, r = item.split(), random.Random(i)
+        # two words that differ touch five shingles each
+        for at in r.sample([4, 11, 18, 25, 32, 39, 46], 2):
+            w[at] = "zzz"
+        texts.append(f"{prose(i, 40)} {' '.join(w)} {prose(5000 + i, 40)}")
+        assert len(shingles(texts[-1]) & shingles(item)) == 40 and len(shingles(item)) == 50
+    df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.leaks(docs(spark, texts), df).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in found) == [(i, i, 40) for i in range(300)]
+
+
+def test_sketches_take_their_seeds(spark):
+    df = spark.createDataFrame([(list(range(1000)),)], "sh array<long>")
+    assert len(df.select(decontaminate.sketch_of("sh", 9).alias("sk")).first().sk) == 9
