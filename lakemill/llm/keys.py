@@ -77,17 +77,28 @@ def marked(found: tuple[Column, int], h: Column) -> Column:
     return at(h.bitwiseAND(F.lit(bits - 1))) & at(F.shiftright(h, 32).bitwiseAND(F.lit(bits - 1)))
 
 
+def _met(rows: DataFrame, keys: DataFrame, of: list[str], key: str) -> tuple[DataFrame, Column]:
+    """``rows`` with their row key over the columns ``of`` as ``key``, and whether a bit map lets it pass for one of ``keys``."""
+    found = bit_map(keys.select(F.xxhash64("rkey").alias("h")).distinct(), keys.count())
+    return rows.withColumn(key, row_key(*(named(c) for c in of))), marked(found, F.xxhash64(key))
+
+
+def within(rows: DataFrame, keys: DataFrame, of: list[str], key: str) -> DataFrame:
+    """``rows`` whose row key over the columns ``of`` is in ``keys`` (a written table with a binary column ``rkey``), with the key as ``key``.
+
+    Rows that miss a bit map of the keys don't move; the few others meet the keys in a join.
+    """
+    keyed, hit = _met(rows, keys, of, key)
+    return keyed.where(hit).join(keys.select(F.col("rkey").alias(key)).distinct(), key, "left_semi")
+
+
 def without(rows: DataFrame, keys: DataFrame, of: list[str]) -> DataFrame:
     """``rows`` whose row key over the columns ``of`` isn't in ``keys`` (a written table with a binary column ``rkey``).
 
     Rows that miss a bit map of the keys stay where they are; the few others
     meet the keys in a join.
     """
-    columns = [named(c) for c in rows.columns]
-    hashed = keys.select(F.xxhash64("rkey").alias("h")).distinct()
-    found = bit_map(hashed, keys.count())
-    key = spare("rkey", rows.columns)
-    keyed = rows.withColumn(key, row_key(*(named(c) for c in of)))
-    hit = marked(found, F.xxhash64(key))
+    columns, key = [named(c) for c in rows.columns], spare("rkey", rows.columns)
+    keyed, hit = _met(rows, keys, of, key)
     left = keyed.where(hit).join(keys.select(F.col("rkey").alias(key)).distinct(), key, "left_anti")
     return keyed.where(~hit).select(columns).unionByName(left.select(columns))
