@@ -125,13 +125,14 @@ QUOTATIONS = r"""
     said as (select distinct conv_id, turn, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) as key from part),
     quote as (select conv_id, turn, level, place, part, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) as key from body),
     found as (select q.conv_id, q.turn, q.level, q.part, q.place,
-        max(s.turn) filter (where s.conv_id = q.conv_id and s.turn < q.turn) as near, min((s.conv_id, s.turn)) as first
-        from quote q join said s on q.key = s.key and q.key <> '' group by all),
-    best as (select conv_id, turn, case when near is not null then (conv_id, near) else first end as up from found where near is not null or first[1] < conv_id
+        max(s.turn) filter (where s.conv_id = q.conv_id and s.turn < q.turn) as near, min((s.conv_id, s.turn)) as first, max(s.conv_id) as last_conv
+        from quote q join said s on q.key = s.key and q.key <> '' group by q.conv_id, q.turn, q.level, q.part, q.place, q.key),
+    common as (select conv_id, turn, count(*) as n_common from found where near is null and first[1] < conv_id and first[1] <> last_conv group by conv_id, turn),
+    best as (select conv_id, turn, case when near is not null then (conv_id, near) else first end as up from found where near is not null or (first[1] < conv_id and first[1] = last_conv)
         qualify row_number() over (partition by conv_id, turn order by level, part, place) = 1),
     tree as (select conv_id, turn, cast(up[1] as bigint) as uc, cast(up[2] as bigint) as ut, cast(up[1] as bigint) as tc, cast(up[2] as bigint) as tt, cast(1 as bigint) as depth from best
         union all select t.conv_id, t.turn, t.uc, t.ut, cast(b.up[1] as bigint), cast(b.up[2] as bigint), t.depth + 1 from tree t join best b on b.conv_id = t.tc and b.turn = t.tt),
     top as (select * from tree qualify row_number() over (partition by conv_id, turn order by depth desc) = 1)
-    select m.conv_id, m.turn, m.role, m.own as text, m.n_quotes, uc as reply_conv, ut as reply_turn, coalesce(depth, 0) as depth, coalesce(tc, m.conv_id) as thread_conv,
+    select m.conv_id, m.turn, m.role, m.own as text, m.n_quotes, coalesce(n_common, 0) as n_common, uc as reply_conv, ut as reply_turn, coalesce(depth, 0) as depth, coalesce(tc, m.conv_id) as thread_conv,
     row_number() over (partition by coalesce(tc, m.conv_id) order by m.conv_id, m.turn, md5(coalesce(m.own, ''))) - 1 as position
-    from m left join top using (conv_id, turn)"""
+    from m left join top using (conv_id, turn) left join common using (conv_id, turn)"""

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.ranking import ranked
+from lakemill.llm.keys import named
+from lakemill.llm.ranking import sort_ranked
 from lakemill.llm.storage import cut, drop
 
 #: The mark of a quoted line, one for each level, and a line that introduces a quote.
@@ -18,14 +19,16 @@ QUOTED = re.compile(r"(?:[ \t]*>)+[ \t]?")
 INTRODUCES = re.compile(r"\s*(?:on|am|le|el)\b.*\b(?:wrote|schrieb|a écrit|escribió)\b[^\n]{0,80}:\s*$", re.IGNORECASE)
 BETWEEN_PARAGRAPHS = re.compile(r"\n[ \t]*\n")
 BETWEEN_WORDS = re.compile(r"[\W_]+")
-#: Turns of a conversation that are ranked together, about.
+#: Turns of a conversation that a window runs over.
 BUCKET_TURNS = 256
+#: What a message's columns are called in here.
+COLUMNS = ("conv", "turn", "role")
 
 
-def key_of(passage: str) -> str | None:
+def key_of(passage: str) -> bytes | None:
     """A digest that passages of the same words share; none without words."""
     words = BETWEEN_WORDS.sub(" ", passage.lower()).strip()
-    return hashlib.md5(words.encode()).hexdigest() if words else None
+    return hashlib.md5(words.encode()).digest() if words else None
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
@@ -53,7 +56,7 @@ def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
     return ("\n".join(own).strip() if passages else text), passages
 
 
-def units(own: str) -> list[str]:
+def units(own: str) -> list[bytes]:
     """Digests of what others may quote of a text: the whole, its paragraphs and its lines."""
     parts = [own, *BETWEEN_PARAGRAPHS.split(own), *own.split("\n")]
     return list(dict.fromkeys(k for k in map(key_of, parts) if k))
@@ -66,25 +69,26 @@ def quotes_of(lines: list[str]) -> list[tuple[int, str]]:
     return [(0, whole), *((1, p) for p in paragraphs), *((2, line) for line in lines if len(lines) > 1)]
 
 
-def parsed(messages: DataFrame, columns: list[str], text_col: str) -> DataFrame:
-    quote = pa.struct([("level", pa.int64()), ("place", pa.int64()), ("part", pa.int64()), ("key", pa.string())])
+def parsed(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """(conv, turn, role, own, quotes, units, n_quotes): each message parsed."""
+    quote = pa.struct([("level", pa.int64()), ("place", pa.int64()), ("part", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean, quotes, keys, passages = [], [], [], []
-            for text in batch.column(text_col).to_pylist():
+            for text in batch.column("text").to_pylist():
                 own, found = parse(text) if text is not None else (None, [])
                 clean.append(own)
                 keys.append(units(own or ""))
                 passages.append(len(found))
                 rows = [(level, i, part, key_of(p)) for i, (level, lines) in enumerate(found) for part, p in quotes_of(lines)]
                 quotes.append([dict(zip(("level", "place", "part", "key"), r, strict=True)) for r in rows if r[3]])
-            made = [pa.array(clean, pa.string()), pa.array(quotes, pa.list_(quote)), pa.array(keys, pa.list_(pa.string())), pa.array(passages, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, "own", "quotes", "units", "n_quotes"])
+            made = [pa.array(clean, pa.string()), pa.array(quotes, pa.list_(quote)), pa.array(keys, pa.list_(pa.binary())), pa.array(passages, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), *made], [*COLUMNS, "own", "quotes", "units", "n_quotes"])
 
-    rows = messages.select(*columns, F.col(text_col).cast("string").alias(text_col))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(run, f"{kinds}, own string, quotes array<struct<level: long, place: long, part: long, key: string>>, units array<string>, n_quotes long")
+    rows = messages.select(*(named(old).alias(new) for old, new in zip((conv_col, turn_col, role_col), COLUMNS, strict=True)), named(text_col).cast("string").alias("text"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in COLUMNS)
+    return rows.mapInArrow(run, f"{kinds}, own string, quotes array<struct<level: long, place: long, part: long, key: binary>>, units array<binary>, n_quotes long")
 
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -93,53 +97,64 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     Quoted passages, whole, by paragraphs and line by line, are looked up by a digest of their
     words among the whole texts, paragraphs and lines that messages say
     themselves. A passage comes from the last earlier turn of its conversation
-    that says it, or else from the first message of all that does, if that is
-    of a conversation with a smaller id. A message replies to the source of its least deeply
+    that says it, or else from the first message of the only conversation that does, if that
+    has a smaller id. What several conversations say identifies no original: such
+    passages make no link between conversations and are counted instead. A message replies to the source of its least deeply
     quoted passage, of those of one level to the one found whole, then to one
     found by a paragraph of several lines, then to the first. A source precedes its reply, so that replies make trees.
 
     Returns, for each row: the conversation, turn and role; ``text`` without
-    quotes; ``n_quotes`` (passages); ``reply_conv`` and ``reply_turn`` (null if
+    quotes; ``n_quotes`` (passages); ``n_common`` (of its wholes, paragraphs and lines those that no earlier turn of the
+    conversation says, and several conversations do, the first of them with a smaller id); ``reply_conv`` and ``reply_turn`` (null if
     none); ``depth`` (replies above it); ``thread_conv`` (the conversation of the
     message at the top of its tree) and ``position``, its place from 0 in the
     conversation of that id, in which each message follows the one it replies to.
 
-    Null texts stay null, have no quotes and say nothing. Messages whose
+    Null texts stay null, have no quotes and say nothing; long ones are parsed whole. Messages whose
     conversation or turn is null have no links. Of rows with one conversation
     and turn, each takes part; links go to that turn, and they share the reply
     that is found first. Ties in position are ordered by text. Other columns are
-    ignored; an empty table gives no rows.
+    ignored, whatever their names; an empty table gives no rows.
 
     What is said often isn't paired with all that quote it: a digest has one
-    source for each conversation's turn, found by a running window, and one
-    source over all, by a map-side combined minimum. Ranks come from buckets of
-    turns, so that a conversation of any length has no task of its own.
+    source for each conversation's turn, found by a window that runs over :data:`BUCKET_TURNS`
+    turns and is handed the last source of earlier ones, and one
+    source over all, by map-side combined minima. Places come from ranges of sorted
+    keys, so that neither a conversation nor a thread nor a turn with any number of rows has a task of its own.
     """
-    columns = [conv_col, turn_col, role_col]
-    base = cut(parsed(messages, columns, text_col).withColumn("_row", F.monotonically_increasing_id()), "messages")
-    placed = base.where(F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull()).select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), "quotes", "units")
+    base = cut(parsed(messages, conv_col, turn_col, role_col, text_col).withColumn("row", F.monotonically_increasing_id()), "messages")
+    placed = base.where(F.col("conv").isNotNull() & F.col("turn").isNotNull())
     quotes = cut(placed.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.*").distinct(), "quotes")
     said = placed.select("conv", "turn", F.explode("units").alias("key")).join(quotes.select("key").distinct(), "key", "left_semi").distinct()
     said = cut(said, "said")
-    first = said.groupBy("key").agg(F.min(F.struct("conv", "turn")).alias("first"))
-    both = quotes.withColumn("source", F.lit(None).cast(said.schema["turn"].dataType)).unionByName(said.withColumn("source", F.col("turn")), allowMissingColumns=True)
-    running = Window.partitionBy("conv", "key").orderBy("turn", F.col("source").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = both.withColumn("last", F.last("source", ignorenulls=True).over(running)).where("level is not null").drop("source")
+    first = said.groupBy("key").agg(F.min(F.struct("conv", "turn")).alias("first"), F.max("conv").alias("last_conv"))
+    bucket = F.floor(F.col("turn") / BUCKET_TURNS).alias("bucket")
+    latest = said.groupBy("conv", "key", bucket).agg(F.max("turn").alias("latest"))
+    before = Window.partitionBy("conv", "key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    both = quotes.select("*", bucket).unionByName(said.select("*", bucket, F.col("turn").alias("source")), allowMissingColumns=True)
+    both = both.unionByName(latest.select("conv", "key", "bucket", F.col("latest").alias("source"), F.lit(True).alias("sums")), allowMissingColumns=True)
     # turns are unique to a conversation, so a source at the same turn is the message itself
-    near = near.join(first, "key", "left").where("last is not null or first.conv < conv")
-    source = F.when(F.col("last").isNotNull(), F.struct(F.col("conv").alias("conv"), F.col("last").alias("turn"))).otherwise(F.col("first"))
-    replies = near.select("conv", "turn", F.struct("level", "part", "place", source.alias("source")).alias("best"))
-    replies = replies.groupBy("conv", "turn").agg(F.min("best").alias("best")).select("conv", "turn", "best.source")
-    trees = _tops(replies.select(F.struct("conv", "turn").alias("node"), F.col("source").alias("up")))
+    running = Window.partitionBy("conv", "key", "bucket").orderBy("turn", F.col("source").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.where("sums is null").withColumn("last", F.max("source").over(running)).where("level is not null")
+    # only buckets that hold quotes ask for earlier ones
+    asked = quotes.select("conv", "key", bucket).distinct().withColumn("asks", F.lit(True))
+    carried = latest.join(asked, ["conv", "key", "bucket"], "full").withColumn("carried", F.max("latest").over(before)).where("asks").select("conv", "key", "bucket", "carried")
+    near = near.join(carried, ["conv", "key", "bucket"]).withColumn("last", F.coalesce("last", "carried")).join(first, "key", "left")
+    near = cut(near.select("conv", "turn", "level", "part", "place", "last", "first", "last_conv").where("last is not null or first.conv < conv"), "sources")
+    source = F.when(F.col("last").isNotNull(), F.struct(F.col("conv").alias("conv"), F.col("last").alias("turn"))).when(F.col("first.conv") == F.col("last_conv"), F.col("first"))
+    replies = near.select("conv", "turn", F.when(source.isNotNull(), F.struct("level", "part", "place", source.alias("source"))).alias("best"))
+    replies = cut(replies.groupBy("conv", "turn").agg(F.min("best").alias("best"), F.sum(F.col("best").isNull().cast("long")).alias("n_common")), "replies")
+    trees = _tops(replies.where("best is not null").select(F.struct("conv", "turn").alias("node"), F.col("best.source").alias("up")))
+    for done in (quotes, said, near):
+        drop(done)
     # ranks need each row's key and place alone; texts meet them once
-    slim = base.select("_row", F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.md5(F.coalesce("own", F.lit(""))).alias("digest"))
-    slim = slim.withColumn("_node", F.struct("conv", "turn")).join(trees, F.col("_node") == F.col("node"), "left")
-    slim = slim.select("_row", "conv", "turn", "digest", "reply", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("top.conv", "conv").alias("thread"))
-    bucket = F.struct(F.col("conv"), F.floor(F.col("turn") / BUCKET_TURNS))
-    order = [F.col(c) for c in ("conv", "turn", "digest")]
-    places = ranked(slim, ["thread"], bucket, order, "place").select("_row", "reply", "depth", "thread", "place")
-    return base.join(places, "_row").select(
-        *columns, F.col("own").alias("text"), "n_quotes", F.col("reply.conv").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), "depth", F.col("thread").alias("thread_conv"), F.col("place").alias("position")
+    slim = base.select("row", "conv", "turn", F.md5(F.coalesce("own", F.lit(""))).alias("digest"))
+    slim = slim.join(replies.select("conv", "turn", "n_common"), ["conv", "turn"], "left").withColumn("at", F.struct("conv", "turn")).join(trees, F.col("at") == F.col("node"), "left")
+    slim = slim.select("row", "conv", "turn", "digest", "n_common", "reply", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("top.conv", "conv").alias("thread"))
+    places = sort_ranked(slim, ["thread"], ["conv", "turn", "digest", "row"], "place").select("row", "n_common", "reply", "depth", "thread", "place")
+    return base.join(places, "row").select(
+        F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias("text"), "n_quotes", F.coalesce("n_common", F.lit(0)).cast("long").alias("n_common"),
+        F.col("reply.conv").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), "depth", F.col("thread").alias("thread_conv"), F.col("place").alias("position"),
     )
 
 

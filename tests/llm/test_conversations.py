@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from lakemill.llm import quotation
+from lakemill.llm import quotation, ranking
 
 SCHEMA = "conv_id long, turn long, role string, text string, position string, up int"
 
@@ -33,7 +33,8 @@ def brute(rows):
                 key = quotation.key_of(p)
                 near = [m for m in says if key in says[m] and m[0] == n[0] and m[1] < n[1]] if key else []
                 first = min((m for m in says if key in says[m]), default=None) if key else None
-                source = max(near) if near else first if first and first[0] < n[0] else None
+                alone = len({m[0] for m in says if key in says[m]}) == 1
+                source = max(near) if near else first if first and first[0] < n[0] and alone else None
                 if source:
                     found.append((level, min(part, 1), place, source))
         if found:
@@ -113,3 +114,31 @@ def test_trimmed_and_wrapped_quotes_of_several_paragraphs(spark):
     got = {(r.conv_id, r.turn): r for r in quotation.link(frame(spark, rows)).collect()}
     assert [(got[n].reply_conv, got[n].reply_turn, got[n].depth, got[n].text) for n in ((1, 2), (1, 3), (2, 0))] == [(1, 1, 1, "Yes"), (1, 1, 1, "No"), (1, 1, 1, "Elsewhere")]
     assert got[2, 1].reply_turn is None and got[2, 0].thread_conv == 1
+
+
+def test_a_line_that_all_conversations_say_joins_none(spark):
+    rows = [(c, t, ["thanks", "> thanks\nwelcome"][t]) for c in range(60) for t in range(2)]
+    rows += [(c, 0, f"> thanks\n> only {c % 7} said this\nand more") for c in range(100, 140)] + [(c, 0, f"only {c} said this") for c in range(60, 67)]
+    rows += [(c, 1, f"> only {c - 200 + 60} said this\nyes") for c in range(200, 207)]
+    got = {(r.conv_id, r.turn): r for r in quotation.link(frame(spark, rows)).collect()}
+    assert all((got[c, 1].reply_conv, got[c, 1].thread_conv, got[c, 1].n_common) == (c, c, 0) for c in range(60))
+    assert all((got[c, 0].reply_turn, got[c, 0].thread_conv, got[c, 0].n_common) == (None, c, 1) for c in range(100, 140))
+    assert all((got[c, 1].reply_conv, got[c, 1].thread_conv, got[c, 1].n_common) == (c - 140, c - 140, 0) for c in range(200, 207))
+
+
+def test_a_conversation_that_repeats_a_line_is_cut_into_buckets(spark, monkeypatch):
+    monkeypatch.setattr(quotation, "BUCKET_TURNS", 4)
+    says = {3, 4, 17, 29}
+    rows = [(1, t, "the line" if t in says else "> the line\nagain" if t % 3 else f"other {t}") for t in range(45)]
+    got = {r.turn: r for r in quotation.link(frame(spark, rows).repartition(5)).collect()}
+    for _, t, text in rows:
+        before = [s for s in says if s < t]
+        assert got[t].reply_turn == (max(before) if before and text.startswith(">") else None) and got[t].position == t
+
+
+def test_ranks_of_ties_and_hot_groups(spark):
+    rows = [("hot", 5, i) for i in range(400)] + [("a", i % 7, 1000 + i) for i in range(50)] + [(None, None, 2000 + i) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, t long, row long").repartition(6)
+    got = ranking.sort_ranked(df, ["g"], ["t", "row"], "rank").collect()
+    for g in ("hot", "a", None):
+        assert [r.rank for r in sorted((r for r in got if r.g == g), key=lambda r: (r.t or 0, r.row))] == list(range(sum(x[0] == g for x in rows)))
