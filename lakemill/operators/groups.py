@@ -22,7 +22,10 @@ def latest_per_key(df: DataFrame, keys: list[str], version: list[str]) -> DataFr
 
 
 def sessions(df: DataFrame, key: str, time: str, gap: str, order: list[str] | None = None) -> DataFrame:
-    """Add ``session``, numbered from 0 in each key: a new one begins when more than ``gap`` passed since the row before."""
+    """Add ``session``, numbered from 0 in each key: a new one begins when more than ``gap`` passed since the row before.
+
+    All rows of a key are one task's, which sorts and spills them.
+    """
     along = Window.partitionBy(key).orderBy(time, *(order or []))
     new = (F.col(time) > F.lag(time).over(along) + F.expr(f"interval {gap}")).cast("int")
     return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("session", F.sum("_new").over(along)).drop("_new")

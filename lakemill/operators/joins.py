@@ -10,7 +10,8 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     """Each left row with the last right row of its key at or before its time.
 
     Both sides are put in one window per key, in which the last right row is
-    carried on: one shuffle, no pairs. A left row without a right row before it
+    carried on: one shuffle, no pairs. A key is one task's, so a hot one needs a
+    finer key in ``by``. A left row without a right row before it
     gets nulls; of right rows at one time the one with the greatest values
     counts; null keys match nothing. ``values`` are right columns, named with
     ``prefix`` in the result.
@@ -57,6 +58,7 @@ def salted_join(large: DataFrame, small: DataFrame, on: str, salts: int, how: st
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} can't be salted on the large side")
-    a = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
+    # by place, so that rows equal to each other are spread, too; each salt has all of small
+    a = large.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     b = small.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
     return a.join(b, [on, "_salt"], how).drop("_salt")

@@ -45,9 +45,8 @@ def sessionize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fill_days(spark: SparkSession, folder: str) -> DataFrame:
-    days = table(spark, folder, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    days = days.where(F.dayofmonth("day") % 3 != 0)
-    return groups.fill_days(days, "event_type", "day", "n").select("event_type", "day", "n")
+    days = table(spark, folder, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return groups.fill_days(days, "user_id", "day", "n").select("user_id", "day", "n")
 
 
 def distinct_per_key(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,6 +98,22 @@ def url_hosts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").groupBy(scalars.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
+def page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Regular expressions: tags taken out, white space folded, an address looked for, pieces counted."""
+    text = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[ \\t\\r\\n]+", " "))
+    found = table(spark, folder, "pages").select("page_id", "url", text.alias("text"))
+    return found.select("page_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"), F.col("text").rlike("[A-Za-z0-9._]+@[a-z0-9.]+").alias("has_address"), F.size(F.split("url", "[/.]")).cast("long").alias("pieces"))
+
+
+def date_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Weeks, days of the week (Monday is 1), differences, times of day, parsed and formatted dates."""
+    at = F.col("ts")
+    return table(spark, folder, "events").select(
+        "event_id", F.to_date(F.date_trunc("week", at)).alias("week"), (F.weekday(at) + 1).cast("long").alias("iso_day"), F.dayofyear(at).cast("long").alias("day_of_year"), F.hour(at).cast("long").alias("h"), F.minute(at).cast("long").alias("m"),
+        F.datediff(at, F.lit("2020-02-29").cast("date")).cast("long").alias("days"), F.date_format(at, "yyyy/MM/dd").alias("written"), F.to_date(F.date_format(at, "ddMMyyyy"), "ddMMyyyy").alias("parsed"),
+    )
+
+
 def conversation_shape(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("role", "turn").alias("last_role"), F.sum(F.length("text")).alias("chars"))
     return found.groupBy("turns", "last_role").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
@@ -114,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         as_of, range_join, salted_join, top_per_key, latest_per_key, sessionize, fill_days, distinct_per_key, pivot, unpivot, ordered_names, json_paths, arrays_and_maps, explode_words, text_lengths,
-        array_norms, url_hosts, conversation_shape, sliding_windows,
+        array_norms, url_hosts, conversation_shape, page_text, date_parts, sliding_windows,
     )
 }
 
@@ -132,10 +147,10 @@ ORACLE_SQL = {
         b as (select *, cast(sum(fresh) over (partition by user_id order by ts, event_id) as bigint) as session from a)
         select user_id, session, count(*) as n, min(event_id) as first_id from b group by user_id, session""",
     "fill_days": """
-        with d as (select event_type, cast(ts as date) as day, count(*) as n from events where day(ts) % 3 <> 0 group by 1, 2),
-        s as (select event_type, cast(unnest(generate_series(min(day), max(day), interval 1 day)) as date) as day from d group by event_type)
-        select s.event_type, s.day, last_value(n ignore nulls) over (partition by s.event_type order by s.day rows between unbounded preceding and current row) as n
-        from s left join d on s.event_type = d.event_type and s.day = d.day""",
+        with d as (select user_id, cast(ts as date) as day, count(*) as n from events group by 1, 2),
+        s as (select user_id, cast(unnest(generate_series(min(day), max(day), interval 1 day)) as date) as day from d group by user_id)
+        select s.user_id, s.day, last_value(n ignore nulls) over (partition by s.user_id order by s.day rows between unbounded preceding and current row) as n
+        from s left join d on s.user_id = d.user_id and s.day = d.day""",
     "distinct_per_key": "select event_type, count(distinct user_id) as users from events group by event_type",
     "pivot": """
         select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as n_f, count(*) filter (where o_orderstatus = 'O') as n_o, count(*) filter (where o_orderstatus = 'P') as n_p
@@ -154,6 +169,12 @@ ORACLE_SQL = {
         select conv_id, turn, case when trim(text) = '' then 0 else len(regexp_split_to_array(trim(text), '\s+')) end as tokens, length(text) as chars from conversations""",
     "array_norms": "select vec_id, round(list_inner_product(cast(embedding as double[]), cast(embedding as double[])), 6) as norm from embeddings",
     "url_hosts": "select lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) as host, count(*) as n from pages group by 1",
+    "page_text": r"""
+        with t as (select page_id, url, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as text from pages)
+        select page_id, length(text) as chars, md5(text) as digest, regexp_matches(text, '[A-Za-z0-9._]+@[a-z0-9.]+') as has_address, len(regexp_split_to_array(url, '[/.]')) as pieces from t""",
+    "date_parts": """
+        select event_id, cast(date_trunc('week', ts) as date) as week, isodow(ts) as iso_day, dayofyear(ts) as day_of_year, hour(ts) as h, minute(ts) as m, date_diff('day', date '2020-02-29', cast(ts as date)) as days,
+        strftime(ts, '%Y/%m/%d') as written, cast(ts as date) as parsed from events""",
     "conversation_shape": """
         with c as (select conv_id, count(*) as turns, max_by(role, turn) as last_role, sum(length(text)) as chars from conversations group by conv_id)
         select turns, last_role, count(*) as n, cast(sum(chars) as bigint) as chars from c group by turns, last_role""",

@@ -31,6 +31,7 @@ SQL: dict[str, str] = {
     "join_semi": "select c_custkey, c_name from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey and o_totalprice > 300000)",
     "join_anti": "select o_orderkey from {orders} where not exists (select 1 from {lineitem} where l_orderkey = o_orderkey)",
     "join_not_in": "select p_partkey from {part} where p_partkey not in (select l_partkey from {lineitem} where l_quantity > 45 and l_partkey is not null)",
+    "join_not_in_nulls": "select count(*) as n from {part} where p_partkey not in (select case when l_quantity > 45 then l_partkey end from {lineitem})",
     "join_cross": "select r_name, mkt from {region} cross join (select distinct c_mktsegment as mkt from {customer}) m",
     "join_theta": "select count(*) as n, round(sum(s_acctbal - t.bal), 2) as gap from {supplier} join (select n_nationkey, n_nationkey * 200.0 as bal from {nation}) t on s_acctbal > t.bal and s_nationkey < t.n_nationkey",
     "join_self": "select a.n_name as one, b.n_name as two from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",

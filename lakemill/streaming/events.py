@@ -70,8 +70,11 @@ def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuer
     return query
 
 
-def upsert_to(df: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Write each batch as Parquet into a folder of its own, so that a batch written twice counts once."""
+def batches_to(df: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Write each batch as Parquet into a folder of its own, so that a batch written twice counts once.
+
+    Keys are made unique within a batch; one that comes in two batches is in both folders.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")

@@ -76,3 +76,14 @@ def test_scalars(spark):
     df = spark.createDataFrame([("  two words ", "http://A.b:80/x", [3.0, 4.0]), ("", "", []), (None, None, None)], "t string, u string, a array<float>")
     got = df.select(scalars.tokens(F.col("t")), scalars.host(F.col("u")), scalars.dot(F.col("a"), F.col("a")), scalars.ratio(F.lit(1), F.lit(0))).collect()
     assert [tuple(r) for r in got] == [(2, "a.b", 25.0, None), (0, "", 0.0, None), (0, None, None, None)]
+
+
+def test_salts_part_rows_that_are_equal(spark):
+    large, small = spark.createDataFrame([("hot", 1)] * 40, "k string, v int").coalesce(1), spark.createDataFrame([("hot", 2)], "k string, w int")
+    found = joins.salted_join(large, small, "k", 4)
+    assert found.count() == 40 and "monotonically_increasing_id" in found._jdf.queryExecution().toString()
+
+
+def test_a_join_by_nested_loops_gives_the_same_rows(spark):
+    a, b = spark.range(9).withColumnRenamed("id", "a"), spark.range(4, 12).withColumnRenamed("id", "b")
+    assert rows(a.join(b.hint("shuffle_replicate_nl"), a.a == b.b)) == rows(a.join(b, a.a == b.b)) and a.join(b.hint("shuffle_replicate_nl"), a.a == b.b).count() == 5

@@ -86,7 +86,7 @@ def test_sessions_dedup_join_and_state(spark, data, tmp_path):
 
 
 def test_batches_written_twice_count_once(spark, data, tmp_path):
-    events.upsert_to(events.source(spark, f"{data}/events.parquet"), str(tmp_path / "o"), ["event_id"], str(tmp_path / "c"))
+    events.batches_to(events.source(spark, f"{data}/events.parquet"), str(tmp_path / "o"), ["event_id"], str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1000
 
 
