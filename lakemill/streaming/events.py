@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
+
+from lakemill.operators.groups import latest_per_key
 
 
 def source(spark: SparkSession, path: str, time: str = "ts", files_per_trigger: int | None = None) -> DataFrame:
@@ -70,15 +73,25 @@ def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuer
     return query
 
 
-def batches_to(df: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+def batches_to(df: DataFrame, path: str, keys: list[str], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Write each batch as Parquet into a folder of its own, so that a batch written twice counts once.
 
-    Keys are made unique within a batch; one that comes in two batches is in both folders.
+    Keys are made unique within a batch (without ``keys``, all rows are written); one that comes in two batches is in both
+    folders, of which :func:`merged` takes the later.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (batch.dropDuplicates(keys) if keys else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def merged(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """What :func:`batches_to` wrote, each key with the row of the last batch that has it: an upsert, merged when it is read.
+
+    Rows are combined map-side before they are shuffled. Null keys are keys like others.
+    """
+    found = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
+    return latest_per_key(found, keys, ["batch"]).drop("batch")

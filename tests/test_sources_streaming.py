@@ -90,5 +90,17 @@ def test_batches_written_twice_count_once(spark, data, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1000
 
 
+def test_a_key_that_comes_again_has_its_last_row(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, sql in enumerate(("select 1 as k, 'old' as v union all select 2, 'stays' union all select null, 'x'", "select 1 as k, 'new' as v union all select 3, 'comes' union all select null, 'y'")):
+        spark.sql(sql).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        (f,) = (tmp_path / f"part{i}").glob("*.parquet")
+        os.utime(f.rename(tmp_path / "in" / f"{i}.parquet"), (1e9 + i, 1e9 + i))
+    stream = spark.readStream.schema("k int, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    events.batches_to(stream, str(tmp_path / "o"), ["k"], str(tmp_path / "c"))
+    found = events.merged(spark, str(tmp_path / "o"), stream.schema, ["k"])
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, "new"), (2, "stays"), (3, "comes"), (None, "y")]
+
+
 def test_settings_keep_adaptive_plans():
     assert SETTINGS["spark.sql.adaptive.enabled"] == "true"
