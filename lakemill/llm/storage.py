@@ -1,30 +1,12 @@
-"""Where intermediate tables go: the folder that the cluster shares."""
+"""Intermediate tables, in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from lakemill.sources.scratch import place, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Where it is unset and Spark runs in one process (tests), a temporary folder
-    is made and remembered, and removed at the end; on a cluster it has to be set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="lakemill-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+__all__ = ["cut", "drop", "shared_dir", "tasks"]
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -34,7 +16,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     that uses the table twice computes it once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = place(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
