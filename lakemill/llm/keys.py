@@ -29,8 +29,12 @@ def spare(name: str, taken: list[str]) -> str:
 
 
 def row_key(*columns: Column) -> Column:
-    """128 bits that stand for a row's values, as binary."""
-    halves = (F.lpad(F.hex(F.xxhash64(*columns, *extra)), 16, "0") for extra in ((), (F.lit(1),)))
+    """128 bits that stand for a row's values, as binary.
+
+    A hash goes on from that of the column before, and passes over nulls. So what tells the halves
+    apart comes first, or the second would follow from the first; and which columns are null is hashed, too.
+    """
+    halves = (F.lpad(F.hex(F.xxhash64(F.lit(half), *columns, *(c.isNull() for c in columns))), 16, "0") for half in (0, 1))
     return F.unhex(F.concat(*halves))
 
 
