@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lakemill.llm.arrowtext import mix, runs, slices, whole_runs, word_hashes, words
 from lakemill.llm.graph import components
 from lakemill.llm.keys import bit_map, marked, named, row_key
-from lakemill.llm.storage import cut, tasks
+from lakemill.llm.storage import cut, drop, tasks
 
 #: What one comparison holds of each of two blocks: documents and shingles, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 2000, 1_500_000
@@ -302,19 +302,25 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees:
         F.count("*").alias("size"), F.min("id").alias("class_id"), F.min(F.struct("id", "rkey")).rkey.alias("rkey"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("paths").alias("paths")
     )
     classes = cut(classes, "classes")
+    # paths are the classes' from here on
+    rows_of = cut(profiles.select("id", "rkey", "ckey"), "rows")
+    drop(profiles)
     members = cut(_members(classes, shortest), "members")
     # a node is half of a class's key: of two classes that share it, both are looked at
     placed = members.join(classes.select("node", "ckey", "n", "paths"), "node").drop("node")
     meetings = cut(_dealt(placed, tasks(members)).mapInArrow(_meetings(threshold, depth_of, agree), "ckey binary, bucket long, one long, two long, block long"), "meetings")
-    sets = cut(_sets(rows, classes, meetings, width), "sets")
+    drop(members)
+    sets = _sets(rows, classes, meetings, width)
     compared = cut(_dealt(meetings.join(sets, "ckey"), tasks(meetings)).mapInArrow(_links(threshold, depth_of, agree), "ckey binary, links long, lead binary"), "compared")
+    for done in (meetings, sets):
+        drop(done)
     links = compared.groupBy("ckey").agg(F.sum("links").alias("links"))
     tops = components(compared.where("ckey <> lead"), "ckey", "lead", "ckey", "top")
     groups = classes.select("ckey", "size", "class_id", "rkey").join(links, "ckey", "left").join(tops, "ckey", "left")
     groups = groups.withColumn("top", F.coalesce("top", "ckey"))
     heads = groups.groupBy("top").agg(F.min("class_id").alias("component_id"), F.min(F.struct(F.col("class_id"), F.col("rkey"))).rkey.alias("head"))
     groups = groups.join(heads, "top").select("ckey", "size", "class_id", "links", "component_id", "head")
-    found = profiles.select("id", "rkey", "ckey").join(groups, "ckey", "left")
+    found = rows_of.join(groups, "ckey", "left")
     own = lambda c: F.when(F.col("ckey").isNull(), F.col("id")).otherwise(F.col(c)).alias(c)
     n_links = F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
     return found.select(F.col("id").alias(id_col), own("class_id"), n_links.alias("n_links"), own("component_id"), (F.col("ckey").isNull() | (F.col("rkey") == F.col("head"))).alias("kept"), "rkey")
@@ -351,7 +357,7 @@ def _meetings(threshold: float, depth_of: np.ndarray, agree: int):
 
 
 def _sets(rows: DataFrame, classes: DataFrame, meetings: DataFrame, width: int) -> DataFrame:
-    """The shingles of each class that has met another: (ckey, size, n, paths, shingles)."""
+    """The shingles of each class that has met another, a written table: (ckey, size, n, paths, shingles)."""
     wanted = cut(meetings.select("ckey").distinct().join(classes.select("ckey", "rkey", "size", "n", "paths"), "ckey"), "wanted")
     found = bit_map(wanted.select(F.xxhash64("rkey").alias("h")), wanted.count())
     # texts of other classes stay where they are
@@ -364,7 +370,9 @@ def _sets(rows: DataFrame, classes: DataFrame, meetings: DataFrame, width: int)
                 raw, ends = hashes.tobytes(), 8 * np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([part.column("ckey"), pa.array([raw[e - 8 * n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())], ["ckey", "shingles"])
 
-    return texts.select("ckey", "text").mapInArrow(run, "ckey binary, shingles binary").join(wanted.select("ckey", "size", "n", "paths"), "ckey")
+    sets = cut(texts.select("ckey", "text").mapInArrow(run, "ckey binary, shingles binary").join(wanted.select("ckey", "size", "n", "paths"), "ckey"), "sets")
+    drop(wanted)
+    return sets
 
 
 def _links(threshold: float, depth_of: np.ndarray, agree: int):
