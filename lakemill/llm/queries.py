@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import decontaminate, embedding_dedup, language_id, ngram_join, oracles, packing, quality, quotation, secrets, sharding, url_filter
+from lakemill.llm import decontaminate, embedding_dedup, language_id, ngram_join, oracles, packing, piece_encoding, quality, quotation, secrets, sharding, url_filter
 from lakemill.session import shipped
 
 URL_RULES = [
@@ -61,10 +61,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("rkey")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: shipped(f)
     for f in (
         op1_embedding_dedup, op2_language_id, op3_quotation_linking, op4_quality, op5_secrets, op6_sharding, op7_url_filter, op8_decontamination, op9_packing, op10_ngram_join,
+        op11_sentencepiece,
     )
 }
 #: The others are tested against brute force, exact round trips or held-out accuracy.
