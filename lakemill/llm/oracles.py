@@ -136,3 +136,41 @@ QUOTATIONS = r"""
     select m.conv_id, m.turn, m.role, m.own as text, m.n_quotes, coalesce(n_common, 0) as n_common, uc as reply_conv, ut as reply_turn, coalesce(depth, 0) as depth, coalesce(tc, m.conv_id) as thread_conv,
     row_number() over (partition by coalesce(tc, m.conv_id) order by m.conv_id, m.turn, md5(coalesce(m.own, ''))) - 1 as position
     from m left join top using (conv_id, turn) left join common using (conv_id, turn)"""
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Near words by masks and by skipped code points; roots by recursion.
+SPELLINGS = f"""
+    with recursive {CRC_TABLE},
+    r as (select coalesce(doc_id::varchar, '') as id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} as w from documents),
+    k as (select id, w, count(*) as k from r where length(w) >= 7 group by id, w),
+    h as (select w, k, {_crc32("id || ':' || w")} as h from k, tab),
+    s as (select case when h % 31 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, k from h),
+    v as materialized (select word, sum(k)::bigint as n from s where length(word) >= 7 group by word having sum(k) >= 2),
+    m as materialized (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b from (select word, n, unnest(range(1, length(word) + 1)) as i from v) x),
+    near as (select x.word, y.word as other, y.n from m x join m y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+        union select m.word, v.word, v.n from m join v on v.word = m.a || m.b union select v.word, m.word, m.n from m join v on v.word = m.a || m.b),
+    best as (select word, count(*) as n_near, max(n) as best_n from near group by word),
+    pick as (select near.word, min(near.other) as best from near join best on near.word = best.word and near.n = best.best_n group by near.word),
+    f as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when best_n >= 10 * v.n then best end as form, case when best_n >= 10 * v.n then best_n end as form_n from v left join best using (word) left join pick using (word)),
+    up as (select word, word as root, form as further from f union all select up.word, f.word, f.form from up join f on f.word = up.further)
+    select f.word, f.form, up.root, f.n, f.n_near, f.form_n from f join up on up.word = f.word and up.further is null"""
+
+_GRAMS = "ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) || list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])"
+
+IMPORTANCE = f"""
+    with {CRC_TABLE},
+    w as materialized (select side, doc_id, row_number() over () as rid, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws
+        from (select 's' as side, doc_id, text from documents union all select 't', null, text from benchmark) x),
+    g as materialized (select side, rid, unnest({_GRAMS}) as f from w),
+    c as materialized (select f, {_crc32("f")} % 10000 as b from (select distinct f from g) x, tab),
+    e as materialized (select side, rid, b from g join c using (f)),
+    n as (select count(*) filter (where side = 's')::double as s, count(*) filter (where side = 't')::double as t from e),
+    gain as (select b, floor(1000 * ln((count(*) filter (where side = 't') + 1.0::double) * (any_value(n.s) + 10000) / ((count(*) filter (where side = 's') + 1.0::double) * (any_value(n.t) + 10000))))::bigint as gain from e, n group by b),
+    d as (select rid, count(*) as n_features, sum(gain)::bigint as weight from e join gain using (b) where side = 's' group by rid),
+    h as (select rid, doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+        ('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from w left join d using (rid) where side = 's'),
+    z as (select *, weight + floor(-1000.0::double * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint as score from h),
+    p as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls first, weight, n_features) as place, count(*) filter (where n_words >= 20) over () as able from z)
+    select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * able // 100 then place end as rank from p"""

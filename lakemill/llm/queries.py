@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import decontaminate, embedding_dedup, language_id, ngram_join, oracles, packing, piece_encoding, quality, quotation, secrets, sharding, url_filter
+from lakemill.llm import decontaminate, embedding_dedup, importance, language_id, ngram_join, oracles, packing, piece_encoding, quality, quotation, secrets, sharding, spelling, url_filter
 from lakemill.session import shipped
 
 URL_RULES = [
@@ -65,15 +65,23 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: shipped(f)
     for f in (
         op1_embedding_dedup, op2_language_id, op3_quotation_linking, op4_quality, op5_secrets, op6_sharding, op7_url_filter, op8_decontamination, op9_packing, op10_ngram_join,
-        op11_sentencepiece,
+        op11_sentencepiece, op12_spelling, op13_importance,
     )
 }
 #: The others are tested against brute force, exact round trips or held-out accuracy.
 ORACLE_SQL = {
     "op1_embedding_dedup": oracles.EMBEDDINGS, "op3_quotation_linking": oracles.QUOTATIONS, "op5_secrets": oracles.SECRETS, "op6_sharding": oracles.SHARDS, "op7_url_filter": oracles.urls(URL_RULES),
-    "op8_decontamination": oracles.LEAKS, "op10_ngram_join": oracles.JACCARD,
+    "op8_decontamination": oracles.LEAKS, "op10_ngram_join": oracles.JACCARD, "op12_spelling": oracles.SPELLINGS, "op13_importance": oracles.IMPORTANCE,
 }
