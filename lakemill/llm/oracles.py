@@ -73,7 +73,7 @@ SHARDS = f"""
     a as (select doc_id, source, coalesce(text, '') as text, {_digest("0", "coalesce(doc_id::varchar, '')", "coalesce(length(source) || ':' || source, '')", "coalesce(text, '')")} as key from documents),
     b as (select doc_id, source, octet_length(encode(text)) + 1 as size, {_crc32("text")} as crc, key, row_number() over (partition by key) - 1 as nth from a, tab),
     h as (select *, case when nth > 0 then {_digest("key", "nth")} else key end as hash from b),
-    r as (select *, (row_number() over (partition by source order by hash, doc_id nulls first, crc, size) - 0.5::double) / count(*) over (partition by source) as part, count(*) over () as total from h),
+    r as (select *, (row_number() over (partition by source order by hash, doc_id nulls first, crc, size) - 1 + {_digest("0", "'source'", "coalesce(length(source) || ':' || source, '')")}::double / 1152921504606846976.0::double) / count(*) over (partition by source) as part, count(*) over () as total from h),
     p as (select *, row_number() over (order by part, source nulls first, hash, doc_id nulls first, crc, size) - 1 as place from r)
     select doc_id, size::bigint as size, crc::bigint as text_crc32, 'rows' as law, (place * 16 // total)::int as shard, place - (place * 16 // total * total + 15) // 16 as slot, cast(null as int) as grown_shard from p"""
 

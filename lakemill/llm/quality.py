@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.arrowtext import flat, slices, split
+from lakemill.llm.keys import named
 from lakemill.llm.storage import cut
 
 #: Classes of bytes that are counted; bytes above 127 belong to letters.
@@ -96,21 +97,21 @@ def isotonic(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def held_out(id_col: str) -> Column:
     """Whether a document is never learned from."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, x): the statistics of each text."""
+    """(id, x, held_out): the statistics of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                x = statistics(part.column(text_col))
+            for part in slices(batch, "text"):
+                x = statistics(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(id_col), lists], [id_col, "x"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, part.column("held_out")], ["id", "x", "held_out"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, x array<double>")
+    return docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out")).mapInArrow(run, f"id {kind}, x array<double>, held_out boolean")
 
 
 def matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -134,9 +135,9 @@ def add_up(parts: DataFrame, fan: int = 32) -> np.ndarray | None:
     return np.array(parts.first().v) if rows else None
 
 
-def leave_one_out(z: np.ndarray, y: np.ndarray, weights: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """What a ridge fitted without each row in turn would give that row; ``inverse`` is of the penalised normal matrix."""
-    leverage = np.minimum(0.999, np.einsum("ni,ij,nj->n", z, inverse, z, optimize=True))
+def leave_one_out(z: np.ndarray, y: np.ndarray, w: np.ndarray, weights: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """What a ridge fitted without each row in turn, with all of its weight ``w``, would give that row; ``inverse`` is of the penalised normal matrix."""
+    leverage = np.minimum(0.999, w * np.einsum("ni,ij,nj->n", z, inverse, z, optimize=True))
     return (z @ weights - leverage * y) / (1 - leverage)
 
 
@@ -183,7 +184,7 @@ def learn(train: DataFrame, features: int = 200, scale: float = 3.0, ridge: floa
         for batch in batches:
             if batch.num_rows:
                 z, y, w = model.features(matrix(batch)), batch.column("y").to_numpy(), batch.column("w").to_numpy()
-                b = bin_of(leave_one_out(z, y, model.weights, model.inverse))
+                b = bin_of(leave_one_out(z, y, w, model.weights, model.inverse))
                 both += np.bincount(np.concatenate([b, b + BINS]), np.concatenate([w, w * y]), minlength=2 * BINS)
         if both.any():
             yield pa.RecordBatch.from_arrays([pa.array([both])], ["v"])
@@ -192,112 +193,6 @@ def learn(train: DataFrame, features: int = 200, scale: float = 3.0, ridge: floa
     return model
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return self.calibrated[bin_of(self.features(x) @ self.weights)]
-
-
-def bin_of(raw: np.ndarray) -> np.ndarray:
-    return np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(np.int64), 0, BINS - 1)
-
-
-def isotonic(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """The rising fit to the share of ones in each bin, by pooling adjacent violators.
-
-    Each pool counts one more row of either kind, so that no score is certain;
-    bins without rows get what lies between their neighbours.
-    """
-    pools: list[list[float]] = []
-    used = np.flatnonzero(total)
-    for b in used.tolist():
-        pools.append([ones[b], total[b], 1])
-        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    if not pools:
-        return np.full(len(total), 0.5)
-    fit = np.repeat([(p[0] + 1) / (p[1] + 2) for p in pools], [int(p[2]) for p in pools])
-    return np.interp(np.arange(len(total)), used, np.maximum.accumulate(fit))
-
-
-def held_out(id_col: str) -> Column:
-    """Whether a document is never learned from."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, x): the statistics of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                x = statistics(part.column(text_col))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(id_col), lists], [id_col, "x"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, x array<double>")
-
-
-def matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-
-
-def learn(train: DataFrame, features: int = 200, scale: float = 3.0, ridge: float = 1e-3, seed: int = 11) -> Model | None:
-    """Fit on all rows of ``train`` (``x``, ``y`` from 0 to 1 and the weight ``w``); none if there are none.
-
-    Each partition sums its part of the normal equations, and the parts are
-    added up by key before they reach the driver, which gets one matrix of
-    fixed size. Calibration uses each row's leave-one-out score, which ridge has
-    in closed form, counted in bins by partition in the same way.
-    """
-    size = len(STATISTICS)
-    moments = [f(F.get("x", i)).alias(f"{n}{i}") for i in range(size) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    found = train.agg(F.count("*").alias("n"), *moments).first()
-    if not found.n:
-        return None
-    random = np.random.default_rng(seed)
-    mean, spread = (np.array([found[f"{k}{i}"] for i in range(size)]) for k in "ms")
-    spread = np.where(spread > 1e-9, spread, 1.0)
-    model = Model(mean, spread, random.standard_normal((size, features)) / scale, random.uniform(0, 2 * np.pi, features), np.zeros(0), np.zeros(0), np.zeros(0))
-
-    def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, rows = np.zeros((features + 1, features + 2)), 0
-        for batch in batches:
-            if batch.num_rows:
-                z = model.features(matrix(batch))
-                both += (z * batch.column("w").to_numpy()[:, None]).T @ np.column_stack([z, batch.column("y").to_numpy()])
-                rows += len(z)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(both.size)), pa.array(both.ravel())], ["cell", "value"])
-
-    cells = train.mapInArrow(equations, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
-    both = np.zeros((features + 1) * (features + 2))
-    both[cells["cell"]] = cells["value"]
-    both = both.reshape(features + 1, features + 2)
-    penalty = ridge * found.n * np.eye(features + 1) / features
-    penalty[-1, -1] = 0
-    model.inverse = np.linalg.pinv(both[:, :-1] + penalty, hermitian=True)
-    model.weights = model.inverse @ both[:, -1]
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, ones = np.zeros(BINS), np.zeros(BINS)
-        for batch in batches:
-            if batch.num_rows:
-                z, y, w = model.features(matrix(batch)), batch.column("y").to_numpy(), batch.column("w").to_numpy()
-                leverage = np.minimum(0.999, np.einsum("ni,ij,nj->n", z, model.inverse, z, optimize=True))
-                b = bin_of((z @ model.weights - leverage * y) / (1 - leverage))
-                total += np.bincount(b, w, minlength=BINS)
-                ones += np.bincount(b, w * y, minlength=BINS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used]), pa.array(ones[used])], ["bin", "total", "ones"])
-
-    bins = train.mapInArrow(counts, "bin long, total double, ones double").groupBy("bin").agg(F.sum("total").alias("total"), F.sum("ones").alias("ones")).toPandas()
-    total, ones = np.zeros(BINS), np.zeros(BINS)
-    total[bins["bin"]], ones[bins["bin"]] = bins["total"], bins["ones"]
-    model.calibrated = isotonic(total, ones)
-    return model
-
-
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """How likely each whole text is of label 1.
 
@@ -310,21 +205,24 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: st
     rows and other columns don't matter; without labels every score is 0.5; an
     empty table gives no rows.
 
+    Very long texts are read whole, in one pass, and bring one row of statistics like others; texts of equal
+    statistics are scored alike, and of equal raw scores calibration makes one pool.
+
     Texts are read once, for statistics, which are written down; labels are joined
     with those.
     """
-    profiles = cut(profile(docs, id_col, text_col).withColumn("held_out", held_out(id_col)), "statistics")
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("double").alias("y"))
+    profiles = cut(profile(docs, id_col, text_col), "statistics")
+    known = labels.where(named(label_col).isNotNull() & named(id_col).isNotNull()).select(named(id_col).alias("known_id"), (named(label_col) > 0).cast("double").alias("y"))
     # one row for each id, so that an id with many rows on both sides isn't paired with itself
-    known = known.groupBy("_id").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
-    train = cut(profiles.where("not held_out").join(known, F.col(id_col) == F.col("_id")).select("x", "y", "w"), "train")
+    known = known.groupBy("known_id").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
+    train = cut(profiles.where("not held_out").join(known, F.col("id") == F.col("known_id")).select("x", "y", "w"), "train")
     model = learn(train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 s = model.score(matrix(batch)) if model is not None else np.full(batch.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return profiles.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return profiles.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

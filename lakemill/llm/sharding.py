@@ -16,9 +16,10 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_i
     """Deal all rows into ``shards`` shards, each with the mixture of sources, counts at most one apart.
 
     Rows are shuffled by a seeded hash and ranked within their source; sorted by
-    fractional rank, (rank + 1/2) / rows of the source, all sources advance at
+    fractional rank, (rank + phase) / rows of the source, all sources advance at
     their own rates, so each run of rows has the mixture of the whole, and the
-    sorted rows are cut into equal runs. The law is ``rows``: texts equal to
+    sorted rows are cut into equal runs. The phase, in [0, 1), is drawn by seed and source, so that the rows of many
+    small sources are spread over all shards, too. The law is ``rows``: texts equal to
     each other are dealt out like others.
 
     Returns ``id_col``, ``size`` (bytes of the text and 1), ``text_crc32``,
@@ -36,7 +37,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_i
     """
     text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     # null isn't the empty string, and no two rows that differ are numbered together
-    origin = F.coalesce(F.concat(F.length(named(source_col).cast("string")).cast("string"), F.lit(":"), named(source_col).cast("string")), F.lit(""))
+    marked = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit(""))
+    origin = marked(named(source_col))
     digest = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
     base = docs.select(
         named(id_col).alias("id"), named(source_col).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -55,7 +57,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_i
     order = [F.col(c) for c in ("hash", "id", "text_crc32", "size")]
     first = ranked(base, ["source"], interval, order, "rank")
     totals = base.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("total"))
-    parts = first.join(totals, F.col("source").eqNullSafe(F.col("s"))).withColumn("part", (F.col("rank") + 0.5) / F.col("total"))
+    phase = digest(F.lit(seed), F.lit("source"), marked(F.col("source"))).cast("double") / 2.0**60
+    parts = first.join(totals, F.col("source").eqNullSafe(F.col("s"))).withColumn("part", (F.col("rank") + phase) / F.col("total"))
     parts = parts.select("id", "size", "text_crc32", "hash", "source", "part", F.lit(0).alias("all"))
     placed = ranked(parts, ["all"], F.floor(F.col("part") * buckets), [F.col("part"), F.col("source"), *order], "place")
     dealt = placed.withColumn("shard", F.expr(f"place * {shards}L div {rows}L"))

@@ -158,6 +158,13 @@ def test_shards_hold_the_mixture(spark):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
 
 
+def test_shards_hold_the_mixture_of_many_small_sources(spark):
+    df = docs(spark, ["x"] * 1600, source=["hot"] * 800 + [f"host{i}" for i in range(800)]).repartition(3)
+    small = Counter(r.shard for r in sharding.shard(df).collect() if r.doc_id >= 800)
+    # each shard has 100 rows; by chance alone 50 of them, 5 more or less, come from small sources
+    assert all(35 <= small[s] <= 65 for s in range(16)) and sum((small[s] - 50) ** 2 for s in range(16)) / 16 < 50
+
+
 def test_shards_of_few_repeated_and_no_rows(spark):
     df = docs(spark, ["a"] * 5, doc_id=[1, 1, 1, None, None])
     got = sharding.shard(df).collect()
