@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions import udfs
+from lakemill.operators import groups
 from lakemill.session import shipped
 from lakemill.sources.tables import table
 
@@ -58,11 +59,27 @@ def pandas_aggregate(spark: SparkSession, folder: str) -> DataFrame:
 
 def table_function(spark: SparkSession, folder: str) -> DataFrame:
     spark.udtf.register("words_of", udfs.Words)
-    sql = "select word, count(*) as n, min(position) as first_place from {part}, lateral words_of(p_name) group by word"
+    sql = "select word, count(*) as n, min(position) as first_place from words_of(table(select p_name from {part})) group by word"
     return spark.sql(sql, part=table(spark, folder, "part"))
 
 
 def grouped_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order line's share of its order."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    return udfs.shares_within(rows, "l_orderkey", "l_extendedprice", "share").withColumn("share", F.round("share", 6))
+
+
+def scalar_pandas(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select("p_partkey", udfs.initials("p_name").alias("initials"))
+
+
+def iterator_pandas(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts in each price band."""
+    band = udfs.banded(150.0, 12)
+    return table(spark, folder, "part").groupBy(band("p_retailprice").alias("band")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
+
+
+def difference_from_mean(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     return udfs.demeaned(rows, "s_nationkey", "s_acctbal").select("s_suppkey", F.round("s_acctbal", 4).alias("diff"))
 
@@ -73,21 +90,23 @@ def partition_map(spark: SparkSession, folder: str) -> DataFrame:
 
 def transpose(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "region").select("r_name", F.length("r_name").cast("long").alias("len"), F.col("r_regionkey").cast("long").alias("r_regionkey"))
-    return found.transpose("r_name")
+    return groups.transposed(found, "r_name")
 
 
 def join_hints(spark: SparkSession, folder: str) -> DataFrame:
     """One join of whole tables by each strategy that scales: all give the same rows."""
-    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
+    orders, customers, nations = table(spark, folder, "orders"), table(spark, folder, "customer"), table(spark, folder, "nation")
+    # what is sent to all tasks, or held in a hash map, has a row for each nation, however large the tables are
+    sides = {"broadcast": (customers, nations, F.col("c_nationkey") == F.col("n_nationkey")), "shuffle_hash": (customers, nations, F.col("c_nationkey") == F.col("n_nationkey")), "merge": (orders, customers, F.col("o_custkey") == F.col("c_custkey"))}
     out = None
-    for hint in ("broadcast", "merge", "shuffle_hash"):
-        one = orders.join(customers.hint(hint), F.col("o_custkey") == F.col("c_custkey")).agg(F.count("*").alias("n")).withColumn("strategy", F.lit(hint))
+    for hint, (left, right, on) in sides.items():
+        one = left.join(right.hint(hint), on).agg(F.count("*").alias("n")).withColumn("strategy", F.lit(hint))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 QUERIES = {f.__name__: f for f in (percentiles, approximate, sketch_union, maps, variants, structs, transpose, join_hints)}
-QUERIES |= {f.__name__: shipped(f) for f in (arrow_function, pandas_aggregate, table_function, grouped_map, partition_map)}
+QUERIES |= {f.__name__: shipped(f) for f in (arrow_function, pandas_aggregate, table_function, grouped_map, partition_map, scalar_pandas, iterator_pandas, difference_from_mean)}
 
 ORACLE_SQL = {
     "percentiles": """
@@ -105,7 +124,10 @@ ORACLE_SQL = {
         select c_mktsegment, round(avg(c_acctbal), 4) as mean from r where i >= n // 10 and i < n - n // 10 group by c_mktsegment""",
     "table_function": """
         select word, count(*) as n, cast(min(i) as int) as first_place from (select unnest(w) as word, unnest(range(len(w))) as i from (select string_split(p_name, ' ') as w from part) a) t group by word""",
-    "grouped_map": "select s_suppkey, round(s_acctbal - avg(s_acctbal) over (partition by s_nationkey), 4) as diff from supplier",
+    "grouped_map": "select l_orderkey, l_partkey, l_extendedprice, round(l_extendedprice / sum(l_extendedprice) over (partition by l_orderkey), 6) as share from lineitem",
+    "scalar_pandas": "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '') as initials from part",
+    "iterator_pandas": "select cast(least(floor(p_retailprice / 150), 11) as bigint) as band, count(*) as n, min(p_partkey) as first_key from part group by 1",
+    "difference_from_mean": "select s_suppkey, round(s_acctbal - avg(s_acctbal) over (partition by s_nationkey), 4) as diff from supplier",
     "partition_map": "select l_linenumber, count(*) as n from lineitem group by l_linenumber",
     "transpose": """
         select 'len' as key, max(length(r_name)) filter (where r_name = 'AFRICA') as "AFRICA", max(length(r_name)) filter (where r_name = 'AMERICA') as "AMERICA", max(length(r_name)) filter (where r_name = 'ASIA') as "ASIA",
@@ -113,6 +135,6 @@ ORACLE_SQL = {
         select 'r_regionkey', max(cast(r_regionkey as bigint)) filter (where r_name = 'AFRICA'), max(r_regionkey) filter (where r_name = 'AMERICA'), max(r_regionkey) filter (where r_name = 'ASIA'),
         max(r_regionkey) filter (where r_name = 'EUROPE'), max(r_regionkey) filter (where r_name = 'MIDDLE EAST') from region""",
     "join_hints": """
-        with t as (select count(*) as n from orders join customer on o_custkey = c_custkey)
-        select n, unnest(['broadcast', 'merge', 'shuffle_hash']) as strategy from t""",
+        select count(*) as n, 'merge' as strategy from orders join customer on o_custkey = c_custkey
+        union all select count(*), unnest(['broadcast', 'shuffle_hash']) from customer join nation on c_nationkey = n_nationkey""",
 }

@@ -30,8 +30,6 @@ SQL: dict[str, str] = {
         full outer join (select s_nationkey, count(*) as ns from {supplier} where s_acctbal > 8000 group by s_nationkey) s on c_nationkey = s_nationkey""",
     "join_semi": "select c_custkey, c_name from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey and o_totalprice > 300000)",
     "join_anti": "select o_orderkey from {orders} where not exists (select 1 from {lineitem} where l_orderkey = o_orderkey)",
-    "join_not_in": "select p_partkey from {part} where p_partkey not in (select l_partkey from {lineitem} where l_quantity > 45 and l_partkey is not null)",
-    "join_not_in_nulls": "select count(*) as n from {part} where p_partkey not in (select case when l_quantity > 45 then l_partkey end from {lineitem})",
     "join_cross": "select r_name, mkt from {region} cross join (select distinct c_mktsegment as mkt from {customer}) m",
     "join_theta": "select count(*) as n, round(sum(s_acctbal - t.bal), 2) as gap from {supplier} join (select n_nationkey, n_nationkey * 200.0 as bal from {nation}) t on s_acctbal > t.bal and s_nationkey < t.n_nationkey",
     "join_self": "select a.n_name as one, b.n_name as two from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
@@ -45,7 +43,9 @@ SQL: dict[str, str] = {
         with per_cust as (select o_custkey, count(*) as n, sum(o_totalprice) as total from {orders} group by o_custkey),
         ranked as (select *, rank() over (order by total desc, o_custkey) as r from per_cust) select o_custkey, n, round(total, 2) as total, cast(r as bigint) as r from ranked where r <= 20""",
     "cte_recursive": """
-        with recursive t(n, f) as (select 1, cast(1 as bigint) union all select n + 1, f * (n + 1) from t where n < 12) select n, f from t""",
+        with recursive s as (select l_linenumber as k, count(*) as n from {lineitem} group by l_linenumber),
+        t(k, n, total) as (select k, n, n from s where k = 1 union all select s.k, s.n, t.total + s.n from s join t on s.k = t.k + 1)
+        select k, n, total from t""",
     "agg_having": "select o_custkey, count(*) as n, round(max(o_totalprice), 2) as top from {orders} group by o_custkey having count(*) > 12",
     "agg_distinct": "select l_returnflag, count(distinct l_partkey) as parts, count(distinct l_suppkey) as supps, round(sum(distinct l_tax), 4) as taxes from {lineitem} group by l_returnflag",
     "agg_filter": """

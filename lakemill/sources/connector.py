@@ -1,4 +1,4 @@
-"""A connector of our own: a table of numbers, read in parallel, as batch or stream."""
+"""A connector of our own that needs no files: a table of numbers, made in parallel by a batch reader."""
 
 from __future__ import annotations
 

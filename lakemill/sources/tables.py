@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Formats with a schema of their own; the others are read with one that is given, so no pass infers it.
@@ -17,12 +19,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def views(spark: SparkSession, folder: str, names: Iterable[str]) -> None:
-    """Make tables of a folder known to SQL."""
-    for name in names:
-        table(spark, folder, name).createOrReplaceTempView(name)
-
-
 def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None, **options: str) -> DataFrame:
     """Read files; formats that don't describe themselves need a schema, but for text."""
     if fmt not in FORMATS:
@@ -44,3 +40,16 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Iterable
     keys = list(partition_by)
     rows = df.hint("rebalance", *keys) if keys else df
     rows.write.format(fmt).options(**options).mode(mode).partitionBy(*keys).save(path)
+
+
+def binary(spark: SparkSession, path: str, pattern: str = "*", least_bytes: int = 0, most_bytes: int | None = None, since: datetime.datetime | None = None) -> DataFrame:
+    """Files as rows: ``path``, ``modificationTime``, ``length``, ``content``, and what folders are named by.
+
+    Files are chosen by name (``pattern``), length and time (changed at ``since`` or later) from
+    their listing; the content of others is never read.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(path)
+    found = found.where(F.col("length") >= least_bytes)
+    if most_bytes is not None:
+        found = found.where(F.col("length") <= most_bytes)
+    return found.where(F.col("modificationTime") >= F.lit(since)) if since is not None else found

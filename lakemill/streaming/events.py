@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -66,6 +70,49 @@ def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double", "n long, total double", "update", "NoTimeout")
 
 
+class Dropped(StreamingQueryListener):
+    """Counts, for each run of a stream, the rows that came behind the watermark and were dropped."""
+
+    def __init__(self):
+        self.rows: Counter[str] = Counter()
+        self.ended: set[str] = set()
+        self.news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self.news:
+            self.rows[str(event.progress.runId)] += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.news:
+            self.ended.add(str(event.runId))
+            self.news.notify_all()
+
+    def of(self, query: StreamingQuery, seconds: float = 60) -> int:
+        """What the run of ``query``, which has ended, dropped; waits until its last news have come."""
+        run = str(query.runId)
+        with self.news:
+            if not self.news.wait_for(lambda: run in self.ended, seconds):
+                raise TimeoutError(f"no end of run {run} in {seconds} seconds")
+            return self.rows[run]
+
+
+@contextlib.contextmanager
+def dropped_rows(spark: SparkSession) -> Iterator[Dropped]:
+    """A counter of late rows while streams run."""
+    counter = Dropped()
+    spark.streams.addListener(counter)
+    try:
+        yield counter
+    finally:
+        spark.streams.removeListener(counter)
+
+
 def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
     """Run all that is there into the in-memory table ``name``, and end."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
