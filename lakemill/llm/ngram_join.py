@@ -20,6 +20,8 @@ from lakemill.llm.storage import cut, drop, tasks
 BLOCK_DOCS, BLOCK_SHINGLES = 2000, 1_500_000
 #: Sizes of sets for which prefixes are worked out one by one.
 SIZES = 64
+#: Row keys that a task remembers, to send a repeated row once.
+REMEMBERED = 200_000
 #: Pairs that are looked at together, and 64-bit words of their bit sets.
 PAIRS, WORDS = 4096, 512
 #: Probability with which the signatures of two sets at the threshold agree so seldom that the pair isn't verified.
@@ -179,10 +181,11 @@ def pairs_of(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def met(rows: pa.RecordBatch, threshold: float, depth_of: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one run that are to be verified, each in the first tree in which it meets.
+    """Pairs of rows that are to be verified, each in the first tree in which it meets.
 
-    Two classes meet in a tree where their paths share the prefix that the
-    longer of their two depths asks for. Pairs whose sizes or signatures rule the
+    Rows come in the order of their paths. For each depth, the longest first, the paths are walked: those with a
+    common prefix of that many values follow each other, and two classes meet
+    there if the longer of their two depths is this one. Pairs whose sizes or signatures rule the
     threshold out are left out.
     """
     paths = rows.column("paths").flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
@@ -190,26 +193,29 @@ def met(rows: pa.RecordBatch, threshold: float, depth_of: np.ndarray, agree: int
     tree = (rows.column("bucket").to_numpy() & 255).astype(np.int64)
     depth = depth_of[np.minimum(n, len(depth_of) - 1)]
     between = rows.column("one").to_numpy() != rows.column("two").to_numpy()
-    new = np.ones(len(rows), dtype=bool)
     keys = [rows.column(c).to_numpy() for c in ("bucket", "one", "two")]
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    for one, two in pairs_of(np.diff([*np.flatnonzero(new), len(rows)])):
-        fits = np.minimum(n[one], n[two]) >= threshold * np.maximum(n[one], n[two]) - 1e-9
-        fits &= ~between[one] | (block[one] != block[two])
-        shift = (64 - 8 * np.maximum(depth[one], depth[two])).astype(np.uint64)
-        # most pairs of a large group meet in the first trees
-        for t in range(2):
-            later = tree[one] > t
-            fits &= ~later | ((paths[one, t] ^ paths[two, t]) >> shift != 0) if paths.shape[1] > t else True
-        one, two, shift = one[fits], two[fits], shift[fits]
-        for a in range(0, len(one), PAIRS):
-            i, j = one[a : a + PAIRS], two[a : a + PAIRS]
-            apart = paths[i] ^ paths[j]
-            same = (apart.view(np.uint8) == 0).sum(axis=1) >= agree
-            meets = apart >> shift[a : a + PAIRS, None] == 0
-            here = same & meets.any(axis=1) & (meets.argmax(axis=1) == tree[i])
-            if here.any():
-                yield i[here], j[here]
+    walked = paths[np.arange(len(rows)), tree]
+    for level in sorted(set(depth.tolist()), reverse=True):
+        shift = np.uint64(64 - 8 * level)
+        able = np.flatnonzero(depth <= level)
+        parts = np.ones(len(able), dtype=bool)
+        parts[1:] = np.any([k[able][1:] != k[able][:-1] for k in (*keys, walked >> shift)], axis=0)
+        for i, j in pairs_of(np.diff([*np.flatnonzero(parts), len(able)])):
+            one, two = able[i], able[j]
+            fits = np.minimum(n[one], n[two]) >= threshold * np.maximum(n[one], n[two]) - 1e-9
+            fits &= (np.maximum(depth[one], depth[two]) == level) & (~between[one] | (block[one] != block[two]))
+            # most pairs of a large group meet in the first trees
+            for t in range(min(2, paths.shape[1])):
+                fits &= (tree[one] <= t) | ((paths[one, t] ^ paths[two, t]) >> shift != 0)
+            one, two = one[fits], two[fits]
+            for a in range(0, len(one), PAIRS):
+                i, j = one[a : a + PAIRS], two[a : a + PAIRS]
+                apart = paths[i] ^ paths[j]
+                same = (apart.view(np.uint8) == 0).sum(axis=1) >= agree
+                # that they meet here is known; not so whether it's the first time
+                here = same & ((apart >> shift == 0).argmax(axis=1) == tree[i])
+                if here.any():
+                    yield i[here], j[here]
 
 
 def bit_sets(hashes: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
@@ -361,16 +367,22 @@ def _sets(rows: DataFrame, classes: DataFrame, meetings: DataFrame, width: int)
     wanted = cut(meetings.select("ckey").distinct().join(classes.select("ckey", "rkey", "size", "n", "paths"), "ckey"), "wanted")
     found = bit_map(wanted.select(F.xxhash64("rkey").alias("h")), wanted.count())
     # texts of other classes stay where they are
-    texts = rows.where(marked(found, F.xxhash64("rkey"))).select("rkey", "text").join(wanted.select("rkey", "ckey"), "rkey").dropDuplicates(["ckey"])
+    texts = rows.where(marked(found, F.xxhash64("rkey"))).select("rkey", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of a repeated row a task sends one, as long as it remembers it
+        seen: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            fresh = [i for i, k in enumerate(batch.column("rkey").to_pylist()) if not (k in seen or seen.add(k))]
+            for part in slices(batch.take(pa.array(fresh, pa.int64())), "text"):
                 hashes, counts = shingle_sets(part.column("text"), width)
                 raw, ends = hashes.tobytes(), 8 * np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays([part.column("ckey"), pa.array([raw[e - 8 * n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())], ["ckey", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("rkey"), pa.array([raw[e - 8 * n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())], ["rkey", "shingles"])
+            if len(seen) > REMEMBERED:
+                seen.clear()
 
-    sets = cut(texts.select("ckey", "text").mapInArrow(run, "ckey binary, shingles binary").join(wanted.select("ckey", "size", "n", "paths"), "ckey"), "sets")
+    sent = texts.mapInArrow(run, "rkey binary, shingles binary")
+    sets = cut(sent.join(wanted, "rkey").drop("rkey").dropDuplicates(["ckey"]), "sets")
     drop(wanted)
     return sets
 

@@ -115,13 +115,15 @@ QUOTATIONS = r"""
         select conv_id, turn, i, line, case when regexp_matches(line, '^[ \t]*>') then len(regexp_extract(line, '^(?:[ \t]*>)+')) - len(replace(regexp_extract(line, '^(?:[ \t]*>)+'), '>', '')) else 0 end as level
         from (select conv_id, turn, unnest(w) as line, unnest(range(len(w))) as i from (select conv_id, turn, string_split(text, chr(10)) as w from conversations where text is not null) a) b),
     marked as (select *, lead(level, 1, 0) over p as after, coalesce(lag(level) over p, 0) as before from line window p as (partition by conv_id, turn order by i)),
-    kept as (select *, level = 0 and not (after > 0 and regexp_matches(line, '(?i)^\s*(on|am|le|el)\b.*\b(wrote|schrieb|a écrit|escribió)\b[^\n]{0,80}:\s*$')) as own,
+    kept as (select *, level = 0 and not (after > 0 and regexp_matches(line, '(?i)^\s*(on|am|le|el)\b.*\b(wrote|schrieb|a écrit|escribió)\b[^\n]*:\s*$')) as own,
         cast(sum(case when level > 0 and level <> before then 1 else 0 end) over (partition by conv_id, turn order by i) as bigint) as place from marked),
     m as (select c.conv_id, c.turn, c.role, case when c.text is null or max(k.level) = 0 then c.text else coalesce(trim(string_agg(k.line, chr(10) order by k.i) filter (where k.own), E' \t\n\r\x0b\x0c'), '') end as own,
         coalesce(max(k.place), 0) as n_quotes from conversations c left join kept k using (conv_id, turn) group by c.conv_id, c.turn, c.role, c.text),
     part as (select conv_id, turn, unnest([own] || regexp_split_to_array(own, '\n[ \t]*\n') || string_split(own, chr(10))) as p from m where own is not null),
-    body as (select conv_id, turn, level, place, 0 as part, string_agg(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', ''), chr(10) order by i) as p from kept where level > 0 group by conv_id, turn, level, place
-        union all select conv_id, turn, level, place, 1, regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') from kept where level > 0),
+    passage as (select conv_id, turn, level, place, string_agg(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', ''), chr(10) order by i) as p, count(*) as n from kept where level > 0 group by conv_id, turn, level, place),
+    body as (select conv_id, turn, level, place, 0 as part, p from passage
+        union all select conv_id, turn, level, place, 1, q from (select *, unnest(regexp_split_to_array(p, '\n[ \t]*\n')) as q from passage) x where q <> p and contains(trim(q, E' \t\n\r\x0b\x0c'), chr(10))
+        union all select conv_id, turn, level, place, 2, unnest(string_split(p, chr(10))) from passage where n > 1),
     said as (select distinct conv_id, turn, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) as key from part),
     quote as (select conv_id, turn, level, place, part, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) as key from body),
     found as (select q.conv_id, q.turn, q.level, q.part, q.place,

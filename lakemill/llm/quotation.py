@@ -16,7 +16,7 @@ from lakemill.llm.storage import cut, drop
 
 #: The mark of a quoted line, one for each level, and a line that introduces a quote.
 QUOTED = re.compile(r"(?:[ \t]*>)+[ \t]?")
-INTRODUCES = re.compile(r"\s*(?:on|am|le|el)\b.*\b(?:wrote|schrieb|a écrit|escribió)\b[^\n]{0,80}:\s*$", re.IGNORECASE)
+INTRODUCES = re.compile(r"\s*(?:on|am|le|el)\b.*\b(?:wrote|schrieb|a écrit|escribió)\b", re.IGNORECASE)
 BETWEEN_PARAGRAPHS = re.compile(r"\n[ \t]*\n")
 BETWEEN_WORDS = re.compile(r"[\W_]+")
 #: Turns of a conversation that a window runs over.
@@ -47,7 +47,8 @@ def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
         if not level:
             own.append(line)
         else:
-            if not before and own and INTRODUCES.match(own[-1]):
+            # up to a colon at its end, however far that is
+            if not before and own and own[-1].rstrip().endswith(":") and INTRODUCES.match(own[-1]):
                 own.pop()
             if level != before:
                 passages.append((level, []))

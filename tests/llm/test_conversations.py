@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from lakemill.llm import quotation, ranking
@@ -18,6 +19,7 @@ def test_parse_levels_and_introductions():
     own, passages = quotation.parse("Hi\nOn Monday A. wrote:\n> one\n> two\n> > deep\n>> deeper\n>\n> back\nAnswer\n\nEnd")
     assert own == "Hi\nAnswer\n\nEnd"
     assert passages == [(1, ["one", "two"]), (2, ["deep", "deeper"]), (1, ["", "back"])]
+    assert quotation.parse(f"Hi\nOn Monday A. wrote {'and wrote ' * 30}: \n> one")[0] == "Hi" and quotation.parse("Hi\nOn Monday A. wrote\n> one")[0] == "Hi\nOn Monday A. wrote"
     assert quotation.parse("a > b\n  c ") == ("a > b\n  c ", []) and quotation.parse("") == ("", [])
 
 
@@ -29,14 +31,16 @@ def brute(rows):
     for n, (_, passages) in parsed.items():
         found = []
         for place, (level, lines) in enumerate(passages):
-            for part, p in enumerate(["\n".join(lines), *(lines if len(lines) > 1 else [])]):
+            whole = "\n".join(lines)
+            paragraphs = [p for p in re.split(r"\n[ \t]*\n", whole) if p != whole and "\n" in p.strip()]
+            for part, p in [(0, whole), *((1, p) for p in paragraphs), *((2, p) for p in lines if len(lines) > 1)]:
                 key = quotation.key_of(p)
                 near = [m for m in says if key in says[m] and m[0] == n[0] and m[1] < n[1]] if key else []
                 first = min((m for m in says if key in says[m]), default=None) if key else None
                 alone = len({m[0] for m in says if key in says[m]}) == 1
                 source = max(near) if near else first if first and first[0] < n[0] and alone else None
                 if source:
-                    found.append((level, min(part, 1), place, source))
+                    found.append((level, part, place, source))
         if found:
             up[n] = min(found)[3]
     out = {}
@@ -48,9 +52,28 @@ def brute(rows):
     return out
 
 
+def wrapped(text, width):
+    """Each paragraph of a text quoted in lines of ``width`` words."""
+    paragraphs = [p.replace("\n", " ").split(" ") for p in text.split("\n\n")]
+    return "\n>\n".join("\n".join("> " + " ".join(w[i : i + width]) for i in range(0, len(w), width)) for w in paragraphs)
+
+
 def threads():
     r = random.Random(8)
     rows = []
+    for c in range(20, 32):
+        # paragraphs that are quoted in part, in lines of another width, under long introductions
+        said = []
+        for t in range(r.randrange(4, 14)):
+            own = [f"paragraph {i} of {c} {t} " + " ".join(f"w{r.randrange(9)}" for _ in range(r.randrange(5, 14))) for i in range(r.randrange(1, 4))] + r.choice([[], ["with all\nmy thanks"]])
+            text = "\n\n".join(own)
+            if said:
+                old = r.choice(said)
+                some = "\n\n".join(p for p in old.split("\n\n") if r.random() < 0.8) or old
+                lead = r.choice(["", f"On Monday {'x' * 90} wrote {'to us all ' * 9}:\n", "On Monday you wrote\n"])
+                text = f"{lead}{wrapped(some, r.randrange(3, 8))}\n{r.choice(['', '> with all> my thanks'])}\n{text}"
+            rows.append((c, t, text))
+            said.append("\n\n".join(own))
     for c in range(12):
         said = []
         for t in range(r.randrange(1, 25)):
@@ -78,7 +101,7 @@ def test_links_equal_brute_force(spark):
         if r.reply_turn is not None:
             above, own = place[r.reply_conv, r.reply_turn], place[r.conv_id, r.turn]
             assert above[0] == own[0] and above[1] < own[1]
-        assert ">" not in r.text
+        assert not re.search(r"^[ \t]*>", r.text, re.MULTILINE)
     for thread in {r.thread_conv for r in got}:
         assert sorted(r.position for r in got if r.thread_conv == thread) == list(range(sum(r.thread_conv == thread for r in got)))
 

@@ -114,6 +114,42 @@ def test_pairs_that_share_no_prefix_are_not_compared(spark, monkeypatch, tmp_pat
     assert all((got[i].n_links, got[i].component_id) == (sum(i in link for link in links), 0) for i in range(50))
 
 
+def test_candidates_come_from_walking_paths_in_order():
+    """All pairs that share a prefix as long as the longer of their depths, and no others; out of order they'd be lost."""
+    r = np.random.default_rng(4)
+    n = 300
+    size = r.choice([6, 7, 8, 90], n)
+    # few values, so that prefixes of all lengths are shared
+    paths = r.integers(0, 2, (n, 3, 8), dtype=np.uint8).astype(np.uint64)
+    paths[:, 0, :6] = r.integers(0, 2, (1, 6))
+    path = (paths << np.arange(56, -1, -8, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    depth_of = ngram_join.depths(32, 8, 0.8, 0.9999)
+
+    def batch(order):
+        column = {"ckey": [bytes([i >> 8, i & 255]) for i in order], "bucket": [int(path[0, 0] >> np.uint64(16) << np.uint64(16)) & (1 << 63) - 1] * n, "one": [0] * n, "two": [0] * n, "block": [0] * n, "n": size[order].tolist()}
+        return pa.RecordBatch.from_pydict({**column, "paths": path[order].view(np.int64).tolist()})
+
+    def pairs(order):
+        return {frozenset((int(order[i]), int(order[j]))) for one, two in ngram_join.met(batch(order), 0.0, depth_of, 0) for i, j in zip(one.tolist(), two.tolist(), strict=True)}
+
+    depth = depth_of[np.minimum(size, len(depth_of) - 1)]
+    want = {frozenset((i, j)) for i in range(n) for j in range(i) if (path[i, 0] ^ path[j, 0]) >> np.uint64(64 - 8 * int(max(depth[i], depth[j]))) == 0}
+    ordered = np.argsort(path[:, 0].view(np.int64), kind="stable")
+    assert pairs(ordered) == want and set(depth.tolist()) == {6, 7, 8} and 0 < len(want) < n * (n - 1) / 2
+    assert pairs(r.permutation(n)) < want
+
+
+def test_a_repeated_row_sends_its_text_once(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(ngram_join, "cut", lambda df, label, real=ngram_join.cut: sent.append((label, df)) or real(df, label))
+    base = words(1, 60)
+    df = docs(spark, [" ".join(base)] * 50 + [" ".join([*base[:-1], "other"])] * 50, doc_id=[1] * 50 + [2] * 50).coalesce(2)
+    assert {r.component_id for r in ngram_join.jaccard_join(df).collect()} == {1}
+    plan = next(df for label, df in sent if label == "sets")._jdf.queryExecution().toString()
+    # shingles are what is joined, and they are made before
+    assert plan.index("Join") < plan.index("MapInArrow")
+
+
 def test_shingle_sets_equal_python_sets():
     texts = texts_with_copies()
     hashes, counts = ngram_join.shingle_sets(pa.array(texts), 5)
