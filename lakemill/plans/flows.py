@@ -12,7 +12,7 @@ from lakemill.session import shipped
 from lakemill.sources import connector, ledger, scratch, tables
 from lakemill.sources.scratch import place
 from lakemill.streaming import events as stream
-from lakemill.streaming import state
+from lakemill.streaming import state, upserts
 
 
 def file_formats(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,6 +140,15 @@ def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
         return _streamed(state.first_seen(_events(spark, folder), ["user_id", "event_type"], "ts", datetime.timedelta(days=1)), ["event_id"]).select("user_id", "event_type", "event_id")
 
 
+def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """The last totals of each user, written batch by batch and merged level by level; few folders are read."""
+    path = place(spark, "upserts")
+    tables.table(spark, folder, "events").repartition(10, "event_id").write.parquet(f"{path}/in")
+    totals = stream.running_totals(stream.source(spark, f"{path}/in", files_per_trigger=1), "user_id", "value")
+    upserts.upsert_to(totals, f"{path}/rows", ["user_id"], f"{path}/progress", "update", every=3)
+    return upserts.upserted(spark, f"{path}/rows", totals.schema, ["user_id"], every=3).select("user_id", "n", F.round("total", 4).alias("total"))
+
+
 #: Rounds in which events arrive, and rounds by which each tenth event is late.
 ROUNDS, ROUNDS_LATE = 6, 2
 
@@ -169,7 +178,7 @@ def stream_late(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (file_formats, text_lines, partitioned_files, binary_files, stream_windows, stream_sessions, stream_distinct, stream_join, stream_sliding, stream_late)}
-QUERIES |= {f.__name__: shipped(f) for f in (connected, ledger_commits, stream_totals, stream_timed_sessions, stream_first_seen)}
+QUERIES |= {f.__name__: shipped(f) for f in (connected, ledger_commits, stream_totals, stream_upsert, stream_timed_sessions, stream_first_seen)}
 
 ORACLE_SQL = {
     "file_formats": """
@@ -204,5 +213,6 @@ ORACLE_SQL = {
         r as (select unnest(range({ROUNDS + ROUNDS_LATE}))::int as round),
         w as (select r.round, max(ts) - interval 1 day as mark from r left join e on e.round < r.round group by r.round)
         select w.round, count(*) filter (where mark is null or ts > mark) as kept, sum(event_id) filter (where mark is null or ts > mark)::bigint as ids, count(*) filter (where ts <= mark) as dropped from w left join e using (round) group by w.round""",
+    "stream_upsert": "select user_id, count(*) as n, round(sum(value), 4) as total from events group by user_id",
     "stream_totals": "select user_id, count(*) as n, round(sum(value), 4) as total from events group by user_id",
 }

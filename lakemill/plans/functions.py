@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakemill.functions import udfs
 from lakemill.operators import groups
 from lakemill.session import shipped
+from lakemill.sources import scratch
 from lakemill.sources.tables import table
 
 
@@ -31,6 +32,42 @@ def sketch_union(spark: SparkSession, folder: str) -> DataFrame:
     return daily.groupBy(F.date_trunc("month", "day").alias("month")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
 
 
+#: Entries that a theta sketch keeps, as a power of 2, and items of a KLL sketch: small, so that what they give are estimates.
+THETA, KLL = 11, 400
+#: How far estimates may be off: of counts, a share of the union's, five standard errors; of ranks, about three.
+THETA_BOUND, KLL_BOUND = 5 / 2 ** (THETA / 2), 0.02
+
+
+def stored_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with lines of two ship modes' flags, by stored sketches that are united and intersected; each estimate beside the truth and whether it is near enough."""
+    lines = table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey")
+    path = scratch.place(spark, "sketches")
+    lines.groupBy("l_returnflag", "l_linestatus").agg(F.theta_sketch_agg("l_orderkey", THETA).alias("sketch")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    flags = stored.groupBy("l_returnflag").agg(F.theta_union_agg("sketch").alias("s"))
+    pairs = flags.alias("a").join(flags.alias("b"), F.col("a.l_returnflag") < F.col("b.l_returnflag")).select(
+        F.col("a.l_returnflag").alias("one"), F.col("b.l_returnflag").alias("two"), F.theta_sketch_estimate(F.theta_intersection("a.s", "b.s")).alias("both"), F.theta_sketch_estimate(F.theta_union("a.s", "b.s")).alias("either")
+    )
+    kinds = lines.select("l_returnflag", "l_orderkey").distinct()
+    left, right = kinds.select(F.col("l_returnflag").alias("one"), "l_orderkey"), kinds.select(F.col("l_returnflag").alias("two"), "l_orderkey")
+    shared = left.join(right, "l_orderkey").where("one < two").groupBy("one", "two").agg(F.count("*").alias("exact_both"))
+    sizes = kinds.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    exact = shared.join(sizes.select(F.col("l_returnflag").alias("one"), F.col("n").alias("n1")), "one").join(sizes.select(F.col("l_returnflag").alias("two"), F.col("n").alias("n2")), "two")
+    exact = exact.withColumn("exact_either", F.col("n1") + F.col("n2") - F.col("exact_both"))
+    near = lambda estimate, truth: F.abs(F.col(estimate) - F.col(truth)) <= THETA_BOUND * F.col("exact_either")
+    return pairs.join(exact, ["one", "two"]).select("one", "two", "exact_both", "exact_either", near("both", "exact_both").alias("both_near"), near("either", "exact_either").alias("either_near"))
+
+
+def rank_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles by KLL sketches made by month and merged by flag: whether the share of rows up to each is what was asked for."""
+    lines = table(spark, folder, "lineitem").select("l_returnflag", F.date_trunc("month", "l_shipdate").alias("month"), "l_extendedprice")
+    monthly = lines.groupBy("l_returnflag", "month").agg(F.kll_sketch_agg_double("l_extendedprice", KLL).alias("s"))
+    merged = monthly.groupBy("l_returnflag").agg(F.kll_merge_agg_double("s").alias("s"))
+    asked = merged.select("l_returnflag", F.explode(F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("p"), "s").withColumn("q", F.kll_sketch_get_quantile_double("s", "p"))
+    ranks = lines.join(F.broadcast(asked.select("l_returnflag", "p", "q")), "l_returnflag").groupBy("l_returnflag", "p").agg(F.count("*").alias("n"), F.avg((F.col("l_extendedprice") <= F.col("q")).cast("double")).alias("share"))
+    return ranks.select("l_returnflag", "p", "n", (F.abs(F.col("share") - F.col("p")) <= KLL_BOUND).alias("near"))
+
+
 def maps(spark: SparkSession, folder: str) -> DataFrame:
     counts = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     by_user = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
@@ -105,7 +142,7 @@ def join_hints(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (percentiles, approximate, sketch_union, maps, variants, structs, transpose, join_hints)}
+QUERIES = {f.__name__: f for f in (percentiles, approximate, sketch_union, stored_sketches, rank_sketches, maps, variants, structs, transpose, join_hints)}
 QUERIES |= {f.__name__: shipped(f) for f in (arrow_function, pandas_aggregate, table_function, grouped_map, partition_map, scalar_pandas, iterator_pandas, difference_from_mean)}
 
 ORACLE_SQL = {
@@ -113,6 +150,11 @@ ORACLE_SQL = {
         select l_returnflag, round(percentile_cont(0.9) within group (order by l_quantity), 4) as p90, percentile_disc(0.25) within group (order by l_quantity) as q25,
         (select l_linenumber from lineitem m where m.l_returnflag = t.l_returnflag group by l_linenumber order by count(*) desc, l_linenumber limit 1) as usual_line,
         round(regr_slope(l_extendedprice, l_quantity), 4) as slope from lineitem t group by l_returnflag""",
+    "stored_sketches": """
+        with k as (select distinct l_returnflag, l_orderkey from lineitem), n as (select l_returnflag, count(*) as n from k group by 1),
+        b as (select a.l_returnflag as one, b.l_returnflag as two, count(*) as exact_both from k a join k b on a.l_orderkey = b.l_orderkey and a.l_returnflag < b.l_returnflag group by 1, 2)
+        select one, two, exact_both, x.n + y.n - exact_both as exact_either, true as both_near, true as either_near from b join n x on one = x.l_returnflag join n y on two = y.l_returnflag""",
+    "rank_sketches": "select l_returnflag, p, count(*) as n, true as near from lineitem, (select unnest([0.1::double, 0.5::double, 0.9::double]) as p) q group by 1, 2",
     "maps": """
         with c as (select user_id, event_type, count(*) as n from events group by 1, 2)
         select user_id, count(*) as kinds, coalesce(string_agg(event_type, ',' order by event_type) filter (where n >= 5), '') as frequent, coalesce(max(n) filter (where event_type = 'click'), 0) as clicks from c group by user_id""",

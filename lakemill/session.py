@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -48,7 +50,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="lakemill-")) / "lakemill.zip"
+    made = tempfile.mkdtemp(prefix="lakemill-")
+    # executors may ask for it as long as the driver runs
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    archive = Path(made) / "lakemill.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"lakemill/{f.relative_to(root)}")
