@@ -143,10 +143,10 @@ def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """The last totals of each user, written batch by batch and merged level by level; few folders are read."""
     path = place(spark, "upserts")
-    tables.table(spark, folder, "events").repartition(10, "event_id").write.parquet(f"{path}/in")
+    tables.table(spark, folder, "events").repartition(6, "event_id").write.parquet(f"{path}/in")
     totals = stream.running_totals(stream.source(spark, f"{path}/in", files_per_trigger=1), "user_id", "value")
-    upserts.upsert_to(totals, f"{path}/rows", ["user_id"], f"{path}/progress", "update", every=3)
-    return upserts.upserted(spark, f"{path}/rows", totals.schema, ["user_id"], every=3).select("user_id", "n", F.round("total", 4).alias("total"))
+    upserts.upsert_to(totals, f"{path}/rows", ["user_id"], f"{path}/progress", "update", every=2)
+    return upserts.upserted(spark, f"{path}/rows", totals.schema, ["user_id"], every=2).select("user_id", "n", F.round("total", 4).alias("total"))
 
 
 #: Rounds in which events arrive, and rounds by which each tenth event is late.

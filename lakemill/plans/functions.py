@@ -63,8 +63,8 @@ def rank_sketches(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select("l_returnflag", F.date_trunc("month", "l_shipdate").alias("month"), "l_extendedprice")
     monthly = lines.groupBy("l_returnflag", "month").agg(F.kll_sketch_agg_double("l_extendedprice", KLL).alias("s"))
     merged = monthly.groupBy("l_returnflag").agg(F.kll_merge_agg_double("s").alias("s"))
-    asked = merged.select("l_returnflag", F.explode(F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("p"), "s").withColumn("q", F.kll_sketch_get_quantile_double("s", "p"))
-    ranks = lines.join(F.broadcast(asked.select("l_returnflag", "p", "q")), "l_returnflag").groupBy("l_returnflag", "p").agg(F.count("*").alias("n"), F.avg((F.col("l_extendedprice") <= F.col("q")).cast("double")).alias("share"))
+    asked = merged.select("l_returnflag", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.kll_sketch_get_quantile_double("s", F.lit(p)).alias("q")) for p in (0.1, 0.5, 0.9)))).alias("x")).select("l_returnflag", "x.*")
+    ranks = lines.join(asked, "l_returnflag").groupBy("l_returnflag", "p").agg(F.count("*").alias("n"), F.avg((F.col("l_extendedprice") <= F.col("q")).cast("double")).alias("share"))
     return ranks.select("l_returnflag", "p", "n", (F.abs(F.col("share") - F.col("p")) <= KLL_BOUND).alias("near"))
 
 
