@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.keys import bit_words, marked, named, variable
+from lakemill.llm.keys import bit_map, bit_words, marked, named, row_key, variable
 from lakemill.llm.storage import cut
 
 #: What stands between two words, for SQL's and the operator's text alike.
@@ -82,11 +82,11 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float =
     things up in the partitions alone whose smallest items it could hold at the threshold.
     Candidates are verified by exact containment of word shingles.
 
-    Documents are read and cut into shingles once, however many items there are:
-    shingles are tested against a bit map of all sketched ones, of a size that is bounded, and only
-    documents that pass it (all true hits and a few false ones) meet the
-    partitions' index and the items in joins, which are broadcast only where
-    Spark finds them small enough. Nothing of the other documents is shuffled.
+    Documents are read twice, however many items there are. The first time they are cut into
+    shingles, which are tested against a bit map of all sketched ones, of a size that is bounded; what
+    passes, by mistake or not, goes on as hashes alone, and those meet the partitions' index in a join. Of documents that hold a sketched
+    shingle of a partition of theirs, for certain, texts are fetched the second time, one of equal
+    rows, and meet their candidates. Nothing of other documents is shuffled but such hashes. Joins are broadcast only where Spark finds a side small enough.
 
     Returns ``id_col``, ``item_col``, ``matched`` and ``item_shingles`` (long)
     and ``containment`` (double), one row for each
@@ -103,19 +103,23 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float =
     index = cut(exact.select("row", "part", sketch.alias("sk")).select("row", "part", "sk", F.explode("sk").alias("h")), "index")
     keys = index.select("h").distinct()
     words, bits = bit_words(keys, keys.count(), BITS_PER_KEY)
+    rows = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text")).withColumn("doc", row_key(F.col("id"), F.col("text")))
     with variable(words) as known:
         # what of a document's shingles is sketched of some item
-        held = bound(shingle_hashes(named(text_col).cast("string"), width), lambda sh: F.struct(F.size(sh).alias("x"), F.filter(sh, lambda s: marked((known, bits), s)).alias("hits")))
-        near = docs.select(F.monotonically_increasing_id().alias("doc"), named(id_col).alias("id"), named(text_col).cast("string").alias("text"), held.alias("held"))
-        near = cut(near.where(F.size("held.hits") > 0), "near")
+        held = bound(shingle_hashes(F.col("text"), width), lambda sh: F.struct(F.size(sh).alias("x"), F.filter(sh, lambda s: marked((known, bits), s)).alias("hits")))
+        near = cut(rows.select("doc", "id", held.alias("held")).where(F.size("held.hits") > 0), "near")
     # the last partition that a document could hold an item of
     last = F.floor(F.log2(F.col("held.x") / threshold + 1e-9)).cast("int")
-    asked = near.select("doc", F.col("held.hits").alias("hits"), F.filter(F.array(*(F.lit(c) for c in parts)), lambda c: c <= last).alias("parts"))
+    kinds = near.groupBy("doc").agg(F.first("held").alias("held"))
+    asked = kinds.select("doc", F.col("held.hits").alias("hits"), F.filter(F.array(*(F.lit(c) for c in parts)), lambda c: c <= last).alias("parts"))
     asked = asked.select("doc", "hits", "parts", F.explode("hits").alias("h")).select("doc", "hits", "h", F.explode("parts").alias("part"))
     # a pair that meets on several sketched shingles counts where it meets first
-    met = asked.join(index, ["part", "h"]).where(F.get(F.array_intersect("sk", "hits"), F.lit(0)) == F.col("h")).select("doc", "row")
-    pairs = met.join(near.select("doc", "id", "text"), "doc").join(exact.select("row", "item", "item_sh"), "row")
+    met = cut(asked.join(index, ["part", "h"]).where(F.get(F.array_intersect("sk", "hits"), F.lit(0)) == F.col("h")).select("doc", "row"), "met")
+    wanted = met.select(F.xxhash64("doc").alias("h")).distinct()
+    texts = rows.where(marked(bit_map(wanted, wanted.count()), F.xxhash64("doc"))).groupBy("doc").agg(F.first("text").alias("text"))
+    pairs = met.join(texts, "doc").join(exact.select("row", "item", "item_sh"), "row")
     matched = F.size(F.array_intersect("item_sh", shingles(F.col("text"), width)))
-    counted = pairs.select("id", "item", matched.cast("long").alias("matched"), F.size("item_sh").cast("long").alias("item_shingles"))
+    sizes = pairs.select("doc", "item", matched.cast("long").alias("matched"), F.size("item_sh").cast("long").alias("item_shingles"))
+    counted = sizes.where(F.col("matched") >= F.col("item_shingles") * threshold - 1e-9).join(near.select("doc", "id"), "doc")
     share = F.col("matched") / F.col("item_shingles")
-    return counted.where(F.col("matched") >= F.col("item_shingles") * threshold - 1e-9).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "item_shingles", share.alias("containment"))
+    return counted.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "item_shingles", share.alias("containment"))

@@ -277,7 +277,7 @@ def test_leaks_of_repeated_rows_and_ids_and_no_python(spark):
     assert not re.search("PythonUDF|MapInArrow|MapInPandas", found._jdf.queryExecution().toString())
 
 
-def test_documents_are_read_once_however_many_items_there_are(spark, tmp_path, monkeypatch):
+def test_documents_are_read_twice_however_many_items_there_are(spark, tmp_path, monkeypatch):
     docs(spark, [prose(i, 60) for i in range(20)]).write.parquet(str(tmp_path / "d"))
     read = spark.read.parquet(str(tmp_path / "d"))
     items = spark.createDataFrame([(i, prose(500 + i, 20 + i % 90)) for i in range(3000)] + [(9999, prose(3, 30))], "item_id long, text string")
@@ -286,7 +286,19 @@ def test_documents_are_read_once_however_many_items_there_are(spark, tmp_path, m
     found = decontaminate.leaks(read, items)
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert [(r.doc_id, r.item_id) for r in found.collect()] == [(3, 9999)]
-    assert sum(plan.count(f"{tmp_path}/d") for plan in plans) == 1 and not re.search("Python|Arrow|Pandas", "".join(plans))
+    assert sum(plan.count(f"{tmp_path}/d") for plan in plans) == 2 and not re.search("Python|Arrow|Pandas", "".join(plans))
+
+
+def test_texts_of_true_candidates_alone_are_moved(spark, monkeypatch):
+    """With a bit map so full that all documents pass it, texts still stay where they are."""
+    monkeypatch.setattr(keys, "MOST_BYTES", 64)
+    items = spark.createDataFrame([(i, prose(500 + i, 20 + i % 90)) for i in range(2000)], "item_id long, text string")
+    df = docs(spark, [prose(5000 + i, 120) for i in range(100)] + [f"{prose(1, 30)} {prose(507, 27)} {prose(2, 30)}", prose(900, 110)])
+    made = {}
+    monkeypatch.setattr(decontaminate, "cut", lambda df, label, real=decontaminate.cut: made.setdefault(label, real(df, label)))
+    found = decontaminate.leaks(df, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(100, 7), (101, 400)]
+    assert made["near"].count() > 90 and "text" not in made["near"].columns and made["met"].select("doc").distinct().count() == 2
 
 
 def test_sketches_miss_as_rarely_as_told():
