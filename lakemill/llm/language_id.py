@@ -209,8 +209,9 @@ def fit(spans: list[tuple[str, str]], seed: int = 0, chains: int = 3000, length:
     Chains of ``length`` words are spliced from spans of one to three random
     languages, so that switches are seen; their likelihood is raised by Adam on
     the forward-backward gradient. The lexicon comes from every other span and
-    the chains from the rest, so that its features aren't trusted too much. The
-    cost is fixed by ``chains``, ``length`` and ``rounds``.
+    the chains from the rest, so that its features aren't trusted too much; from two spans a language
+    or fewer no lexicon is made. The cost is fixed by ``chains``, ``length`` and ``rounds``: ``chains * length`` words,
+    96,000, drawn from the spans with repeats, are all that weights are learned from.
     """
     random = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in spans})
@@ -412,9 +413,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Learn from the documents that are not held out, and predict the language of all.
 
     Returns ``id_col``, ``held_out``, ``lang_pred``, ``score`` and ``segments``
-    (:func:`labels`), a row for each row. The model is fitted on the whole texts
-    of about 300 documents of each language; a language is never an input of a
-    prediction. Texts that are null, empty or without letters are ``und``; very
+    (:func:`labels`), a row for each row. The model is fitted on a bounded sample: about 300
+    documents of each language are drawn, and 96,000 words from the spans of their whole texts (:func:`fit`);
+    a language is never an input of a prediction. Texts that are null, empty or without letters are ``und``; very
     long ones are gone through in pieces that carry exact messages. Null ids are
     not held out; null languages are not learned; repeated rows and other columns
     don't matter; an empty table gives no rows.
