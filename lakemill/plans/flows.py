@@ -70,7 +70,7 @@ def binary_files(spark: SparkSession, folder: str) -> DataFrame:
     tables.write(tables.table(spark, folder, "nation").select("n_regionkey", F.col("n_name").alias("value")), path, "text", partition_by=["n_regionkey"])
     found = tables.binary(spark, path, "*.txt", least_bytes=1, most_bytes=1 << 20)
     # a task may have written any number of files, so lines are what is compared
-    lines = found.select("n_regionkey", F.explode(F.split(F.rtrim(F.decode("content", "utf-8")), "\n")).alias("name"))
+    lines = found.select("n_regionkey", F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("name")).where("name <> ''")
     return lines.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
 
 
