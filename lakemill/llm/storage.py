@@ -4,23 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from lakemill.sources.scratch import place, shared_dir
+from lakemill.sources.scratch import cut, drop, shared_dir
 
 __all__ = ["cut", "drop", "shared_dir", "tasks"]
 
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs only what it was doing, and a plan
-    that uses the table twice computes it once.
-    """
-    spark = df.sparkSession
-    path = place(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of a comparison that a task gets, about: they are few and take long, so size isn't a guide.
 ROWS_OF_TASK = 20_000
 
@@ -28,11 +15,3 @@ ROWS_OF_TASK = 20_000
 def tasks(df: DataFrame) -> int:
     """How many tasks a comparison of the rows of ``df``, a written table, is dealt to."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_OF_TASK))
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`cut` that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
