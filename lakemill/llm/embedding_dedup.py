@@ -15,7 +15,7 @@ from lakemill.llm.arrowtext import mix, whole_runs
 from lakemill.llm.graph import components
 from lakemill.llm.keys import named
 from lakemill.llm.ngram_join import PAIRS, leads, least_agreement, pairs_of
-from lakemill.llm.storage import cut, drop, tasks
+from lakemill.llm.storage import cut, drop, shuffled, tasks
 
 #: Vectors of each of two blocks that one comparison holds, about.
 BLOCK = 1000
@@ -130,27 +130,27 @@ def near_duplicates(
     known = cut(rows.mapInArrow(keyed, f"rid long, id {id_type}, lab long, v {kind}, keys array<int>, sketch long, class binary"), "vectors")
     usable = known.where("class is not null")
     classes = cut(usable.groupBy("class").agg(F.count("*").alias("size"), F.min("rid").alias("rid")), "classes")
-    usable = cut(usable.select("rid", "lab", "v", "keys", "sketch").join(classes.select("rid", "size"), "rid"), "distinct")
+    usable = cut(usable.select("rid", "lab", "v", "keys", "sketch").join(shuffled(classes.select("rid", "size")), "rid"), "distinct")
     # vectors are needed once for each class from here on
     slim = cut(known.select("rid", "id", "class"), "rows")
     drop(known)
     leaves = usable.select("rid", "lab", "sketch", F.size("v").alias("dim"), F.posexplode("keys").alias("t", "key")).select("rid", "sketch", "t", F.xxhash64("lab", "dim", "t", "key").alias("bucket"))
     shared = leaves.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket", F.ceil(F.col("k") / BLOCK).alias("blocks"))
-    members = leaves.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    members = leaves.join(shuffled(shared), "bucket").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").cast("long").alias("one"), F.greatest(x, "block").cast("long").alias("two")))).alias("pair")
     members = cut(members.select("bucket", "t", pair, "block", "rid", "sketch").select("bucket", "t", "pair.one", "pair.two", "block", "rid", "sketch"), "members")
     meetings = cut(_dealt(members, members).mapInArrow(_meetings(agree), "bucket long, t int, one long, two long, block long, rid long, sketch long"), "meetings")
     drop(members)
-    compared = cut(_dealt(meetings.join(usable.select("rid", "size", "v", "keys"), "rid"), meetings).mapInArrow(_links(agree, threshold), "rid long, links long, lead long"), "compared")
+    compared = cut(_dealt(meetings.join(shuffled(usable.select("rid", "size", "v", "keys")), "rid"), meetings).mapInArrow(_links(agree, threshold), "rid long, links long, lead long"), "compared")
     for done in (meetings, usable):
         drop(done)
     links = compared.groupBy("rid").agg(F.sum("links").alias("links"))
     tops = components(compared.where("lead <> rid"), "rid", "lead", "rid", "top")
-    groups = classes.join(links, "rid", "left").join(tops, "rid", "left").select("class", "size", "links", F.coalesce("top", "rid").alias("top"))
-    found = slim.join(groups, "class", "left").withColumn("top", F.coalesce("top", "rid"))
+    groups = classes.join(shuffled(links), "rid", "left").join(shuffled(tops), "rid", "left").select("class", "size", "links", F.coalesce("top", "rid").alias("top"))
+    found = slim.join(shuffled(groups), "class", "left").withColumn("top", F.coalesce("top", "rid"))
     heads = found.groupBy("top").agg(F.min("id").alias("component_id"))
     n_links = F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
-    out = found.join(heads, "top").select(F.col("id").alias(id_col), n_links.alias("n_links"), "component_id")
+    out = found.join(shuffled(heads), "top").select(F.col("id").alias(id_col), n_links.alias("n_links"), "component_id")
     return out.withColumn("kept", named(id_col).eqNullSafe(F.col("component_id")))
 
 

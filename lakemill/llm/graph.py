@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.storage import cut, drop
+from lakemill.llm.storage import cut, drop, shuffled
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,12 +28,12 @@ def components(edges: DataFrame, src: str, dst: str, node: str = "node", compone
     while state[0]:
         # small star: a node points its smaller neighbours, and itself, at the smallest
         low = stars.groupBy("a").agg(F.min("b").alias("m"))
-        small = stars.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = stars.join(shuffled(low), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         small = small.where("a > b").distinct()
         # large star: a node points its larger neighbours at the smallest of all
         both = small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(shuffled(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         loops = stars.where("a = b")
         after = cut(large.unionByName(loops), "edges")
         new = _state(after)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lakemill.llm.arrowtext import mix, runs, slices, whole_runs, word_hashes, words
 from lakemill.llm.graph import components
 from lakemill.llm.keys import bit_map, marked, named, row_key
-from lakemill.llm.storage import cut, drop, tasks
+from lakemill.llm.storage import cut, drop, shuffled, tasks
 
 #: What one comparison holds of each of two blocks: documents and shingles, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 2000, 1_500_000
@@ -313,20 +313,20 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees:
     drop(profiles)
     members = cut(_members(classes, shortest), "members")
     # a node is half of a class's key: of two classes that share it, both are looked at
-    placed = members.join(classes.select("node", "ckey", "n", "paths"), "node").drop("node")
+    placed = members.join(shuffled(classes.select("node", "ckey", "n", "paths")), "node").drop("node")
     meetings = cut(_dealt(placed, tasks(members)).mapInArrow(_meetings(threshold, depth_of, agree), "ckey binary, bucket long, one long, two long, block long"), "meetings")
     drop(members)
     sets = _sets(rows, classes, meetings, width)
-    compared = cut(_dealt(meetings.join(sets, "ckey"), tasks(meetings)).mapInArrow(_links(threshold, depth_of, agree), "ckey binary, links long, lead binary"), "compared")
+    compared = cut(_dealt(meetings.join(shuffled(sets), "ckey"), tasks(meetings)).mapInArrow(_links(threshold, depth_of, agree), "ckey binary, links long, lead binary"), "compared")
     for done in (meetings, sets):
         drop(done)
     links = compared.groupBy("ckey").agg(F.sum("links").alias("links"))
     tops = components(compared.where("ckey <> lead"), "ckey", "lead", "ckey", "top")
-    groups = classes.select("ckey", "size", "class_id", "rkey").join(links, "ckey", "left").join(tops, "ckey", "left")
+    groups = classes.select("ckey", "size", "class_id", "rkey").join(shuffled(links), "ckey", "left").join(shuffled(tops), "ckey", "left")
     groups = groups.withColumn("top", F.coalesce("top", "ckey"))
     heads = groups.groupBy("top").agg(F.min("class_id").alias("component_id"), F.min(F.struct(F.col("class_id"), F.col("rkey"))).rkey.alias("head"))
-    groups = groups.join(heads, "top").select("ckey", "size", "class_id", "links", "component_id", "head")
-    found = rows_of.join(groups, "ckey", "left")
+    groups = groups.join(shuffled(heads), "top").select("ckey", "size", "class_id", "links", "component_id", "head")
+    found = rows_of.join(shuffled(groups), "ckey", "left")
     own = lambda c: F.when(F.col("ckey").isNull(), F.col("id")).otherwise(F.col(c)).alias(c)
     n_links = F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
     return found.select(F.col("id").alias(id_col), own("class_id"), n_links.alias("n_links"), own("component_id"), (F.col("ckey").isNull() | (F.col("rkey") == F.col("head"))).alias("kept"), "rkey")
@@ -341,7 +341,7 @@ def _members(classes: DataFrame, shortest: int) -> DataFrame:
     leaves = classes.select("node", "n", F.posexplode("paths").alias("t", "path")).select("node", "n", F.col("path").bitwiseAND(top).bitwiseOR(F.col("t").cast("long")).alias("bucket"))
     shared = leaves.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where("k > 1")
     shared = shared.select("bucket", F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_SHINGLES)).alias("blocks"))
-    found = leaves.select("node", "bucket").join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    found = leaves.select("node", "bucket").join(shuffled(shared), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").cast("long").alias("one"), F.greatest(x, "block").cast("long").alias("two")))).alias("pair")
     return found.select("bucket", pair, "block", "node").select("bucket", "pair.one", "pair.two", "block", "node")
 
@@ -364,7 +364,7 @@ def _meetings(threshold: float, depth_of: np.ndarray, agree: int):
 
 def _sets(rows: DataFrame, classes: DataFrame, meetings: DataFrame, width: int) -> DataFrame:
     """The shingles of each class that has met another, a written table: (ckey, size, n, paths, shingles)."""
-    wanted = cut(meetings.select("ckey").distinct().join(classes.select("ckey", "rkey", "size", "n", "paths"), "ckey"), "wanted")
+    wanted = cut(meetings.select("ckey").distinct().join(shuffled(classes.select("ckey", "rkey", "size", "n", "paths")), "ckey"), "wanted")
     found = bit_map(wanted.select(F.xxhash64("rkey").alias("h")), wanted.count())
     # texts of other classes stay where they are
     texts = rows.where(marked(found, F.xxhash64("rkey"))).select("rkey", "text")
@@ -382,7 +382,7 @@ def _sets(rows: DataFrame, classes: DataFrame, meetings: DataFrame, width: int)
                 seen.clear()
 
     sent = texts.mapInArrow(run, "rkey binary, shingles binary")
-    sets = cut(sent.join(wanted, "rkey").drop("rkey").dropDuplicates(["ckey"]), "sets")
+    sets = cut(sent.join(shuffled(wanted), "rkey").drop("rkey").dropDuplicates(["ckey"]), "sets")
     drop(wanted)
     return sets
 

@@ -6,6 +6,7 @@ import pytest
 from util import docs, groups, prose, shingles, words
 
 from lakemill.llm import embedding_dedup, graph, ngram_join
+from lakemill.session import ship
 
 
 def brute(texts, threshold=0.8):
@@ -214,3 +215,29 @@ def test_more_rows_take_longer_keys_at_the_same_recall():
         bits, tables = embedding_dedup.tables_for(rows, 0.98, 1e-7)
         assert (1 - agree**bits) ** tables <= 1e-7
     assert embedding_dedup.tables_for(10**10, 0.98, 1e-7)[0] > embedding_dedup.tables_for(10**5, 0.98, 1e-7)[0]
+
+
+def test_sides_that_grow_are_not_sent_to_all_tasks(spark, monkeypatch):
+    plans = {}
+
+    def seen(module):
+        cut = module.cut
+
+        def run(df, label):
+            plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+            return cut(df, label)
+
+        monkeypatch.setattr(module, "cut", run)
+
+    ship(spark)
+    for module in (ngram_join, embedding_dedup, graph):
+        seen(module)
+    plans["texts"] = ngram_join.jaccard_join(docs(spark, texts_with_copies()))._jdf.queryExecution().executedPlan().toString()
+    of_texts, used = dict(plans), {"members", "meetings", "wanted", "compared", "edges", "texts"}
+    plans.clear()
+    vectors = spark.createDataFrame([(i, [1.0, i % 7 / 50, 0.0], "a") for i in range(60)], "vec_id long, embedding array<double>, label string")
+    plans["vectors"] = embedding_dedup.near_duplicates(vectors)._jdf.queryExecution().executedPlan().toString()
+    assert used <= set(of_texts) and {"distinct", "members", "compared", "vectors"} <= set(plans)
+    # the words of a bit map are bounded in number
+    joins = [(label, line.strip()) for found in (of_texts, plans) for label, plan in found.items() for line in plan.splitlines() if "BroadcastHashJoin" in line and "[at#" not in line]
+    assert joins == [] and any("SortMergeJoin" in p for p in of_texts.values())
