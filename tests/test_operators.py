@@ -1,10 +1,12 @@
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lakemill.functions import scalars
 from lakemill.operators import groups, joins
+from lakemill.plans import relational
 
 
 def rows(df):
@@ -87,3 +89,15 @@ def test_salts_part_rows_that_are_equal(spark):
 def test_a_join_by_nested_loops_gives_the_same_rows(spark):
     a, b = spark.range(9).withColumnRenamed("id", "a"), spark.range(4, 12).withColumnRenamed("id", "b")
     assert rows(a.join(b.hint("shuffle_replicate_nl"), a.a == b.b)) == rows(a.join(b, a.a == b.b)) and a.join(b.hint("shuffle_replicate_nl"), a.a == b.b).count() == 5
+
+
+def test_best_rows_of_ties_are_those_of_the_smallest_key(spark, tmp_path):
+    given = [(k, nation, float(k % 3)) for nation in (1, 2) for k in range(nation * 100, nation * 100 + 30)] + [(1, 1, None), (None, 2, 99.0), (None, 2, -99.0), (5, 3, None)]
+    df = spark.createDataFrame(given, "c_custkey long, c_nationkey long, c_acctbal double")
+    # the largest keys come first, in files of their own
+    df.orderBy(F.desc_nulls_last("c_custkey")).repartitionByRange(5, F.desc("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create table customer as select * from '{tmp_path}/customer.parquet/*.parquet' order by c_custkey")
+    want = sorted(con.execute(relational.ORACLE_SQL["agg_arg_best"]).fetchall())
+    assert rows(relational.QUERIES["agg_arg_best"](spark, str(tmp_path))) == want == [(1, 101, 102), (2, 200, 201), (3, None, None)]
