@@ -111,3 +111,14 @@ def salted_join(large: DataFrame, small: DataFrame, on: str, salts: int, how: st
     a = cut(large, "salted").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     b = small.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
     return a.join(b, [on, "_salt"], how).drop("_salt")
+
+
+def broadcast_join(large: DataFrame, small: DataFrame, large_key: str, small_key: str, most_rows: int = 1_000_000) -> DataFrame:
+    """Inner join in which ``small`` is sent to all tasks in parts of about ``most_rows`` rows, so that what the driver holds of it is bounded.
+
+    Rows of a part are those whose keys' hash says so; ``large`` is read once for each part and never shuffled. Keys
+    have to be of one type; null keys match nothing. Rows of ``small`` that share one key are one part's.
+    """
+    parts = max(1, -(-small.count() // most_rows))
+    of = lambda df, key, part: df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part) if parts > 1 else df
+    return reduce(DataFrame.unionAll, (of(large, large_key, part).join(F.broadcast(of(small, small_key, part)), F.col(large_key) == F.col(small_key)) for part in range(parts)))

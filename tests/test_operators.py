@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import scalars
 from lakemill.operators import groups, joins
-from lakemill.plans import relational
+from lakemill.plans import functions, relational
 
 
 def rows(df):
@@ -101,3 +101,20 @@ def test_best_rows_of_ties_are_those_of_the_smallest_key(spark, tmp_path):
     con.execute(f"create table customer as select * from '{tmp_path}/customer.parquet/*.parquet' order by c_custkey")
     want = sorted(con.execute(relational.ORACLE_SQL["agg_arg_best"]).fetchall())
     assert rows(relational.QUERIES["agg_arg_best"](spark, str(tmp_path))) == want == [(1, 101, 102), (2, 200, 201), (3, None, None)]
+
+
+@pytest.mark.parametrize("most", [1000, 30, 7])
+def test_broadcasts_in_parts_equal_a_join(spark, most):
+    a = spark.createDataFrame([(i % 50 if i % 9 else None, i) for i in range(300)], "a long, x long")
+    b = spark.createDataFrame([(i % 40 if i % 11 else None, i) for i in range(90)], "b long, y long")
+    got = joins.broadcast_join(a, b, "a", "b", most)
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == -(-90 // most)
+    assert rows(got) == rows(a.join(b.hint("merge"), F.col("a") == F.col("b")))
+
+
+def test_each_hint_joins_orders_with_customers(spark, data):
+    n = spark.read.parquet(f"{data}/orders.parquet").count()
+    found = functions.join_hints(spark, data)
+    assert rows(found.select("strategy", "n")) == [("broadcast", n), ("merge", n), ("shuffle_hash", n)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all(f"{kind} [o_custkey" in plan for kind in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin"))
