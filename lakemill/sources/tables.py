@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 #: Formats with a schema of their own; the others are read with one that is given, so no pass infers it.
 SELF_DESCRIBING = ("parquet", "orc")
 FORMATS = (*SELF_DESCRIBING, "csv", "json", "xml", "text")
+#: Formats of which a task reads files whole, and rows that a file of them gets at most.
+WHOLE, ROWS_OF_FILE = ("xml",), 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,12 +35,15 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Iterable
     """Write files, in folders by the values of ``partition_by``, which readers can prune.
 
     Rows of a partition are brought together first, so that each task doesn't
-    write a file for each of them; large partitions are split by adaptive plans.
+    write a file for each of them; large partitions are split by adaptive plans. What a
+    reader can't split (:data:`WHOLE`) is written as files of a bounded number of rows.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known: {', '.join(FORMATS)}")
     keys = list(partition_by)
     rows = df.hint("rebalance", *keys) if keys else df
+    if fmt in WHOLE:
+        options = {"maxRecordsPerFile": str(ROWS_OF_FILE), **options}
     rows.write.format(fmt).options(**options).mode(mode).partitionBy(*keys).save(path)
 
 

@@ -104,3 +104,13 @@ def test_a_key_that_comes_again_has_its_last_row(spark, tmp_path):
 
 def test_settings_keep_adaptive_plans():
     assert SETTINGS["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_files_that_are_read_whole_have_few_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_OF_FILE", 10)
+    df = spark.range(35).select("id", F.concat(F.lit("n"), "id").alias("name")).coalesce(1)
+    for fmt, files in (("xml", 4), ("json", 1)):
+        path, more = str(tmp_path / fmt), {"rowTag": "row"} if fmt == "xml" else {}
+        tables.write(df, path, fmt, **more)
+        assert len([p for p in (tmp_path / fmt).iterdir() if p.name.startswith("part-")]) == files
+        assert sorted(map(tuple, tables.read(spark, path, fmt, schema=df.schema, **more).collect())) == sorted(map(tuple, df.collect()))
