@@ -116,7 +116,7 @@ def stream_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """The last totals of each user, from state kept by hand and merged when it is read."""
+    """The last totals of each user, batch by batch, merged when they are read."""
     found = stream.running_totals(_events(spark, folder), "user_id", "value")
     return _streamed(found, ["user_id"], "update").select("user_id", "n", F.round("total", 4).alias("total"))
 

@@ -126,3 +126,13 @@ def test_user_functions_over_odd_rows(spark, monkeypatch):
     spark.udtf.register("words_of", udfs.Words)
     text = spark.createDataFrame([(" two  words ",), ("",), (None,), ("one",)], "t string").repartition(2)
     assert sorted(map(tuple, spark.sql("select * from words_of(table(select t from {t}))", t=text).collect())) == [(0, "one"), (0, "two"), (1, "words")]
+
+
+def test_totals_are_added_up_without_a_call_for_each_key(spark, tmp_path):
+    given = [[("a", at(1), 1.5), ("a", at(2), None), ("b", at(1), None), (None, at(1), 2.0)], [("a", at(3), 2.0), ("c", at(3), float("nan")), (None, at(4), 1.0)]]
+    folder = files(spark, tmp_path / "f", given, "k string, ts timestamp, v double")
+    totals = events.running_totals(events.source(spark, folder, files_per_trigger=1), "k", "v")
+    assert "Pandas" not in totals._jdf.queryExecution().logical().toString()
+    upserts.upsert_to(totals, str(tmp_path / "u"), ["k"], str(tmp_path / "c"), "update", every=2)
+    got = upserts.upserted(spark, str(tmp_path / "u"), totals.schema, ["k"], every=2).collect()
+    assert {tuple(r) for r in got} == {("a", 3, 3.5), ("b", 1, 0.0), ("c", 1, 0.0), (None, 2, 3.0)}
