@@ -5,6 +5,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lakemill.session import ship
@@ -136,3 +137,18 @@ def test_totals_are_added_up_without_a_call_for_each_key(spark, tmp_path):
     upserts.upsert_to(totals, str(tmp_path / "u"), ["k"], str(tmp_path / "c"), "update", every=2)
     got = upserts.upserted(spark, str(tmp_path / "u"), totals.schema, ["k"], every=2).collect()
     assert {tuple(r) for r in got} == {("a", 3, 3.5), ("b", 1, 0.0), ("c", 1, 0.0), (None, 2, 3.0)}
+
+
+def test_first_rows_are_chosen_among_rows_not_frames():
+    class Seen:
+        def exists(self):
+            return False
+
+        def update(self, value):
+            assert value == (True,)
+
+    first = state.FirstSeen("ts", datetime.timedelta(days=1))
+    first.seen = Seen()
+    given = [Row(k="a", ts=None, n=1), Row(k="a", ts=datetime.datetime(2024, 1, 2), n=2), Row(k="a", ts=datetime.datetime(2024, 1, 1), n=3), Row(k="a", ts=datetime.datetime(2024, 1, 1), n=4)]
+    assert [r.n for r in first.handleInputRows(("a",), iter(given), None)] == [3]
+    assert [r.n for r in first.handleInputRows(("a",), iter(given[:1]), None)] == [1]
