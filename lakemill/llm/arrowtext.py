@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Everything between two words.
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Everything between two runs of letters.
+NOT_LETTERS = r"[^\p{L}]+"
 #: Bytes of text that are worked on at once; a longer text makes a slice of its own.
 SLICE_BYTES = 1_500_000
 

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import dataclasses
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.llm import familiarity
-from lakemill.llm.arrowtext import flat, slices, split
+from lakemill.llm.arrowtext import NOT_LETTERS, flat, slices, split, word_hashes
 from lakemill.llm.keys import named
-from lakemill.llm.storage import cut
+from lakemill.llm.quality import add_up
+from lakemill.llm.storage import cut, drop
 
-#: Words are runs of letters.
-NOT_LETTERS = r"[^\p{L}]+"
 #: Words that touch no digits: pieces of numbers and keys aren't of any language.
 NOT_PLAIN = r"(?:\p{L}*\p{N}[\p{L}\p{N}]*|[^\p{L}\p{N}]+)+"
 #: Weights of n-gram and affix features: a power of two.
@@ -27,6 +26,18 @@ BUCKETS = 1 << 16
 LONGEST = 4
 #: Shares of a word's uses in its main language at which lexicon features part.
 CONFIDENCE = (0.5, 0.7, 0.9, 0.99)
+#: Lexicon entries, which words share by their hash: a power of two.
+ENTRIES = 1 << 19
+#: Words of a chain that is learned from, and chains of a step.
+CHAIN, CHAINS = 32, 256
+#: One word in so many is followed by a switch to some language.
+SWITCH = 16
+#: Steps that weights are learned in at least: few words are gone through again and again.
+STEPS = 80
+#: Words of a task that learns: at least, while there are fewer tasks than ``SPREAD``, and at most.
+FEWEST, MOST, SPREAD = 250_000, 4_000_000, 16
+#: Length of a step.
+RATE = 0.1
 #: Words of a vocabulary that have their features in memory at once.
 WORDS_AT_ONCE = 8192
 #: Words of a block: blocks of all chains are worked through side by side.
@@ -37,12 +48,12 @@ PIECE = 500_000
 
 @dataclasses.dataclass
 class Model:
-    """Learned values: languages, feature weights, transitions, lexicon (word to feature) and its weights."""
+    """Learned values: languages, feature weights, transitions, lexicon (hash of a word to feature) and its weights."""
 
     langs: list[str]
     weights: np.ndarray
     transitions: np.ndarray
-    lexicon: dict[str, int]
+    lexicon: np.ndarray
     lexicon_weights: np.ndarray
 
     def emissions(self, vocabulary: pa.Array) -> np.ndarray:
@@ -51,11 +62,15 @@ class Model:
         for start in range(0, len(vocabulary), WORDS_AT_ONCE):
             part = vocabulary[start : start + WORDS_AT_ONCE]
             features, counts = features_of(part)
-            at = np.fromiter((self.lexicon.get(w, 0) for w in part.to_pylist()), dtype=np.int64, count=len(part))
-            out[start : start + len(part)] = sums(self.weights[features], counts) + self.lexicon_weights[at]
+            out[start : start + len(part)] = sums(self.weights[features], counts) + self.lexicon_weights[self.lexicon[entry(part)]]
         return out
 
 
+def entry(words: pa.Array) -> np.ndarray:
+    """The entry of the lexicon that each word has."""
+    return (word_hashes(words) >> np.uint64(64 - ENTRIES.bit_length() + 1)).astype(np.int64)
+
+
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive rows, ``counts`` (all above zero) at a time."""
     return np.add.reduceat(values, np.cumsum(counts) - counts, axis=0) if len(counts) else np.zeros((0, *values.shape[1:]), dtype=values.dtype)
@@ -203,80 +218,177 @@ def decode(emissions: np.ndarray, ids: np.ndarray, counts: np.ndarray, transitio
     return np.array(means), np.concatenate(states)
 
 
-def fit(spans: list[tuple[str, str]], seed: int = 0, chains: int = 3000, length: int = 32, rounds: int = 80, decay: float = 1e-3) -> Model:
-    """Learn weights and transitions from (language, words) spans.
+def chained(text: pa.RecordBatch, langs: list[str], random: np.random.Generator) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of texts as one row of spliced chains: vocabulary, words, languages, and whether their texts are of the half held back.
 
-    Chains of ``length`` words are spliced from spans of one to three random
-    languages, so that switches are seen; their likelihood is raised by Adam on
-    the forward-backward gradient. The lexicon comes from every other span and
-    the chains from the rest, so that its features aren't trusted too much; from two spans a language
-    or fewer no lexicon is made. The cost is fixed by ``chains``, ``length`` and ``rounds``: ``chains * length`` words,
-    96,000, drawn from the spans with repeats, are all that weights are learned from.
+    Texts are strung together by language, in random order, and cut at random places, one word in ``SWITCH``; the
+    pieces are shuffled, so that switches are seen. Every word is there once, but for
+    those that fill up the last chain.
     """
-    random = np.random.default_rng(seed)
-    langs = sorted({lang for lang, _ in spans})
-    k = len(langs)
-    uses: dict[str, Counter] = {}
-    pools: list[list[list[str]]] = [[] for _ in langs]
-    for i, (lang, text) in enumerate(sorted(spans)):
-        if i % 2 and len(spans) > 2 * k:
-            for w in text.split(" "):
-                uses.setdefault(w, Counter())[lang] += 1
-        else:
-            pools[langs.index(lang)].append(text.split(" "))
-    pools = [p or [t.split(" ") for x, t in spans if x == lang] for p, lang in zip(pools, langs, strict=True)]
-    lexicon = {}
-    for w, c in uses.items():
-        (lang, n), total = c.most_common(1)[0], sum(c.values())
-        if total > 2:
-            lexicon[w] = 1 + langs.index(lang) * len(CONFIDENCE) + int(np.searchsorted(CONFIDENCE, n / total, side="right")) - 1 if n / total >= CONFIDENCE[0] else 0
-    words, states = [], []
-    for _ in range(chains):
-        cuts = np.sort(random.integers(0, length + 1, size=random.integers(0, 3)))
-        for size in np.diff([0, *cuts, length]).tolist():
-            lang = int(random.integers(k))
-            span: list[str] = []
-            while len(span) < size:
-                pool = pools[lang]
-                more = pool[int(random.integers(len(pool)))]
-                at = int(random.integers(len(more)))
-                span += more[at : at + size - len(span)]
-            words += span
-            states += [lang] * size
-    coded = pa.array(words, pa.string()).dictionary_encode()
-    vocabulary, index = coded.dictionary, coded.indices.to_numpy()
-    features, counts = features_of(vocabulary)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    in_lexicon = np.fromiter((lexicon.get(w, 0) for w in vocabulary.to_pylist()), dtype=np.int64, count=len(vocabulary))
-    states = np.array(states).reshape(chains, length)
-    truth = np.eye(k)[states.T]
-    steps = np.zeros((k, k))
-    np.add.at(steps, (states[:, :-1], states[:, 1:]), 1)
-    index = index.reshape(chains, length).T.ravel()
-    shapes = [(BUCKETS, k), (k, k), (1 + k * len(CONFIDENCE), k)]
-    values = [np.zeros(s) for s in shapes]
-    means, squares = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
-    for t in range(1, rounds + 1):
-        weights, transitions, lexical = values
-        scores = (sums(weights[features], counts) + lexical[in_lexicon])[index].reshape(length, chains, k)
+    ids, vocabulary, sizes = split(text.column("text"), NOT_LETTERS)
+    if not len(ids):
+        return vocabulary, ids, ids, ids
+    lang = pc.index_in(text.column("lang"), value_set=pa.array(langs)).to_numpy()
+    order = np.lexsort((random.random(len(sizes)), lang))
+    first, per = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    at = np.repeat(first - (np.cumsum(per) - per), per) + np.arange(len(ids))
+    state = np.repeat(lang[order], per)
+    new = random.random(len(ids)) < 1 / SWITCH
+    new[1:] |= state[1:] != state[:-1]
+    new[0] = True
+    start = np.flatnonzero(new)
+    length = np.diff([*start, len(ids)])
+    shuffled = random.permutation(len(start))
+    length = length[shuffled]
+    moved = np.repeat(start[shuffled] - (np.cumsum(length) - length), length) + np.arange(len(ids))
+    moved = np.resize(moved, -(-len(moved) // CHAIN) * CHAIN)
+    back = np.repeat(text.column("back").to_numpy(zero_copy_only=False)[order], per)
+    return vocabulary, ids[at][moved], state[moved], back[moved]
+
+
+class Learner:
+    """Weights that are raised step by step along the gradient of chains' likelihood, each by a step as long as its gradients so far were small (AdaGrad)."""
+
+    def __init__(self, k: int, values: np.ndarray, squares: np.ndarray):
+        self.k, self.values, self.squares = k, values.copy(), squares.copy()
+        self.shapes = [(BUCKETS, k), (k, k), (1 + k * len(CONFIDENCE), k)]
+
+    def parts(self, flat: np.ndarray) -> list[np.ndarray]:
+        """The feature weights, transitions and lexicon weights in a row of numbers."""
+        ends = np.cumsum([a * b for a, b in self.shapes])
+        return [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), self.shapes, strict=True)]
+
+    def learn(self, vocabulary: pa.Array, ids: np.ndarray, states: np.ndarray, lexical: np.ndarray) -> None:
+        """One step for each ``CHAINS`` chains; ``lexical`` are the words' features in the lexicon."""
+        features, counts = features_of(vocabulary)
+        features, first = features.astype(np.int32), np.cumsum(counts) - counts
+        size = CHAIN * CHAINS
+        for start in range(0, len(ids), size):
+            stop = min(len(ids), start + size)
+            words, row = np.unique(ids[start:stop], return_inverse=True)
+            per = counts[words]
+            at = np.repeat(first[words] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            self.step(features[at], per, row.reshape(-1, CHAIN).T.ravel(), states[start:stop].reshape(-1, CHAIN).T, lexical[start:stop].reshape(-1, CHAIN).T.ravel())
+
+    def step(self, features: np.ndarray, counts: np.ndarray, row: np.ndarray, states: np.ndarray, lexical: np.ndarray) -> None:
+        k, chains = self.k, states.shape[1]
+        weights, transitions, lexicon = self.parts(self.values)
+        scores = (sums(weights[features], counts)[row] + lexicon[lexical]).reshape(CHAIN, chains, k)
         p, expected = expectations(scores, transitions)
-        wrong = truth - p
+        wrong = np.eye(k, dtype=np.float32)[states] - p
+        steps = np.bincount((states[:-1] * k + states[1:]).ravel(), minlength=k * k).reshape(k, k)
         # a chain starts from a uniform state that nobody sees
-        start = np.exp(transitions - transitions.max())
-        start = start / start.sum(axis=0) * wrong[0].sum(axis=0)
+        begin = np.exp(transitions - transitions.max())
+        begin = begin / begin.sum(axis=0) * wrong[0].sum(axis=0)
         wrong = wrong.reshape(-1, k)
-        by_word = np.stack([np.bincount(index, wrong[:, j], len(vocabulary)) for j in range(k)], axis=1)
-        gradients = [
-            np.stack([np.bincount(features, by_word[owner, j], BUCKETS) for j in range(k)], axis=1),
-            steps - expected + start,
-            np.stack([np.bincount(in_lexicon, by_word[:, j], shapes[2][0]) for j in range(k)], axis=1),
-        ]
-        for i, gradient in enumerate(gradients):
-            gradient = gradient / chains - decay * values[i]
-            means[i] = 0.9 * means[i] + 0.1 * gradient
-            squares[i] = 0.99 * squares[i] + 0.01 * gradient**2
-            values[i] += 0.1 * (means[i] / (1 - 0.9**t)) / (np.sqrt(squares[i] / (1 - 0.99**t)) + 1e-6)
-    return Model(langs, values[0].astype(np.float32), values[1], lexicon, values[2].astype(np.float32))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        gradient = np.empty(len(self.values), dtype=np.float32)
+        by_weight, by_transition, by_lexicon = self.parts(gradient)
+        by_transition[:] = steps - expected + begin
+        for j in range(k):
+            by_weight[:, j] = np.bincount(features, np.bincount(row, wrong[:, j], len(counts))[owner], BUCKETS)
+            by_lexicon[:, j] = np.bincount(lexical, wrong[:, j], len(lexicon))
+        gradient /= chains
+        self.squares += gradient * gradient
+        self.values += RATE * gradient / (np.sqrt(self.squares) + 1e-6)
+
+
+def tally(texts: DataFrame) -> DataFrame:
+    """How often each word is used in each language, by halves of the texts: (``word``, ``lang``, ``back``, ``n``), written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in slices(batch, "text"):
+                ids, vocabulary, sizes = split(one.column("text"), NOT_LETTERS)
+                langs = one.column("lang").dictionary_encode()
+                kinds = 2 * len(langs.dictionary)
+                uses = np.bincount(ids.astype(np.int64) * kinds + np.repeat(langs.indices.to_numpy() * 2 + one.column("back").to_numpy(zero_copy_only=False), sizes))
+                at = np.flatnonzero(uses)
+                yield pa.RecordBatch.from_arrays(
+                    [vocabulary.take(pa.array(at // kinds)), langs.dictionary.take(pa.array(at % kinds // 2)), pa.array(at % 2 == 1), pa.array(uses[at])], ["word", "lang", "back", "n"]
+                )
+
+    found = texts.select("lang", "text", "back").mapInArrow(run, "word string, lang string, back boolean, n long")
+    return cut(found.groupBy("word", "lang", "back").agg(F.sum("n").alias("n")), "words")
+
+
+def lexicons(counts: DataFrame, langs: list[str]) -> list[np.ndarray]:
+    """For each entry the feature that says how surely its words are of their main language: by the uses of one half of the texts, of the other, and of all.
+
+    0 where no language has half of the uses, or there are fewer than three.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in slices(batch, "word"):
+                at = pc.index_in(one.column("lang"), value_set=pa.array(langs))
+                yield pa.RecordBatch.from_arrays([pa.array(entry(one.column("word")).astype(np.int32)), at, one.column("back"), one.column("n")], ["entry", "lang", "back", "n"])
+
+    def feature(n: str) -> Column:
+        top, total = F.max(F.struct(n, -F.col("lang"))), F.sum(n)
+        sure = sum((top[n] >= c * total).cast("int") for c in CONFIDENCE)
+        return F.when((total > 2) & (sure > 0), -top["col2"] * len(CONFIDENCE) + sure).otherwise(0).cast("short").alias(n)
+
+    uses = {"seen": ~F.col("back"), "back": F.col("back"), "all": F.lit(True)}
+    by_lang = counts.mapInArrow(run, "entry int, lang int, back boolean, n long").groupBy("entry", "lang").agg(*(F.sum(F.when(which, F.col("n")).otherwise(0)).alias(n) for n, which in uses.items()))
+    got = by_lang.groupBy("entry").agg(*(feature(n) for n in uses)).toArrow()
+    out = []
+    for n in uses:
+        lexicon = np.zeros(ENTRIES, dtype=np.int16)
+        lexicon[got.column("entry").to_numpy()] = got.column(n).to_numpy()
+        out.append(lexicon)
+    return out
+
+
+def fit(texts: DataFrame, counts: DataFrame, langs: list[str], words: int) -> Model:
+    """Learn weights and transitions from all ``texts`` (``lang``, ``text``, ``hash``, ``back``), whose ``words`` words are in ``counts``.
+
+    By iterative parameter mixing: texts are dealt to rounds and, in a round, to tasks by their hash; each task
+    starts from the weights so far, goes through all its words once (:func:`chained`), and the
+    means of the tasks' weights are what the next round starts from. Each half of the texts
+    looks words up in the lexicon of the other one, so that its features aren't trusted too much, and predictions
+    in that of all. Few words make one round and one task, which goes through them several times.
+    """
+    spark, k = texts.sparkSession, len(langs)
+    seen, back, lexicon = lexicons(counts, langs)
+    rounds = 4 if words >= 4 * FEWEST else 1
+    share = words / rounds
+    tasks = int(max(np.ceil(share / MOST), min(SPREAD, share // FEWEST), 1))
+    again = int(np.ceil(STEPS / rounds / max(1, share / tasks / CHAIN / CHAINS)))
+    size = (BUCKETS + k + 1 + k * len(CONFIDENCE)) * k
+    values, squares = np.zeros(size, dtype=np.float32), np.zeros(size, dtype=np.float32)
+    both = spark.sparkContext.broadcast((seen, back))
+
+    def task(start: Broadcast, turn: int) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("hash", "ascending"), ("text", "ascending")])
+            learner, random = Learner(k, *start.value), np.random.default_rng([turn, table.column("part")[0].as_py()])
+            from_seen, from_back = both.value
+            for _ in range(again):
+                for batch in table.combine_chunks().to_batches():
+                    for one in slices(batch, "text"):
+                        vocabulary, ids, states, is_back = chained(one, langs, random)
+                        if len(ids):
+                            at = entry(vocabulary)[ids]
+                            learner.learn(vocabulary, ids, states, np.where(is_back, from_seen[at], from_back[at]))
+            found = np.concatenate([learner.values, learner.squares, np.ones(1, dtype=np.float32)])
+            return pa.table({"v": pa.array([found], pa.list_(pa.float32()))})
+
+        return run
+
+    for turn in range(rounds):
+        start = spark.sparkContext.broadcast((values, squares))
+        part = F.pmod(F.shiftright("hash", 2), F.lit(tasks)).cast("int").alias("part")
+        dealt = texts.where(F.pmod("hash", F.lit(rounds)) == turn).select("lang", "text", "back", "hash", part).repartition(tasks, "part")
+        parts = cut(dealt.groupBy("part").applyInArrow(task(start, turn), "v array<float>"), "weights")
+        total = add_up(parts, fan=8)
+        drop(parts)
+        start.unpersist()
+        if total is not None:
+            values, squares = (x.astype(np.float32) for x in np.split(total[:-1] / total[-1], 2))
+    both.unpersist()
+    weights, transitions, lexical = Learner(k, values, squares).parts(values)
+    return Model(langs, weights, transitions.astype(float), lexicon, lexical)
 
 
 def expectations(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,51 +415,38 @@ def expectations(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarra
     return out, pairs
 
 
-def draw_spans(docs: DataFrame, per_lang: int, length: int) -> list[tuple[str, str, bool]]:
-    """The whole texts of about ``per_lang`` documents of each language, in spans of ``length`` words.
-
-    ``docs`` has ``lang``, ``text`` and ``hash``. Each span is (language, words,
-    whether its document is of a random half). Documents are drawn by their
-    hash, at a rate that the count of their language sets, so what reaches the
-    driver is a bounded number of documents however many there are.
-    """
-    counts = cut(docs.groupBy("lang").count(), "langs")
-    drawn = docs.join(counts, "lang").where(F.pmod("hash", F.lit(1 << 30)) / (1 << 30) < per_lang / F.col("count")).drop("count")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in slices(batch, "text"):
-                ids, vocabulary, sizes = split(one.column("text"), NOT_LETTERS)
-                per = -(-sizes // length)
-                row = np.repeat(np.arange(len(sizes)), per)
-                start = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * length + np.repeat(np.cumsum(sizes) - sizes, per)
-                spans = pc.binary_join(pa.ListArray.from_arrays(pa.array([*start, len(ids)], pa.int32()), vocabulary.take(pa.array(ids))), " ")
-                half = (one.column("hash").to_numpy() >> 40 & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays([one.column("lang").take(pa.array(row)), spans, pa.array(half[row])], ["lang", "span", "half"])
-
-    return sorted((r.lang, r.span, r.half) for r in drawn.select("lang", "text", "hash").mapInArrow(run, "lang string, span string, half boolean").collect())
-
-
 def held_out(id_col: str) -> Column:
     """Whether a document is never learned from."""
     return F.coalesce(F.crc32(named(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = 300, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str, bool]]:
-    """Spans, see ``draw_spans``, of the documents that are not held out."""
+def labelled(docs: DataFrame, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All texts with a language that are not held out: ``lang``, ``text``, ``hash``, and whether they are of a random half, ``back``."""
     usable = docs.where(~held_out(id_col) & named(lang_col).isNotNull() & named(text_col).isNotNull())
     lang, text = named(lang_col).cast("string"), named(text_col).cast("string")
-    # by id and text, so that neither copies of a text nor rows without an id are drawn all at once
-    return draw_spans(usable.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.lit(seed), named(id_col), text).alias("hash")), per_lang, length)
+    # by id and text, so that neither copies of a text nor rows without an id fall into one part
+    found = usable.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.lit(seed), named(id_col), text).alias("hash"))
+    return found.withColumn("back", F.getbit("hash", F.lit(40)) == 1)
 
 
-def learn(docs: DataFrame, per_lang: int = 300, length: int = 32, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from a sample of the documents that are not held out; none if none has words and a language."""
-    return fit_sample(sample(docs, per_lang, length, seed, id_col, text_col, lang_col))
+def learn(docs: DataFrame, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model from all documents that are not held out; none if none has words and a language."""
+    return learn_both(docs, seed, id_col, text_col, lang_col, familiar=False)[0]
 
 
-def fit_sample(found: list[tuple[str, str, bool]]) -> Model | None:
-    return fit([(lang, span) for lang, span, _ in found]) if found else None
+def learn_both(
+    docs: DataFrame, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", familiar: bool = True
+) -> tuple[Model | None, familiarity.Familiar | None]:
+    """What :func:`learn` gives and, if asked for, whether words are of any language learned, from the same documents."""
+    texts = labelled(docs, seed, id_col, text_col, lang_col)
+    counts = tally(texts)
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(totals)
+    if not langs:
+        return None, None
+    found = fit(texts, counts, langs, sum(totals.values())), familiarity.fit_all(texts, counts, langs) if familiar else None
+    drop(counts)
+    return found
 
 
 def labels(spark: SparkSession, model: Model | None, familiar: familiarity.Familiar | None = None) -> Callable[[Column], Column]:
@@ -413,8 +512,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Learn from the documents that are not held out, and predict the language of all.
 
     Returns ``id_col``, ``held_out``, ``lang_pred``, ``score`` and ``segments``
-    (:func:`labels`), a row for each row. The model is fitted on a bounded sample: about 300
-    documents of each language are drawn, and 96,000 words from the spans of their whole texts (:func:`fit`);
+    (:func:`labels`), a row for each row. The model is fitted on the whole texts of all these documents (:func:`fit`);
     a language is never an input of a prediction. Texts that are null, empty or without letters are ``und``; very
     long ones are gone through in pieces that carry exact messages. Null ids are
     not held out; null languages are not learned; repeated rows and other columns

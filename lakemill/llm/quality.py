@@ -119,7 +119,7 @@ def matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def add_up(parts: DataFrame, fan: int = 32) -> np.ndarray | None:
-    """The sum of all arrays in the column ``v``, ``fan`` of them in a task at a time; none if there are none."""
+    """The sum of all arrays, of floats or doubles, in the column ``v``, ``fan`` of them in a task at a time; none if there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
@@ -131,7 +131,7 @@ def add_up(parts: DataFrame, fan: int = 32) -> np.ndarray | None:
 
     parts = cut(parts, "sums")
     while (rows := parts.count()) > 1:
-        parts = cut(parts.repartition(-(-rows // fan)).mapInArrow(run, "v array<double>"), "sums")
+        parts = cut(parts.repartition(-(-rows // fan)).mapInArrow(run, parts.schema), "sums")
     return np.array(parts.first().v) if rows else None
 
 
