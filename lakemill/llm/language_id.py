@@ -38,8 +38,10 @@ STEPS = 80
 FEWEST, MOST, SPREAD = 250_000, 4_000_000, 16
 #: Length of a step.
 RATE = 0.1
-#: Words of a vocabulary that have their features in memory at once.
-WORDS_AT_ONCE = 8192
+#: Letters of a vocabulary that have their features in memory at once, but for a longer word.
+LETTERS_AT_ONCE = 1 << 16
+#: Bytes of counted words that a task adds up before Spark does.
+TALLIED = 32_000_000
 #: Words of a block: blocks of all chains are worked through side by side.
 BLOCK = 64
 #: Words of a chain that are held in memory at once, with their messages.
@@ -59,11 +61,9 @@ class Model:
     def emissions(self, vocabulary: pa.Array) -> np.ndarray:
         """The score of each word of a vocabulary for each language."""
         out = np.empty((len(vocabulary), len(self.langs)))
-        for start in range(0, len(vocabulary), WORDS_AT_ONCE):
-            part = vocabulary[start : start + WORDS_AT_ONCE]
-            features, counts = features_of(part)
-            out[start : start + len(part)] = sums(self.weights[features], counts) + self.lexicon_weights[self.lexicon[entry(part)]]
-        return out
+        for at, features in features_by_length(vocabulary):
+            out[at] = self.weights.take(features, axis=0).sum(axis=0)
+        return out + self.lexicon_weights.take(self.lexicon[entry(vocabulary)], axis=0)
 
 
 def entry(words: pa.Array) -> np.ndarray:
@@ -76,8 +76,8 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(counts) - counts, axis=0) if len(counts) else np.zeros((0, *values.shape[1:]), dtype=values.dtype)
 
 
-def features_of(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of all words in a row, and how many each word has.
+def features_by_length(vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of words, some words of one length at a time: their places in the vocabulary, and a column of features for each.
 
     A word stands between two boundary marks; its features are all n-grams of up
     to ``LONGEST`` characters (single marks aside) and, as features of their
@@ -85,62 +85,88 @@ def features_of(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     marked = pc.binary_join_element_wise("<", vocabulary, ">", "")
     sizes = pc.utf8_length(marked).to_numpy().astype(np.int64)
-    codes = np.frombuffer(flat(marked)[0].tobytes().decode().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    word = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.cumsum(sizes) - sizes
-    found, owner = [], []
-    for n in range(1, LONGEST + 2):
-        m = len(codes) - n + 1
-        if m <= 0:
-            break
-        h = np.full(m, n, dtype=np.uint64)
-        for k in range(n):
-            h = h * np.uint64(0x100000001B3) + codes[k : m + k]
-        start = np.arange(m)
-        inside = word[:m] == word[n - 1 :]
-        prefix = inside & (start == first[word[:m]])
-        suffix = inside & (start + n == (first + sizes)[word[:m]])
-        if n <= LONGEST:
-            plain = inside & ~((prefix | suffix) & (n == 1))
-            found.append(h[plain])
-            owner.append(word[:m][plain])
-        if n > 1:
-            for salt, which in ((1, prefix), (2, suffix)):
-                found.append(h[which] * np.uint64(31) + np.uint64(salt))
-                owner.append(word[:m][which])
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    h, own = np.concatenate(found), np.concatenate(owner)
-    order = np.argsort(own, kind="stable")
-    h = h[order] * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.bincount(own, minlength=len(sizes))
-
-
-def _grid(scores: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Emissions of chains cut into blocks, (slot, block, state), with each word's block and slot, blocks of chains, words of blocks."""
+    codes = np.frombuffer(flat(marked)[0].tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+    first, order = np.cumsum(sizes) - sizes, np.argsort(sizes, kind="stable")
+    by, prime = sizes[order], 0x100000001B3
+    start = 0
+    while start < len(order):
+        size = int(by[start])
+        at = order[start : min(int(np.searchsorted(by, size, side="right")), start + max(1, LETTERS_AT_ONCE // size))]
+        start += len(at)
+        letters = codes[first[at] + np.arange(size)[:, None]].astype(np.uint64)
+        found, run = [], letters
+        for n in range(1, min(size, LONGEST + 1) + 1):
+            if n > 1:
+                run = run[:-1] * np.uint64(prime) + letters[n - 1 :]
+            h = run + np.uint64(n * prime**n % (1 << 64))
+            if n <= LONGEST:
+                found.append(h if n > 1 else h[1:-1])
+            if n > 1:
+                found += [h[:1] * np.uint64(31) + np.uint64(1), h[-1:] * np.uint64(31) + np.uint64(2)]
+        h = np.concatenate(found)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h >>= np.uint64(64 - BUCKETS.bit_length() + 1)
+        yield at, h.view(np.int64)
+
+
+def features_of(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features (:func:`features_by_length`) of all words in a row, and how many each word has."""
+    parts = [(at, features.astype(np.int32)) for at, features in features_by_length(vocabulary)]
+    counts = np.zeros(len(vocabulary), dtype=np.int64)
+    for at, features in parts:
+        counts[at] = len(features)
+    first, out = np.cumsum(counts) - counts, np.empty(counts.sum(), dtype=np.int64)
+    for at, features in parts:
+        out[first[at] + np.arange(len(features))[:, None]] = features
+    return out, counts
+
+
+def _grid(likely: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Likelihoods of chains cut into blocks, those of most words first, (state, slot, block), with each word's cell (slot and block), blocks of chains and, by block, in chains' order, its place.
+
+    Words of blocks fall, so that blocks with a word at a slot are the first ones.
+    """
     per = -(-counts // BLOCK)
-    chain = np.repeat(np.arange(len(counts)), counts)
-    inside = np.arange(len(scores)) - np.repeat(np.cumsum(counts) - counts, counts)
-    block, slot = (np.cumsum(per) - per)[chain] + inside // BLOCK, inside % BLOCK
-    grid = np.ones((BLOCK, int(per.sum()), scores.shape[1]))
-    grid[slot, block] = np.exp(scores - scores.max(axis=1, keepdims=True))
-    used = np.bincount(block, minlength=grid.shape[1])
-    return grid, block, slot, per, used
-
-
-def _products(grid: np.ndarray, used: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """The product of each block's step matrices: from the state before it to its last word."""
-    k = grid.shape[2]
-    product = np.broadcast_to(np.eye(k), (grid.shape[1], k, k)).copy()
-    for s in range(int(used.max(initial=0))):
-        live = slice(None) if (used > s).all() else np.flatnonzero(used > s)
-        p = (product[live].reshape(-1, k) @ step).reshape(-1, k, k) * grid[s, live][:, None, :]
-        product[live] = p / p.sum(axis=(1, 2), keepdims=True)
-    return product
+    used = np.full(int(per.sum()), BLOCK)
+    used[np.cumsum(per) - 1] = counts - (per - 1) * BLOCK
+    place = np.empty(len(used), dtype=np.int64)
+    place[np.argsort(-used, kind="stable")] = np.arange(len(used))
+    inside = np.arange(len(likely)) - np.repeat(np.cumsum(used) - used, used)
+    cell = inside * len(used) + np.repeat(place, used)
+    grid = np.ones((likely.shape[1], BLOCK * len(used)))
+    for state, values in zip(grid, likely.T, strict=True):
+        state[cell] = values
+    return grid.reshape(likely.shape[1], BLOCK, len(used)), cell, per, place
+
+
+def _live(cell: np.ndarray, blocks: int) -> list[int]:
+    """How many blocks have a word at each slot that any has one at."""
+    return np.bincount(cell // blocks).tolist() if len(cell) else []
+
+
+def _products(grid: np.ndarray, live: list[int], step: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The product of each block's step matrices, in chains' order: from the state before it to its last word."""
+    k, _, blocks = grid.shape
+    into, product = step.T.copy(), np.broadcast_to(np.eye(k)[:, :, None], (k, k, blocks)).copy()
+    for s, m in enumerate(live):
+        p = (into @ product[:, :, :m].reshape(k, -1)).reshape(k, k, m)
+        p *= grid[:, s, None, :m]
+        product[:, :, :m] = p / p.sum(axis=(0, 1))
+    return product.transpose(2, 1, 0)[place]
+
+
+def likelihoods(scores: np.ndarray) -> np.ndarray:
+    """What the scores of words make of their states, 1 for the likeliest."""
+    return np.exp(scores - scores.max(axis=1, keepdims=True))
 
 
 def marginals(scores: np.ndarray, transitions: np.ndarray, counts: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-    """The probability of each state at each word of chains in a row, by forward-backward.
+    """The probability of each state at each word of chains in a row, by forward-backward, of words' ``scores``: see :func:`passes`."""
+    return passes(likelihoods(scores), np.exp(transitions - transitions.max()), counts, first, last).T
+
+
+def passes(likely: np.ndarray, step: np.ndarray, counts: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+    """The probability of each state, a row for each, at each word of chains in a row, by forward-backward.
 
     Exact for chains of any length: chains are cut into blocks, the product of
     each block's step matrices carries messages over the blocks, and all blocks
@@ -148,40 +174,51 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, counts: np.ndarray, f
     chain, above zero. Every chain starts from a uniform state before its first
     word, or from the message ``first``; ``last`` is the message from after its end.
     """
-    k = scores.shape[1]
-    step = np.exp(transitions - transitions.max())
-    grid, block, slot, per, used = _grid(scores, counts)
-    product = _products(grid, used, step)
-    before, after = np.full((len(used), k), 1 / k), np.ones((len(used), k))
+    k = likely.shape[1]
+    grid, cell, per, place = _grid(likely, counts)
+    live = _live(cell, len(place))
+    before, after = np.full((len(place), k), 1 / k), np.ones((len(place), k))
     start = np.cumsum(per) - per
     if first is not None:
         before[start] = first
     if last is not None:
         after[start + per - 1] = last
-    order = np.argsort(-per, kind="stable")
-    for b in range(1, int(per.max(initial=1))):
-        at = start[order[: int((per > b).sum())]] + b
-        x = np.einsum("ni,nij->nj", before[at - 1], product[at - 1])
-        before[at] = x / x.sum(axis=1, keepdims=True)
-    for b in range(int(per.max(initial=1)) - 2, -1, -1):
-        at = start[order[: int((per > b + 1).sum())]] + b
-        x = np.einsum("nij,nj->ni", product[at + 1], after[at + 1])
-        after[at] = x / x.sum(axis=1, keepdims=True)
-    deepest = int(used.max(initial=0))
-    both = np.empty_like(grid)
-    x = before
-    for s in range(deepest):
-        x = (x @ step) * grid[s]
-        x /= x.sum(axis=1, keepdims=True)
-        both[s] = x
-    x = after
-    for s in range(deepest - 1, -1, -1):
-        x = np.where((used == s + 1)[:, None], after, x)
-        both[s] *= x
-        x = (grid[s] * x) @ step.T
-        x /= x.sum(axis=1, keepdims=True)
-    out = both[slot, block]
-    return out / out.sum(axis=1, keepdims=True)
+    if per.max(initial=1) > 1:
+        product = _products(grid, live, step, place)
+        order = np.argsort(-per, kind="stable")
+        for b in range(1, int(per.max())):
+            at = start[order[: int((per > b).sum())]] + b
+            x = np.einsum("ni,nij->nj", before[at - 1], product[at - 1])
+            before[at] = x / x.sum(axis=1, keepdims=True)
+        for b in range(int(per.max()) - 2, -1, -1):
+            at = start[order[: int((per > b + 1).sum())]] + b
+            x = np.einsum("nij,nj->ni", product[at + 1], after[at + 1])
+            after[at] = x / x.sum(axis=1, keepdims=True)
+    both, into, messages = np.empty_like(grid), step.T.copy(), np.empty((k, len(place)))
+    messages[:, place] = before.T
+    for s, m in enumerate(live):
+        x = into @ messages[:, :m]
+        x *= grid[:, s, :m]
+        x /= x.sum(axis=0)
+        both[:, s, :m] = messages[:, :m] = x
+    messages[:, place] = after.T
+    for s in range(len(live) - 1, -1, -1):
+        x = messages[:, : live[s]]
+        both[:, s, : live[s]] *= x
+        x = step @ (grid[:, s, : live[s]] * x)
+        messages[:, : live[s]] = x / x.sum(axis=0)
+    out = both.reshape(k, -1).take(cell, axis=1)
+    out /= out.sum(axis=0)
+    return out
+
+
+def likeliest(p: np.ndarray) -> np.ndarray:
+    """The row of the greatest value in each column, the first of equal ones."""
+    top, out = p[0].copy(), np.zeros(p.shape[1], dtype=np.int64)
+    for j in range(1, len(p)):
+        out[p[j] > top] = j
+        np.maximum(top, p[j], out=top)
+    return out
 
 
 def decode(emissions: np.ndarray, ids: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,17 +227,19 @@ def decode(emissions: np.ndarray, ids: np.ndarray, counts: np.ndarray, transitio
     A chain longer than ``PIECE`` is gone through twice, piece by piece: for the
     products that carry messages between pieces, then for the marginals.
     """
+    step, likely = np.exp(transitions - transitions.max()), likelihoods(emissions)
     if counts.max(initial=0) <= PIECE:
-        p = marginals(emissions[ids], transitions, counts)
-        return sums(p, counts) / counts[:, None], p.argmax(axis=1)
-    means, states, step = [], [], np.exp(transitions - transitions.max())
+        p = passes(likely.take(ids, axis=0), step, counts)
+        totals = np.add.reduceat(p, np.cumsum(counts) - counts, axis=1) if len(counts) else p
+        return (totals / counts).T, likeliest(p)
+    means, states = [], []
     for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
         parts = [ids[a : min(end, a + PIECE)] for a in range(end - n, end, PIECE)]
         carry = []
         for part in parts:
             whole = np.eye(len(step))
-            grid, _, _, _, used = _grid(emissions[part], np.array([len(part)]))
-            for p in _products(grid, used, step):
+            grid, cell, _, place = _grid(likely[part], np.array([len(part)]))
+            for p in _products(grid, _live(cell, len(place)), step, place):
                 whole = whole @ p
                 whole /= whole.sum()
             carry.append(whole)
@@ -211,9 +250,9 @@ def decode(emissions: np.ndarray, ids: np.ndarray, counts: np.ndarray, transitio
             first[-1], last[-1] = first[-1] / first[-1].sum(), last[-1] / last[-1].sum()
         total = np.zeros(len(step))
         for part, f, e in zip(parts, first, last[::-1], strict=True):
-            p = marginals(emissions[part], transitions, np.array([len(part)]), f[None], e[None])
-            total += p.sum(axis=0)
-            states.append(p.argmax(axis=1).astype(np.int16))
+            p = passes(likely[part], step, np.array([len(part)]), f[None], e[None])
+            total += p.sum(axis=1)
+            states.append(likeliest(p).astype(np.int16))
         means.append(total / n)
     return np.array(means), np.concatenate(states)
 
@@ -261,54 +300,72 @@ class Learner:
     def learn(self, vocabulary: pa.Array, ids: np.ndarray, states: np.ndarray, lexical: np.ndarray) -> None:
         """One step for each ``CHAINS`` chains; ``lexical`` are the words' features in the lexicon."""
         features, counts = features_of(vocabulary)
-        features, first = features.astype(np.int32), np.cumsum(counts) - counts
-        size = CHAIN * CHAINS
+        first, size, place = np.cumsum(counts) - counts, CHAIN * CHAINS, np.zeros(len(vocabulary), dtype=np.int64)
         for start in range(0, len(ids), size):
-            stop = min(len(ids), start + size)
-            words, row = np.unique(ids[start:stop], return_inverse=True)
+            part = ids[start : start + size]
+            words = np.flatnonzero(np.bincount(part, minlength=len(vocabulary)))
+            place[words] = np.arange(len(words))
             per = counts[words]
             at = np.repeat(first[words] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-            self.step(features[at], per, row.reshape(-1, CHAIN).T.ravel(), states[start:stop].reshape(-1, CHAIN).T, lexical[start:stop].reshape(-1, CHAIN).T.ravel())
+            by_chain = (x.reshape(-1, CHAIN).T for x in (place[part], states[start : start + size], lexical[start : start + size]))
+            self.step(features.take(at), per, *by_chain)
 
     def step(self, features: np.ndarray, counts: np.ndarray, row: np.ndarray, states: np.ndarray, lexical: np.ndarray) -> None:
+        """One step, for chains as columns: ``row`` of each word in ``counts`` (its features), its state and feature in the lexicon."""
         k, chains = self.k, states.shape[1]
         weights, transitions, lexicon = self.parts(self.values)
-        scores = (sums(weights[features], counts)[row] + lexicon[lexical]).reshape(CHAIN, chains, k)
-        p, expected = expectations(scores, transitions)
-        wrong = np.eye(k, dtype=np.float32)[states] - p
+        row, lexical = row.ravel(), lexical.ravel()
+        scores = sums(weights.take(features, axis=0), counts).take(row, axis=0) + lexicon.take(lexical, axis=0)
+        p, expected = expectations(scores.reshape(CHAIN, chains, k), transitions)
         steps = np.bincount((states[:-1] * k + states[1:]).ravel(), minlength=k * k).reshape(k, k)
         # a chain starts from a uniform state that nobody sees
         begin = np.exp(transitions - transitions.max())
-        begin = begin / begin.sum(axis=0) * wrong[0].sum(axis=0)
-        wrong = wrong.reshape(-1, k)
-        owner = np.repeat(np.arange(len(counts)), counts)
+        begin /= begin.sum(axis=0)
         gradient = np.empty(len(self.values), dtype=np.float32)
         by_weight, by_transition, by_lexicon = self.parts(gradient)
-        by_transition[:] = steps - expected + begin
         for j in range(k):
-            by_weight[:, j] = np.bincount(features, np.bincount(row, wrong[:, j], len(counts))[owner], BUCKETS)
-            by_lexicon[:, j] = np.bincount(lexical, wrong[:, j], len(lexicon))
+            wrong = (states == j) - p[:, :, j]
+            begin[:, j] *= wrong[0].sum()
+            wrong = wrong.ravel()
+            by_weight[:, j] = np.bincount(features, np.repeat(np.bincount(row, wrong, len(counts)), counts), BUCKETS)
+            by_lexicon[:, j] = np.bincount(lexical, wrong, len(lexicon))
+        by_transition[:] = steps - expected + begin
         gradient /= chains
-        self.squares += gradient * gradient
-        self.values += RATE * gradient / (np.sqrt(self.squares) + 1e-6)
+        size = gradient * gradient
+        self.squares += size
+        np.sqrt(self.squares, out=size)
+        size += 1e-6
+        gradient *= RATE
+        gradient /= size
+        self.values += gradient
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word of texts (``lang``, ``text``, ``back``) is used in each language and half; a task adds up about ``TALLIED`` bytes of counts at a time."""
+    keys, parts, size = ["word", "lang", "back"], [], 0
+
+    def added_up() -> list[pa.RecordBatch]:
+        return pa.Table.from_batches(parts).group_by(keys, use_threads=False).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"]).to_batches()
+
+    for batch in batches:
+        for one in slices(batch, "text"):
+            ids, vocabulary, sizes = split(one.column("text"), NOT_LETTERS)
+            langs = one.column("lang").dictionary_encode()
+            kinds = 2 * len(langs.dictionary)
+            uses = np.bincount(ids.astype(np.int64) * kinds + np.repeat(langs.indices.to_numpy() * 2 + one.column("back").to_numpy(zero_copy_only=False), sizes))
+            at = np.flatnonzero(uses)
+            parts.append(pa.RecordBatch.from_arrays([vocabulary.take(pa.array(at // kinds)), langs.dictionary.take(pa.array(at % kinds // 2)), pa.array(at % 2 == 1), pa.array(uses[at])], [*keys, "n"]))
+            size += parts[-1].nbytes
+            if size >= TALLIED:
+                yield from added_up()
+                parts, size = [], 0
+    if parts:
+        yield from added_up()
 
 
 def tally(texts: DataFrame) -> DataFrame:
     """How often each word is used in each language, by halves of the texts: (``word``, ``lang``, ``back``, ``n``), written."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in slices(batch, "text"):
-                ids, vocabulary, sizes = split(one.column("text"), NOT_LETTERS)
-                langs = one.column("lang").dictionary_encode()
-                kinds = 2 * len(langs.dictionary)
-                uses = np.bincount(ids.astype(np.int64) * kinds + np.repeat(langs.indices.to_numpy() * 2 + one.column("back").to_numpy(zero_copy_only=False), sizes))
-                at = np.flatnonzero(uses)
-                yield pa.RecordBatch.from_arrays(
-                    [vocabulary.take(pa.array(at // kinds)), langs.dictionary.take(pa.array(at % kinds // 2)), pa.array(at % 2 == 1), pa.array(uses[at])], ["word", "lang", "back", "n"]
-                )
-
-    found = texts.select("lang", "text", "back").mapInArrow(run, "word string, lang string, back boolean, n long")
+    found = texts.select("lang", "text", "back").mapInArrow(counted, "word string, lang string, back boolean, n long")
     return cut(found.groupBy("word", "lang", "back").agg(F.sum("n").alias("n")), "words")
 
 
@@ -394,25 +451,27 @@ def fit(texts: DataFrame, counts: DataFrame, langs: list[str], words: int) -> Mo
 def expectations(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals at each word of chains of one length, (word, chain, state), and expected transitions between words."""
     length, chains, k = scores.shape
-    step = np.exp(transitions - transitions.max())
-    emit = np.exp(scores - scores.max(axis=2, keepdims=True))
-    forward, out, pairs = np.empty_like(emit), np.empty_like(emit), np.zeros((k, k))
-    x = np.full((chains, k), 1 / k)
+    step = np.exp(transitions - transitions.max()).astype(float)
+    # states above chains: sums over a few states are sums of rows
+    emit = np.ascontiguousarray(scores.transpose(0, 2, 1))
+    emit = np.exp(emit - emit.max(axis=1, keepdims=True)).astype(float)
+    into, forward, back = step.T.copy(), np.empty_like(emit), np.empty_like(emit)
+    x = np.full((k, chains), 1 / k)
     for s in range(length):
-        x = (x @ step) * emit[s]
-        x /= x.sum(axis=1, keepdims=True)
+        x = into @ x
+        x *= emit[s]
+        x /= x.sum(axis=0)
         forward[s] = x
-    y = np.ones((chains, k))
+    y = np.ones((k, chains))
     for s in range(length - 1, -1, -1):
-        out[s] = forward[s] * y
-        out[s] /= out[s].sum(axis=1, keepdims=True)
-        y = emit[s] * y
-        if s:
-            total = ((forward[s - 1] @ step) * y).sum(axis=1, keepdims=True)
-            pairs += (forward[s - 1] / total).T @ y * step
-        y = y @ step.T
-        y /= y.sum(axis=1, keepdims=True)
-    return out, pairs
+        back[s] = y
+        y = step @ (emit[s] * y)
+        y /= y.sum(axis=0)
+    out = forward * back
+    out /= out.sum(axis=1, keepdims=True)
+    before, after = (x.transpose(1, 0, 2).reshape(k, -1) for x in (forward[:-1], emit[1:] * back[1:]))
+    pairs = (before / ((into @ before) * after).sum(axis=0)) @ after.T * step
+    return out.transpose(0, 2, 1), pairs
 
 
 def held_out(id_col: str) -> Column:

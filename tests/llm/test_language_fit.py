@@ -65,3 +65,20 @@ def test_every_word_is_in_a_chain():
     words = vocabulary.to_pylist()
     assert Counter((words[i], s, b) for i, s, b in zip(ids[:n].tolist(), states[:n].tolist(), back[:n].tolist(), strict=True)) == plain
     assert np.count_nonzero(np.diff(states)) > n / language_id.SWITCH / 4
+
+
+def test_a_task_adds_up_its_counts_before_spark_does(monkeypatch):
+    texts = [text_in(LEARNED[lang], 30, i % 3) for i, lang in enumerate(["aa", "bb"] * 20)] + ["", None]
+    langs, back = [*["aa", "bb"] * 20, "aa", "bb"], [i % 3 == 0 for i in range(42)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, ("string", "string", "bool"), strict=True)], ["lang", "text", "back"]) for row in zip(langs, texts, back, strict=True)]
+    plain = Counter((w, lang, b) for lang, text, b in zip(langs, texts, back, strict=True) for w in (text or "").split())
+    rows = [r for b in language_id.counted(iter(batches)) for r in b.to_pylist()]
+    assert len(rows) == len(plain) and {(r["word"], r["lang"], r["back"]): r["n"] for r in rows} == plain
+    # little is held at a time
+    monkeypatch.setattr(language_id, "TALLIED", 1)
+    rows = [r for b in language_id.counted(iter(batches)) for r in b.to_pylist()]
+    total = Counter()
+    for r in rows:
+        total[r["word"], r["lang"], r["back"]] += r["n"]
+    assert len(rows) > len(plain) and total == plain
+    assert list(language_id.counted(iter([]))) == []
